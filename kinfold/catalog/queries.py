@@ -14,7 +14,7 @@ from ..functions.features import FEATURES, numeric_features
 from ..functions.gate import gate_reason, reason_kind
 from ..operators import checks, dedup, families, joins, metrics, models, split, vocab, votes
 from ..plans import build, experiment
-from ..session import new_path
+from ..session import materialize, new_path
 from ..sources import files, manifests, tables
 from ..streaming.gate_stream import stream_gate
 
@@ -49,7 +49,7 @@ def _round(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.table(spark, folder, "documents")
+    return tables.documents(spark, folder)
 
 
 def _cleaned(spark: SparkSession, folder: str) -> DataFrame:
@@ -630,7 +630,8 @@ def encode_sequences(spark, folder):
 
 def _model_rows(spark, folder, spec):
     rows = families.with_groups(tables.labelled_messages(spark, folder))
-    return models.with_terms(rows.select("msg_id", "label", "variant_type", "y", "text"), spec)
+    rows = rows.select("msg_id", "label", "variant_type", "y", "text")
+    return materialize(models.with_terms(rows, spec), "terms")
 
 
 @query

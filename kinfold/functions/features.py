@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,10 @@ FEATURES = (
 )
 
 
-def _digit_class() -> str:
-    """Digits in the wide sense: decimals plus superscripts, circled digits..."""
-    extra = [c for c in range(128, sys.maxunicode) if chr(c).isdigit() and not chr(c).isdecimal()]
-    return r"[\p{Nd}" + "".join(chr(c) for c in extra) + "]"
+@cache
+def _digit_signs() -> str:
+    """Digits that are not decimals: superscripts, circled numbers and the like."""
+    return "".join(chr(c) for c in range(128, sys.maxunicode) if chr(c).isdigit() and not chr(c).isdecimal())
 
 
 def _chars_removed(text: Column, pattern: str) -> Column:
@@ -55,7 +56,10 @@ def numeric_features(df: DataFrame, text: str = "text") -> DataFrame:
         _chars_removed(s, f"(?U){SPACE}+").alias("_blank"),
         _chars_removed(s, r"\p{IsUppercase}+").alias("_upper"),
         _chars_removed(s, r"\p{IsLowercase}+").alias("_lower"),
-        _chars_removed(s, _digit_class() + "+").alias("_digit"),
+        (
+            _chars_removed(s, r"\p{Nd}+")
+            + F.when(F.length(s) == F.octet_length(s), 0).otherwise(_chars_in(s, _digit_signs()))
+        ).alias("_digit"),
         _chars_in(s, PUNCTUATION).alias("_punct"),
         F.regexp_count(s, F.lit(URL)).alias("_urls"),
         F.lower(s).alias("_low"),

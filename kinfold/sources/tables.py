@@ -22,6 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of fewer splits than cores one partition per core, so that
+    text work on a small file is parallel. Larger inputs pass untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as messages: 1 original : 5 variants : 1 negative by id."""
     block = F.expr(f"doc_id DIV {FAMILY}")
@@ -34,7 +45,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     strategy: Column = F.lit(NO_STRATEGY)
     for position, name in enumerate(STRATEGIES.values(), start=1):
         strategy = F.when(place == position, name).otherwise(strategy)
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.when(negative, legit_id(block)).otherwise(phish_id(scenario, block, code)).alias("msg_id"),
         F.when(negative, "legit").otherwise("phish").alias("label"),
         F.when(negative, NEGATIVE_SCENARIO).otherwise(scenario).alias("scenario"),
@@ -58,7 +69,7 @@ def cleaned(df: DataFrame) -> DataFrame:
 def labelled_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents: quality 1 is positive; the first copy of a text is
     the original, later positive copies are its variants."""
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id")
     hashed = docs.select(
         "doc_id",
         normalize_text(F.col("text")).alias("text"),
