@@ -1,6 +1 @@
 """The registered queries and their SQL counterparts."""
-
-from .oracles import oracle_sql
-from .queries import queries
-
-__all__ = ["oracle_sql", "queries"]

@@ -29,7 +29,7 @@ VOCAB_SIZE = 5000
 MAX_LEN = 256
 QUOTA, NEGATIVE_QUOTA = 400, 1600
 MODEL_NAME, PROMPT_VERSION = "scorer", "v1"
-CV_SPEC = models.ModelSpec(kind="logreg", max_iter=200)
+CV_SPEC = models.ModelSpec(kind="logreg")
 FOREST_SPEC = models.ModelSpec(kind="forest", trees=20, depth=8, min_df=5)
 
 REGISTRY: dict = {}
@@ -638,13 +638,13 @@ def _model_rows(spark, folder, spec):
 def assemble_features(spark, folder):
     rows = _model_rows(spark, folder, FOREST_SPEC)
     features = models.fit_features(rows.filter(labels.trains()), FOREST_SPEC)
-    return features.transform(rows).select("msg_id", "y", "features")
+    return features.transform(rows, ["msg_id", "y"])
 
 
 def _fit_and_predict(spark, folder, spec):
     rows = _model_rows(spark, folder, spec)
     model = models.fit_model(rows.filter(labels.trains()), spec, SEED)
-    return models.predict(model, rows, ["msg_id", "y"])
+    return model.predict(rows, ["msg_id", "y"])
 
 
 @query

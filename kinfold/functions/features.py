@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from functools import cache
 
@@ -42,13 +43,18 @@ def _chars_removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _chars_in(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count_char(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def _count_if_any(possible: Column, text: Column, pattern: str) -> Column:
+    """Matches of a costly pattern, which is tried only where it can match."""
+    return F.when(possible, F.regexp_count(text, F.lit(pattern))).otherwise(0)
 
 
 def numeric_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the columns of FEATURES (doubles). Text is used whole, stripped."""
-    s = F.col("_s")
+    s, low = F.col("_s"), F.col("_low")
     counted = df.withColumn("_s", strip(F.coalesce(F.col(text), F.lit("")))).select(
         "*",
         F.length(s).alias("_chars"),
@@ -56,37 +62,40 @@ def numeric_features(df: DataFrame, text: str = "text") -> DataFrame:
         _chars_removed(s, f"(?U){SPACE}+").alias("_blank"),
         _chars_removed(s, r"\p{IsUppercase}+").alias("_upper"),
         _chars_removed(s, r"\p{IsLowercase}+").alias("_lower"),
-        (
-            _chars_removed(s, r"\p{Nd}+")
-            + F.when(F.length(s) == F.octet_length(s), 0).otherwise(_chars_in(s, _digit_signs()))
-        ).alias("_digit"),
-        _chars_in(s, PUNCTUATION).alias("_punct"),
-        F.regexp_count(s, F.lit(URL)).alias("_urls"),
+        _chars_removed(s, r"\p{Nd}+").alias("_decimals"),
+        F.when(F.length(s) == F.octet_length(s), 0)
+        .otherwise(F.length(s) - F.length(F.translate(s, _digit_signs(), "")))
+        .alias("_signs"),
+        _chars_removed(s, "[" + re.escape(PUNCTUATION) + "]+").alias("_punct"),
         F.lower(s).alias("_low"),
     )
+    linked = counted.withColumn(
+        "_urls", _count_if_any(F.contains(low, F.lit("http")) | F.contains(low, F.lit("www.")), s, URL)
+    )
     chars = F.greatest(F.col("_chars"), F.lit(1))
     letters = F.greatest(F.col("_upper") + F.col("_lower"), F.lit(1))
-    hits = sum((F.contains(F.col("_low"), F.lit(k)).cast("int") for k in KEYWORDS), F.lit(0))
+    has_digit = F.col("_decimals") > 0
+    hits = sum((F.contains(low, F.lit(k)).cast("int") for k in KEYWORDS), F.lit(0))
     values = {
         "n_chars": F.col("_chars"),
         "n_words": F.col("_words"),
-        "n_lines": F.when(F.col("_chars") == 0, 0).otherwise(_chars_in(s, "\n") + 1),
+        "n_lines": F.when(F.col("_chars") == 0, 0).otherwise(_count_char(s, "\n") + 1),
         "avg_word_len": F.when(F.col("_words") == 0, 0.0).otherwise(
             (F.col("_chars") - F.col("_blank")) / F.greatest(F.col("_words"), F.lit(1))
         ),
         "caps_ratio": F.col("_upper") / letters,
-        "digit_ratio": F.col("_digit") / chars,
+        "digit_ratio": (F.col("_decimals") + F.col("_signs")) / chars,
         "punct_ratio": F.col("_punct") / chars,
-        "exclam": _chars_in(s, "!"),
-        "question": _chars_in(s, "?"),
+        "exclam": _count_char(s, "!"),
+        "question": _count_char(s, "?"),
         "n_urls": F.col("_urls"),
-        "n_emails": F.regexp_count(s, F.lit(EMAIL)),
-        "n_phones": F.regexp_count(s, F.lit(PHONE)),
-        "n_money": F.regexp_count(s, F.lit(MONEY)),
+        "n_emails": _count_if_any(F.contains(s, F.lit("@")), s, EMAIL),
+        "n_phones": _count_if_any(has_digit, s, PHONE),
+        "n_money": _count_if_any(has_digit, s, MONEY),
         "kw_hits": hits,
         "has_url": (F.col("_urls") > 0).cast("int"),
-        "has_http": F.contains(F.col("_low"), F.lit("http")).cast("int"),
+        "has_http": F.contains(low, F.lit("http")).cast("int"),
     }
-    return counted.select(
+    return linked.select(
         *[F.col(c) for c in df.columns], *[values[n].cast("double").alias(n) for n in FEATURES]
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space (Unicode White_Space
@@ -61,3 +61,15 @@ def hash_number(hex_digest: Column, digits: int = 15) -> Column:
 def hash_score(seed: Column, key: Column) -> Column:
     """Uniform number in [0, 1) with 32 bits, fixed by (seed, key)."""
     return hash_number(keyed_hash(seed, key), 8) / F.lit(4294967296.0)
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns that are costly and used more than once.
+
+    As generator output they are computed where they stand. A plain projection
+    would be copied into every filter that Catalyst pushes below it.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(
+        *df.columns, *[n for n in columns if n not in df.columns]
+    )

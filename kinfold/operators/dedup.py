@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, text_hash, word_count
+from ..functions.text import compute_once, normalize_text, text_hash, word_count
 
 # Rank of a source in ord: room for 2^56 positions within each source.
 SOURCE_STRIDE = 1 << 56
@@ -27,7 +27,7 @@ def backfill(df: DataFrame) -> DataFrame:
 
     A stored hash is kept. Empty text without one stays null, to be dropped.
     """
-    clean = df.withColumn("text", normalize_text(F.col("text")))
+    clean = compute_once(df, text=normalize_text(F.col("text")))
     hashed = F.when(F.col("text") != "", text_hash(F.col("text")))
     return clean.withColumns(
         {

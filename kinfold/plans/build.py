@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUILD_RULES, DUPLICATE, OK, GateRules
 from ..functions.gate import gate_reason
-from ..functions.text import normalize_text, preview, text_hash, word_count
+from ..functions.text import compute_once, normalize_text, preview, text_hash, word_count
 from ..operators.dedup import backfill, dedup_first
 from ..operators.joins import first_uses
 
@@ -24,16 +24,11 @@ class Gated:
 
 def score_gate(messages: DataFrame, rules: GateRules = BUILD_RULES, finish: str | None = None) -> DataFrame:
     """Normalized text, its counts and hash, and the gate's `reason`."""
-    clean = messages.withColumn("text", normalize_text(F.col("text"))).withColumn(
-        "length_words", word_count(F.col("text"))
-    )
+    clean = compute_once(messages, text=normalize_text(F.col("text")))
+    counted = compute_once(clean, length_words=word_count(F.col("text")))
     finish_reason = F.col(finish) if finish else None
-    return clean.withColumns(
-        {
-            "reason": gate_reason(F.col("text"), F.col("length_words"), rules, finish_reason),
-            "text_hash": text_hash(F.col("text")),
-        }
-    )
+    reason = gate_reason(F.col("text"), F.col("length_words"), rules, finish_reason)
+    return compute_once(counted, reason=reason).withColumn("text_hash", text_hash(F.col("text")))
 
 
 def gate_and_dedup(
@@ -45,25 +40,26 @@ def gate_and_dedup(
     """Accepted rows, and the log of the others.
 
     Accepted: passes the gate, first of its text, text not in `known`. Whole
-    rows are shuffled once, after the copies were merged map-side. Rejected
-    rows carry ids, reasons and a preview only; duplicates are found by `ord`,
-    so copies of one text are spread over all tasks.
+    rows are shuffled once, after the copies were merged map-side. Rejected:
+    whatever did not win, found by `ord`, so copies of one text are spread over
+    all tasks; these rows carry ids, reasons and a preview only.
     """
     scored = score_gate(messages, rules, finish)
     passed = scored.filter(F.col("reason") == OK)
     accepted = dedup_first(passed)
     if known is not None:
         accepted = accepted.join(known.select("text_hash").distinct(), "text_hash", "left_anti")
-    failed = scored.filter(F.col("reason") != OK).select(
-        "msg_id", "reason", preview(F.col("text")).alias("preview")
-    )
     winners = first_uses(passed.select("text_hash", "ord"), known)
-    duplicates = (
-        passed.select("msg_id", "ord")
+    rejected = (
+        scored.select("msg_id", "ord", "reason", preview(F.col("text")).alias("preview"))
         .join(winners.select("ord"), "ord", "left_anti")
-        .select("msg_id", F.lit(DUPLICATE).alias("reason"), F.lit(None).cast("string").alias("preview"))
+        .select(
+            "msg_id",
+            F.when(F.col("reason") == OK, DUPLICATE).otherwise(F.col("reason")).alias("reason"),
+            F.when(F.col("reason") != OK, F.col("preview")).alias("preview"),
+        )
     )
-    return Gated(accepted, failed.unionByName(duplicates))
+    return Gated(accepted, rejected)
 
 
 def reject_log(gated: Gated, stage: str, date: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from ..config import DEFAULT_LABELS, Labels
 from ..functions.labels import trains
 from ..operators.families import group_table, with_groups
 from ..operators.metrics import ab_delta, binary_metrics, by_condition, fold_summary
-from ..operators.models import ModelSpec, fit_model, predict, with_terms
+from ..operators.models import ModelSpec, fit_model, with_terms
 from ..operators.split import fold_columns, fold_rows, group_kfold
 from ..session import materialize
 
@@ -41,7 +41,7 @@ def cv_predictions(
             tested = F.col(f"fold_{seed}") == number
             model = fit_model(terms.filter(~tested & trains(labels)), spec, seed)
             place = [F.lit(seed).alias("seed"), F.lit(number).alias("fold")]
-            scored.append(predict(model, terms.filter(tested), keep).select(*place, *keep, "pred"))
+            scored.append(model.predict(terms.filter(tested), keep).select(*place, *keep, "pred"))
     return by_condition(reduce(DataFrame.unionByName, scored), labels)
 
 

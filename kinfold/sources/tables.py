@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import NEGATIVE_SCENARIO, NO_STRATEGY, SCENARIOS, STRATEGIES
 from ..functions.ids import legit_id, phish_id
-from ..functions.text import hash_score, normalize_text, text_hash, word_count
+from ..functions.text import compute_once, hash_score, normalize_text, text_hash, word_count
 from ..operators.dedup import SOURCE_STRIDE
 from ..operators.joins import skew_join
 
@@ -61,7 +61,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def cleaned(df: DataFrame) -> DataFrame:
     """Normalized text with its word count and hash."""
-    return df.withColumn("text", normalize_text(F.col("text"))).withColumns(
+    return compute_once(df, text=normalize_text(F.col("text"))).withColumns(
         {"length_words": word_count(F.col("text")), "text_hash": text_hash(F.col("text"))}
     )
 
@@ -70,11 +70,13 @@ def labelled_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents: quality 1 is positive; the first copy of a text is
     the original, later positive copies are its variants."""
     docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id")
-    hashed = docs.select(
+    clean = compute_once(docs, text=normalize_text(F.col("text")))
+    hashed = clean.select(
         "doc_id",
-        normalize_text(F.col("text")).alias("text"),
+        "text",
         F.when(F.col("quality") == 1, "phish").otherwise("legit").alias("label"),
-    ).withColumn("text_hash", text_hash(F.col("text")))
+        text_hash(F.col("text")).alias("text_hash"),
+    )
     # One row per text, from partial minima; copies find it by hash.
     firsts = hashed.filter("label = 'phish'").groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
     joined = skew_join(hashed, firsts, ["text_hash"], ["doc_id"], how="left")
