@@ -29,7 +29,7 @@ VOCAB_SIZE = 5000
 MAX_LEN = 256
 QUOTA, NEGATIVE_QUOTA = 400, 1600
 MODEL_NAME, PROMPT_VERSION = "scorer", "v1"
-CV_SPEC = models.ModelSpec(kind="logreg")
+CV_SPEC = models.ModelSpec(kind="logreg", max_iter=100)
 FOREST_SPEC = models.ModelSpec(kind="forest", trees=20, depth=8, min_df=5)
 
 REGISTRY: dict = {}

@@ -8,7 +8,9 @@ that table. Only models and fold metrics reach the driver.
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +30,31 @@ def assign_folds(messages: DataFrame, seeds: list[int], k: int, labels: Labels =
 
 
 def cv_predictions(
-    messages: DataFrame, spec: ModelSpec, seeds: list[int], k: int, labels: Labels = DEFAULT_LABELS
+    messages: DataFrame,
+    spec: ModelSpec,
+    seeds: list[int],
+    k: int,
+    labels: Labels = DEFAULT_LABELS,
+    parallelism: int = 5,
 ) -> DataFrame:
     """(seed, fold, msg_id, cond, y, pred) of all test rows of all folds."""
     keep = ["msg_id", "label", "variant_type", "y"]
     grouped = with_groups(messages, labels).select(*keep, "group_id", "text")
     placed = fold_columns(grouped, group_kfold(group_table(grouped), seeds, k), seeds)
     terms = materialize(with_terms(placed, spec), "terms")
-    scored = []
-    for seed in seeds:
-        for number in range(1, k + 1):
-            tested = F.col(f"fold_{seed}") == number
-            model = fit_model(terms.filter(~tested & trains(labels)), spec, seed)
-            place = [F.lit(seed).alias("seed"), F.lit(number).alias("fold")]
-            scored.append(model.predict(terms.filter(tested), keep).select(*place, *keep, "pred"))
+
+    def one(place: tuple[int, int]) -> DataFrame:
+        seed, number = place
+        tested = F.col(f"fold_{seed}") == number
+        model = fit_model(terms.filter(~tested & trains(labels)), spec, seed)
+        at = [F.lit(seed).alias("seed"), F.lit(number).alias("fold")]
+        return model.predict(terms.filter(tested), keep).select(*at, *keep, "pred")
+
+    places = [(seed, number) for seed in seeds for number in range(1, k + 1)]
+    # Fits are independent Spark jobs: several at a time, as MLlib's own
+    # cross-validator does.
+    with ThreadPool(min(parallelism, len(places))) as pool:
+        scored = pool.map(inheritable_thread_target(messages.sparkSession)(one), places)
     return by_condition(reduce(DataFrame.unionByName, scored), labels)
 
 
