@@ -595,12 +595,12 @@ REGISTRY["numeric_features"] = REGISTRY.pop("numeric_features_")
 
 @query
 def word_ngrams(spark, folder):
-    return vocab.term_counts(_documents(spark, folder), tokens.word_ngrams(F.col("text")), "doc_id")
+    return vocab.term_counts(_documents(spark, folder), "doc_id", tokens.folded(F.col("text")), tokens.ngrams_of)
 
 
 @query
 def char_wb_ngrams(spark, folder):
-    counts = vocab.term_counts(_documents(spark, folder), tokens.char_wb_ngrams(F.col("text")), "doc_id")
+    counts = vocab.term_counts(_documents(spark, folder), "doc_id", F.col("text"), tokens.char_wb_ngrams)
     return counts.groupBy(F.col("term").alias("gram")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_total")
     )
@@ -623,8 +623,8 @@ def seq_tokens(spark, folder):
 @query
 def encode_sequences(spark, folder):
     docs = _documents(spark, folder)
-    words = vocab.top_vocab(vocab.token_freq(docs), VOCAB_SIZE)
-    encoded = vocab.encode_sequences(docs, words, "doc_id", max_len=MAX_LEN)
+    freq = vocab.token_freq(docs)
+    encoded = vocab.encode_sequences(docs, freq, "doc_id", vocab_size=VOCAB_SIZE, max_len=MAX_LEN)
     return encoded.select("doc_id", F.array_join("ids", " ").alias("ids"), "length")
 
 

