@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..config import MESSAGE_SCHEMA
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     try:
         found = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop_path)
@@ -26,7 +26,7 @@ def read_jsonl(
 
     An absent path is an error, or an empty table when `optional`.
     """
-    if optional and not _exists(spark, path):
+    if optional and not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 

@@ -10,14 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import BUILD_RULES, MESSAGE_SCHEMA, GateRules
 from ..plans.build import gate_and_dedup
-from ..sources.files import _exists
+from ..sources.files import path_exists
 
 HASH_SCHEMA = "text_hash string, batch_id long"
 
 
 def known_hashes(spark: SparkSession, accepted: str, before: int) -> DataFrame:
     """Hashes accepted by earlier batches; reads that one column."""
-    if not _exists(spark, accepted):
+    if not path_exists(spark, accepted):
         return spark.createDataFrame([], HASH_SCHEMA).select("text_hash")
     return (
         spark.read.schema(HASH_SCHEMA).parquet(accepted).filter(F.col("batch_id") < before).select("text_hash")

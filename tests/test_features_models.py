@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from kinfold.operators import models, vocab
 from kinfold.plans import build, experiment
-from kinfold.sources import files
+from kinfold.sources import files, manifests
 from kinfold.streaming.gate_stream import stream_gate
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -160,3 +160,41 @@ def test_replayed_batch_does_not_double(spark, tmp_path):
         os.remove(f"{base}/state/commits/{name}")
     run_stream(spark, base, rows.schema)
     assert spark.read.parquet(f"{base}/ok").count() == before == 25
+
+
+def test_logs_are_appended_by_date_and_stage(spark, tmp_path):
+    path = str(tmp_path / "log")
+    gated = build.gate_and_dedup(stream_rows(spark))
+    for day in ("2026-01-01", "2026-01-02"):
+        build.append_log(build.reject_log(gated, "build", day), path)
+    build.append_log(build.run_log(gated, "fill", "2026-01-02").withColumn("reason", F.lit(None).cast("string")), path)
+    log = spark.read.parquet(path)
+    assert log.filter("stage = 'build'").count() == 72
+    assert log.filter("stage = 'fill' and date = '2026-01-02'").count() == 25
+
+
+def test_known_hashes_reject_a_second_run(spark):
+    rows = stream_rows(spark)
+    first = build.gate_and_dedup(rows)
+    again = build.gate_and_dedup(rows, known=first.accepted)
+    assert again.accepted.count() == 0
+    assert again.rejected.filter("reason = 'duplicate_hash'").count() == 60
+
+
+def test_provenance_and_report(spark):
+    rows = build.with_provenance(
+        build.finalize(
+            stream_rows(spark).select(
+                "msg_id", "text", "ord",
+                F.lit("phish").alias("label"), F.lit("impersonation").alias("scenario"),
+                F.lit("original").alias("variant_type"), F.lit("na").alias("paraphrase_strategy"),
+                F.lit(None).cast("string").alias("text_hash"), F.lit(0).alias("length_words"),
+            )
+        ),
+        "m", 0.85, 0.95, 900, "2026-01-01",
+    )
+    first = rows.first()
+    assert (first.generation_model, first.temperature, first.max_output_tokens) == ("m", 0.85, 900)
+    assert str(first.date_generated) == "2026-01-01"
+    report = manifests.manifest_markdown(manifests.dataset_manifest(rows, {"model": "m"}))
+    assert "- phish: 26" in report and "- median: 130" in report and "- model: m" in report
