@@ -26,7 +26,7 @@ def _normalized(column: str) -> str:
 
 
 def _words(column: str) -> str:
-    return rf"len(regexp_extract_all({column}, '\S+'))"
+    return rf"len(regexp_extract_all({column}, '\S+'))::INT"
 
 
 def _hash_score(seed: str, key: str) -> str:
@@ -154,7 +154,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "top": (
         ("freq",),
         f"""
-  SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) + 1 AS id
+  SELECT token, freq, (row_number() OVER (ORDER BY freq DESC, token) + 1)::INT AS id
   FROM freq QUALIFY id <= {q.VOCAB_SIZE - 1}""",
     ),
 }
@@ -352,7 +352,7 @@ FROM (SELECT *, {_words('t')} AS w FROM (SELECT doc_id, {_normalized('text')} AS
     "backfill": _with(
         ("messages", "cleaned"),
         """SELECT m.msg_id, CASE WHEN doc_id % 7 IN (0, 1) THEN c.text_hash ELSE md5(m.text) END AS text_hash,
-  CASE WHEN doc_id % 7 IN (2, 3) THEN c.length_words ELSE doc_id + 1 END AS length_words
+  CASE WHEN doc_id % 7 IN (2, 3) THEN c.length_words ELSE (doc_id + 1)::INT END AS length_words
 FROM messages m JOIN cleaned c USING (doc_id)""",
     ),
     "threshold_scores": _with(
@@ -386,7 +386,7 @@ AND NOT EXISTS (SELECT 1 FROM firsts o WHERE o.msg_id = v.base_msg_id)""",
     ),
     "family_rows": _with(
         ("cleaned",),
-        """SELECT v.base_msg_id, v.msg_id, length(v.text) AS n_chars, length(o.text) AS base_chars
+        """SELECT v.base_msg_id, v.msg_id, length(v.text)::INT AS n_chars, length(o.text)::INT AS base_chars
 FROM cleaned v JOIN cleaned o ON o.msg_id = v.base_msg_id""",
     ),
     "missing_variants": _with(
@@ -499,13 +499,13 @@ HAVING df >= 2 AND df <= 0.95 * (SELECT count(*) FROM documents)""",
         ("folds9",),
         f"""SELECT seed, fold, n0, n1, round((n0 + n1) / (2 * n0), 9) AS balanced0, round((n0 + n1) / (2 * n1), 9) AS balanced1,
   round((1 / n0) / (1 / n0 + 1 / n1), 9) AS inverse0, round((1 / n1) / (1 / n0 + 1 / n1), 9) AS inverse1
-FROM (SELECT seed, k.fold, count(*) FILTER (g.y = 0) AS n0, count(*) FILTER (g.y = 1) AS n1
+FROM (SELECT seed, k.fold::INT AS fold, count(*) FILTER (g.y = 0) AS n0, count(*) FILTER (g.y = 1) AS n1
   FROM grouped g JOIN folds9 f USING (group_id), (SELECT unnest(range(1, {q.K + 1})) AS fold) k
   WHERE variant_type = 'original' AND f.fold <> k.fold GROUP BY ALL)""",
     ),
     "fold_sizes": _with(
         ("folds",),
-        f"""SELECT seed, k.fold, count(DISTINCT group_id) FILTER (f.fold <> k.fold) AS n_groups_train,
+        f"""SELECT seed, k.fold::INT AS fold, count(DISTINCT group_id) FILTER (f.fold <> k.fold) AS n_groups_train,
   count(DISTINCT group_id) FILTER (f.fold = k.fold) AS n_groups_test,
   count(*) FILTER (f.fold <> k.fold AND variant_type = 'original') AS n_train_rows,
   count(*) FILTER (f.fold = k.fold AND variant_type = 'original') AS "n_testA_rows",
@@ -576,12 +576,12 @@ SELECT msg_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY msg_id)), 9) A
     ),
     "seq_tokens": _with(
         ("seq",),
-        "SELECT doc_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS digest FROM seq",
+        "SELECT doc_id, len(toks)::INT AS n_tokens, md5(array_to_string(toks, ' ')) AS digest FROM seq",
     ),
     "encode_sequences": _with(
         ("seq", "top"),
         f"""SELECT doc_id, array_to_string(list_resize(ids, {q.MAX_LEN}, 0), ' ') AS ids, length FROM (
-  SELECT doc_id, greatest(1, least(len(any_value(toks)), {q.MAX_LEN})) AS length,
+  SELECT doc_id, greatest(1, least(len(any_value(toks)), {q.MAX_LEN}))::INT AS length,
     list(coalesce(id, 1) ORDER BY pos) AS ids
   FROM (SELECT doc_id, toks, unnest(toks[:{q.MAX_LEN}]) AS token, generate_subscripts(toks[:{q.MAX_LEN}], 1) AS pos FROM seq)
   LEFT JOIN top USING (token) GROUP BY doc_id)""",
