@@ -7,15 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}  # folder per application, for local masters without a setting
+_MADE: dict[str, list[str]] = {}  # what each application has written and not yet removed
+
 
 def build_session(app: str = "kinfold", cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster use its own session."""
+    """A local session for tests and benchmarks; on a cluster use its own session.
+
+    Small files are cut into one split per core by the scan itself, so that text
+    work on them is parallel without a shuffle.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "131072")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -37,13 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="kinfold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="kinfold-")
+    return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder; `release` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,5 +63,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     nothing to recompute when an executor is lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove intermediates that nobody reads any more: those given, or all
+    that this application has made through `new_path`."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    for path in list(made if paths is None else paths):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in made:
+            made.remove(path)
