@@ -249,11 +249,11 @@ def encode_texts(
                 used = pa.array(codes[full])
                 joined = []
                 for values in (ids, names):
-                    lists = pa.LargeListArray.from_arrays(pa.array(places, pa.int64()), values.take(used))
-                    joined.append(pc.binary_join(lists, " "))
+                    lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), values.take(used))
+                    joined.append(pc.binary_join(lists, pa.scalar(" ", pa.large_string())))
                 if not keep_ids:
                     joined = [
-                        pa.array([hashlib.sha256(x).hexdigest() for x in map(pa.Scalar.as_buffer, j)]) for j in joined
+                        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in j]) for j in joined
                     ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(sums(count, begins)), *[pc.cast(j, pa.string()) for j in joined]],
