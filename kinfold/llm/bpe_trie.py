@@ -13,6 +13,7 @@ may, which makes the state unique.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -29,10 +30,14 @@ from tokenizers import Tokenizer
 from .texts import pieces, slices, strings, sums
 
 END = "</w>"
-KNOWN_PIECES = 300_000  # pieces a worker remembers before it starts anew; results do not depend on it
+KNOWN_PIECES = 400_000  # pieces a worker remembers; results do not depend on it
 KNOWN_PAIRS = 1_000_000  # likewise for token pairs
 
 
+Ending = tuple[tuple[int, int], ...]  # (token, its length), longest first
+State = tuple[int, int, int]
+
+
 class TrieEncoder:
     """Encodes words with the merges of a tokenizer file (BPE with an end mark)."""
 
@@ -59,10 +64,9 @@ class TrieEncoder:
             for n, i in self.ids.items()
             if n.endswith(END) and n != END and self.merge(symbols(n[: -len(END)])) == [n]
         }
-        self.longest_inner = max(map(len, self.inner))
-        self.longest_final = max(map(len, self.final))
         self.final_ids = set(self.final.values())
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
+        self.suffixes = SuffixTokens(self.inner, self.final)
 
     def merge(self, parts: list[str]) -> list[str]:
         """Plain merging, lowest rank first; used on single tokens and pairs only."""
@@ -83,32 +87,28 @@ class TrieEncoder:
         return parts
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.beside.get((left, right))
-        if known is None:
-            a, b = self.names[left], self.names[right]
-            tail = symbols(b[: -len(END)]) if b.endswith(END) and right in self.final_ids else list(b)
-            if len(self.beside) >= KNOWN_PAIRS:
-                self.beside.clear()
-            known = self.beside[left, right] = self.merge(list(a) + tail) == [a, b]
+        a, b = self.names[left], self.names[right]
+        tail = symbols(b[: -len(END)]) if b.endswith(END) and right in self.final_ids else list(b)
+        if len(self.beside) >= KNOWN_PAIRS:
+            self.beside.clear()
+        known = self.beside[left << 20 | right] = self.merge(list(a) + tail) == [a, b]
         return known
 
-    def last_token(self, path: str, states: list[tuple[int, int]], end: int, final: bool) -> tuple[int, int]:
-        """(token, where it begins) that ends `path[:end]`, given the states of
-        all shorter paths; `final` marks the end of a word."""
-        table, longest = (self.final, self.longest_final) if final else (self.inner, self.longest_inner)
+    def last_token(self, ending: Ending, states: list[State], end: int) -> tuple[int, int]:
+        """(token, where it begins): of the tokens that may end a path of length
+        `end`, the one that may follow the state of the node where it begins."""
         beside = self.beside
-        for start in range(max(0, end - longest), end):
-            token = table.get(path[start:end])
-            if token is not None:
-                if start == 0:
-                    return token, 0
-                left = states[start][0]
-                known = beside.get((left, token))
-                if known is None:
-                    known = self.may_follow(left, token)
-                if known:
-                    return token, start
-        raise ValueError(f"no token ends {path[:end]!r}")
+        for token, length in ending:
+            start = end - length
+            if not start:
+                return token, 0
+            left = states[start][0]
+            known = beside.get(left << 20 | token)
+            if known is None:
+                known = self.may_follow(left, token)
+            if known:
+                return token, start
+        raise ValueError("no token ends the path")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word (in byte letters).
@@ -117,25 +117,25 @@ class TrieEncoder:
         a word shares with the one before it stay, only new nodes are worked out.
         """
         out: dict[str, list[int]] = {}
-        states: list[tuple[int, int]] = [(-1, 0)]
+        step, inner, final = self.suffixes.step, self.suffixes.inner, self.suffixes.final
+        states: list[State] = [(-1, 0, 0)]  # last token, where it begins, node of the suffix table
         before = ""
         for word in sorted(set(words)):
             if not word:
                 out[word] = []
                 continue
-            same = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                same += 1
             last = len(word) - 1
-            del states[min(same, last, len(states) - 1) + 1 :]
-            for end in range(len(states), last + 1):
-                states.append(self.last_token(word, states, end, False))
-            token, at = self.last_token(word, states, len(word), True)
+            same = min(last, len(states) - 1)
+            while word[:same] != before[:same]:
+                same -= 1
+            del states[same + 1 :]
+            for end in range(same + 1, last + 1):
+                node = step(states[end - 1][2], word[end - 1])
+                states.append((*self.last_token(inner[node], states, end), node))
+            token, at = self.last_token(final[step(states[last][2], word[last])], states, last + 1)
             ids = [token]
             while at:
-                token, at = states[at]
+                token, at, _ = states[at]
                 ids.append(token)
             out[word] = ids[::-1]
             before = word
@@ -161,19 +161,49 @@ class TrieEncoder:
     def spell(self, word: str) -> str:
         return "".join(map(self.letters.__getitem__, word.encode()))
 
-    def encode_pieces(self, texts: list[str]) -> dict[str, list[int]]:
-        """Ids of each piece; every distinct word is encoded once."""
-        parts = {t: self.words(t) for t in texts}
-        known = self.encode_words({w for p in parts.values() for w in p if isinstance(w, str)})
-        return {
-            t: [i for w in p for i in (known[w] if isinstance(w, str) else (w,))] for t, p in parts.items()
-        }
-
-
 def symbols(word: str) -> list[str]:
     return [*word[:-1], word[-1] + END]
 
 
+class SuffixTokens:
+    """For each path of letters, the tokens that end it, longest first.
+
+    A node is the longest end of a path that begins some token; `step` goes on
+    by a letter, falling back to shorter ends where the longest has no such branch.
+    """
+
+    def __init__(self, inner: dict[str, int], final: dict[str, int]):
+        self.branches: list[dict[str, int]] = [{}]
+        self.inner: list[Ending] = [()]
+        self.final: list[Ending] = [()]
+        self.shorter = [0]
+        level = {"": 0}
+        names = sorted({*inner, *final})
+        for length in range(1, max(map(len, names), default=0) + 1):
+            reached: dict[str, int] = {}
+            for name in names:
+                if len(name) >= length and name[:length] not in reached:
+                    path = name[:length]
+                    parent = level[path[:-1]]
+                    fallback = self.step(self.shorter[parent], path[-1]) if parent else 0
+                    node = reached[path] = len(self.branches)
+                    self.branches.append({})
+                    self.shorter.append(fallback)
+                    for table, ids in ((self.inner, inner), (self.final, final)):
+                        own = ((ids[path], length),) if path in ids else ()
+                        table.append(own + table[fallback])
+            for path, node in reached.items():
+                self.branches[level[path[:-1]]][path[-1]] = node
+            level = reached
+
+    def step(self, node: int, letter: str) -> int:
+        while letter not in self.branches[node]:
+            if not node:
+                return 0
+            node = self.shorter[node]
+        return self.branches[node][letter]
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable bytes for themselves,
     the others in order from U+0100 on."""
@@ -188,29 +218,43 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
+Coded = tuple[str, int, str]  # joined ids, how many, joined names
+
+
 class Pieces:
-    """What a worker knows of pieces so far: joined ids, how many, and the text
-    they decode to. Tokens decode to their names joined by spaces."""
+    """What a worker knows so far: each word's and each piece's ids. Tokens
+    decode to their names joined by spaces."""
 
     def __init__(self, path: str):
         self.path = path
-        self.known: dict[str, int] = {}
-        self.ids: list[str] = []
-        self.counts: list[int] = []
-        self.names: list[str] = []
-
-    def numbers(self, found: list[str]) -> np.ndarray:
-        if len(self.known) > KNOWN_PIECES:
-            self.__init__(self.path)
+        self.words: dict[str | int, Coded] = {}
+        self.known: dict[str, Coded] = {}
+        self.older: tuple[dict, dict] = ({}, {})
+
+    def coded(self, found: list[str]) -> list[Coded]:
+        if len(self.known) > KNOWN_PIECES // 2:  # what is not met again in the next half is forgotten
+            self.older, self.words, self.known = (self.words, self.known), {}, {}
+        old_words, old_pieces = self.older
+        for piece in found:
+            if piece not in self.known and piece in old_pieces:
+                self.known[piece] = old_pieces[piece]
         new = [p for p in found if p not in self.known]
         if new:
-            model = encoder(self.path)
-            for piece, ids in model.encode_pieces(new).items():
-                self.known[piece] = len(self.ids)
-                self.ids.append(" ".join(map(str, ids)))
-                self.counts.append(len(ids))
-                self.names.append(" ".join(map(model.names.__getitem__, ids)))
-        return np.fromiter((self.known[p] for p in found), np.int64, len(found))
+            model, words = encoder(self.path), self.words
+            parts = [model.words(p) for p in new]
+            words.update({w: old_words[w] for p in parts for w in p if w not in words and w in old_words})
+            fresh = {w for p in parts for w in p if w not in words}
+            for word, ids in model.encode_words(w for w in fresh if isinstance(w, str)).items():
+                words[word] = " ".join(map(str, ids)), len(ids), " ".join([model.names[i] for i in ids])
+            for special in (w for w in fresh if isinstance(w, int)):
+                words[special] = str(special), 1, model.names[special]
+            for piece, part in zip(new, parts, strict=True):
+                if len(part) == 1:
+                    self.known[piece] = words[part[0]]
+                else:
+                    got = [words[w] for w in part]
+                    self.known[piece] = " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
+        return [self.known[p] for p in found]
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -234,15 +278,15 @@ def encode_texts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.freeze()  # the tables hold no cycles; without this each collection walks them all
         worker = _PIECES.setdefault(tokenizer, Pieces(tokenizer))
         for whole in batches:
             for batch in slices(whole, "text"):
                 found, codes, begins = pieces(strings(batch.column("text")))
-                numbers = worker.numbers(found)
-                ids = pa.array([worker.ids[n] for n in numbers], pa.large_string())
-                names = pa.array([worker.names[n] for n in numbers], pa.large_string())
-                counts = np.array([worker.counts[n] for n in numbers], np.int64)
-                count = counts[codes]
+                coded = worker.coded(found)
+                ids = pa.array([c[0] for c in coded], pa.large_string())
+                names = pa.array([c[2] for c in coded], pa.large_string())
+                count = np.array([c[1] for c in coded], np.int64)[codes]
                 # Pieces without ids take no part in the joined lists.
                 full = count > 0
                 places = np.concatenate([[0], np.cumsum(full)])[begins]
