@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_trie
+from . import bpe_trie, edit_counts, fingerprint, hamming, html_text, language, licenses, packing, radix, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,71 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return fingerprint.compare_edited(docs).withColumnRenamed("id", "doc_id")
+
+
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = radix.exact_groups(table(spark, folder, "documents"))
+    return groups.drop("doc").withColumnRenamed("id", "doc_id")
+
+
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts come back with the page's own url through the id column, a struct."""
+    pages = table(spark, folder, "pages").select(F.struct("page_id", "url").alias("page"), "html")
+    found = html_text.extract(pages, "page")
+    return found.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    spans = suffix.repeated_spans(table(spark, folder, "documents"))
+    return suffix.digest_columns(spans).withColumnRenamed("id", "doc_id")
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return piece_columns(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
+
+
+def piece_columns(packed: DataFrame) -> DataFrame:
+    return packed.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    edits = edit_counts.sample_edits(docs["text"])
+    counted = edit_counts.count_edited(docs, edits, tokenizer("byte_bpe_50k.json"))
+    return counted.drop("edited").withColumnRenamed("id", "doc_id")
+
+
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming.near_classes(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.filter(~held_out(F.col("doc_id"))))
+    found = language.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     coded = bpe_trie.encode_texts(docs, tokenizer("word_bpe_49k.json"), keep_ids=False)
@@ -28,8 +94,30 @@ def op10_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_bpe_trie,)}
+    found = (
+        op1_fingerprints,
+        op2_exact_dedup,
+        op3_html_text,
+        op4_suffix_dedup,
+        op5_packing,
+        op6_license_scan,
+        op7_edit_counts,
+        op8_near_dedup,
+        op9_language_id,
+        op10_bpe_trie,
+    )
+    return {f.__name__: f for f in found}
+
+
+OP2 = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY body)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": OP2}
