@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_trie, edit_counts, fingerprint, hamming, html_text, language, licenses, packing, radix, suffix
+from .vocabularies import tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -46,19 +42,7 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return piece_columns(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
-
-
-def piece_columns(packed: DataFrame) -> DataFrame:
-    return packed.select(
-        F.col("id").alias("doc_id"),
-        "start",
-        "length",
-        F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-    )
+    return packing.piece_columns(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +90,7 @@ def queries() -> dict[str, Query]:
         op9_language_id,
         op10_bpe_trie,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 OP2 = r"""

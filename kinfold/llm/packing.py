@@ -190,6 +190,19 @@ def pack(
     return placed.mapInArrow(cut, T.StructType(fields))
 
 
+def piece_columns(packed: DataFrame) -> DataFrame:
+    """The pieces of `pack` with a checksum in place of their ids."""
+    return packed.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def _queue(df: DataFrame, named: Column, shares: Mapping[str, float] | None) -> Column:
     if shares:
         return F.when(named.isin([*shares]), named).otherwise(F.lit(OTHER))

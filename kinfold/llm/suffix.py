@@ -361,12 +361,15 @@ def common_prefixes(order: np.ndarray, letters: np.ndarray, length: int) -> np.n
     return prefix
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_bytes, spans, kept), a row per input row.
+def repeated_spans(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False
+) -> DataFrame:
+    """(id, n_bytes, spans, kept), a row per input row.
 
     `spans` are the maximal [begin, end) byte ranges covered by strings of LENGTH
     bytes that also start anywhere else in the table, the same text included,
-    judged on the input; `kept` is the remaining bytes in a row. Matches never
+    judged on the input; `kept` is the remaining bytes in a row, or with `as_text`
+    the text they make, without characters that lost a part of their bytes. Matches never
     cross texts. Null texts are empty; shorter texts and those without repeats
     keep everything; rows that repeat an id and a text repeat each other. Other
     columns are ignored; an empty table gives no rows.
@@ -386,8 +389,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = T.StructType(
         [
             docs.schema["id"],
-            T.StructField("text", T.StringType()),
-            *T.StructType.fromDDL("n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"),
+            *T.StructType.fromDDL("n_bytes long, spans array<struct<begin:long,end:long>>"),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         ]
     )
     schema = to_arrow(kind)
@@ -410,10 +413,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
-                        part.column("text"),
                         pa.array([len(t) for t in texts], pa.int64()),
                         pa.array(merged, schema.field("spans").type),
-                        pa.array(kept, pa.binary()),
+                        pa.array([k.decode(errors="ignore") for k in kept] if as_text else kept, schema.field("kept").type),
                     ],
                     names=kind.names,
                 )
