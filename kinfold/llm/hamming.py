@@ -22,8 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,22 +45,50 @@ def odd_numbers(n: int, bits: int, seed: str) -> np.ndarray:
 STEPS = odd_numbers(WORDS, 64, "shingle")
 MIX = odd_numbers(1, 64, "mix")[0]
 TURNS = odd_numbers(VALUES, 32, "minhash").astype(np.uint32)
+BASE = int(odd_numbers(1, 64, "base")[0])
+BYTES = odd_numbers(256, 64, "bytes")
+BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]  # A-Z count as a-z
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+SLICE_BYTES = 1 << 20
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    out = np.ones(max(1, n), np.uint64)
+    filled = 1
+    while filled < n:
+        step = min(filled, n - filled)
+        out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, 1 << 64))
+        filled += step
+    return out
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts [begins[i], begins[i + 1]) of `data`, and where
+    each text's words begin: differences of running sums of byte values times powers."""
+    blank = BLANK[data]
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = blank[1:] != blank[:-1]
+    edge[begins] = True
+    edges = np.flatnonzero(edge)
+    edges = edges[: np.searchsorted(edges, len(data), side="right")]
+    starts, ends = edges[:-1], edges[1:]
+    word = ~blank[starts] if len(starts) else np.zeros(0, bool)
+    starts, ends = starts[word], ends[word]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * powers(len(data), BASE), out=sums[1:])
+    back = powers(len(data) + 1, pow(BASE, -1, 1 << 64))
+    hashes = mixed((sums[ends] - sums[starts]) * back[starts])
+    return hashes, np.searchsorted(starts, begins)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles: WORDS words in
     a row, or all words of a shorter text; none without words. Words stand between
     space, tab, line feed, vertical tab, form feed and return; A-Z are lowered."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    begins = np.asarray(split.offsets, dtype=np.int64)
-    words = split.flatten()
-    begins -= begins[0]
-    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    begins = np.concatenate([[0], np.cumsum(full)])[begins]
-    coded = words.filter(pa.array(full)).dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    known = np.array([digest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    hashes = known[np.asarray(coded.indices)]
+    raw = [t.as_buffer() for t in texts]
+    places = np.cumsum([0, *map(len, raw)])
+    hashes, begins = word_hashes(np.frombuffer(b"".join(raw), np.uint8), places)
     rolled = np.zeros(max(0, len(hashes) - WORDS + 1), np.uint64)
     for step, odd in enumerate(STEPS):
         rolled += hashes[step : step + len(rolled)] * odd
@@ -108,7 +134,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 sets = shingle_sets(strings(batch.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -241,7 +267,7 @@ class NearDuplicates:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE_BYTES):
                     sets = shingle_sets(strings(batch.column("text")))
                     own = [digest_of(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
                     shingles = pa.array([s.tobytes() for s in sets], pa.binary())
