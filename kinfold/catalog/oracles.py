@@ -67,11 +67,11 @@ _VARIANT = "label = 'phish' AND variant_type = 'paraphrase'"
 _ORIGINAL = "label = 'phish' AND variant_type = 'original'"
 
 
-def _folds(seeds: list[int]) -> str:
+def _folds(seeds: list[int], groups: str = "groups") -> str:
     return f"""
   SELECT seed, group_id, y,
     ((row_number() OVER (PARTITION BY seed ORDER BY y, md5(seed || ':' || group_id), group_id) - 1) % {q.K} + 1)::INT AS fold
-  FROM groups, (SELECT unnest({seeds}) AS seed)"""
+  FROM {groups}, (SELECT unnest({seeds}) AS seed)"""
 
 
 # name -> (views it reads, SQL)
@@ -88,6 +88,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN 'paraphrase' ELSE 'original' END AS variant_type,
     {_STRATEGY} AS paraphrase_strategy,
     CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN 'phish_' || {_SCENARIO} || '_' || {_INDEX} || '_orig' END AS base_msg_id,
+    CASE WHEN doc_id % 7 = 6 THEN 'synthetic_legit' ELSE 'generated_llm' END AS source,
     CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 7 = 6 THEN 2 ELSE 1 END::BIGINT * {STRIDE} + doc_id AS ord
   FROM documents""",
     ),
@@ -113,6 +114,39 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "folds": (("groups",), _folds(q.SEEDS)),
     "folds9": (("groups",), _folds([q.SEED])),
     "folds_sweep": (("groups",), _folds(q.SWEEP_SEEDS)),
+    "labelled": (
+        ("cleaned",),
+        """
+  SELECT 'doc_' || doc_id AS msg_id, text, quality::INT AS y,
+    quality = 1 AND doc_id > min(CASE WHEN quality = 1 THEN doc_id END) OVER same AS variant,
+    'text_' || min(doc_id) OVER same AS group_id
+  FROM cleaned JOIN labels USING (doc_id) WINDOW same AS (PARTITION BY text_hash)""",
+    ),
+    "labelled_groups": (("labelled",), "SELECT group_id, max(y) AS y FROM labelled GROUP BY 1"),
+    "labelled_folds": (("labelled_groups",), _folds(q.CV_SEEDS, "labelled_groups")),
+    "streamed": (
+        ("scored",),
+        f"""
+  SELECT msg_id, CASE WHEN reason = 'ok' AND
+      row_number() OVER (PARTITION BY text_hash, reason = 'ok' ORDER BY ord % {q.BATCHES}, ord) > 1
+      THEN 'duplicate_hash' ELSE reason END AS fate FROM scored""",
+    ),
+    "train_rows": (
+        ("grouped", "folds9"),
+        f"""
+  SELECT k.fold, msg_id, g.y FROM grouped g JOIN folds9 f USING (group_id),
+    (SELECT unnest(range(1, {q.K + 1}))::INT AS fold) k WHERE variant_type = 'original' AND f.fold <> k.fold""",
+    ),
+    "sizes": (
+        ("grouped", "folds"),
+        f"""
+  SELECT seed, k.fold::INT AS fold, count(DISTINCT group_id) FILTER (f.fold <> k.fold) AS n_groups_train,
+    count(DISTINCT group_id) FILTER (f.fold = k.fold) AS n_groups_test,
+    count(*) FILTER (f.fold <> k.fold AND variant_type = 'original') AS n_train_rows,
+    count(*) FILTER (f.fold = k.fold AND variant_type = 'original') AS "n_testA_rows",
+    count(*) FILTER (f.fold = k.fold AND (label = 'legit' OR variant_type = 'paraphrase')) AS "n_testB_rows"
+  FROM grouped JOIN folds f USING (group_id), (SELECT unnest(range(1, {q.K + 1})) AS fold) k GROUP BY seed, k.fold""",
+    ),
     "cond": ((), "SELECT unnest(['A', 'B']) AS cond"),
     "sides": (
         ("messages",),
@@ -238,7 +272,7 @@ _STATS = """
   FROM (SELECT 'all' AS section, length_words AS len FROM {t} UNION ALL SELECT label, length_words FROM {t})
   GROUP BY section"""
 
-_DIGIT = r"\p{Nd}"
+# --- Fixed values: the patterns that define the features, in DuckDB's syntax. ---
 _FEATURE_SQL = {
     "n_chars": "length(s)",
     "n_words": _words("s"),
@@ -257,15 +291,17 @@ _FEATURE_SQL = {
     "has_url": r"regexp_matches(s, '(?i)(https?://\S+|www\.\S+)')::INT",
     "has_http": "contains(lower(s), 'http')::INT",
 }
+# --- end of fixed values ---
 assert list(_FEATURE_SQL) == list(FEATURES)
 
 _TTEST = """
   SELECT seed, n, mean, sd, sd / sqrt(n) AS se, n - 1 AS df, mean / nullif(sd / sqrt(n), 0) AS t
   FROM (SELECT seed, count(*) AS n, avg(delta_f1) AS mean, stddev_samp(delta_f1) AS sd FROM deltas GROUP BY seed)"""
 
-# Five folds give four degrees of freedom, whose closed form is
-# A = sin(x) * (1 + cos(x)^2 / 2) with x = atan(|t| / 2).
-_P4 = "1 - sin(atan(abs(t) / 2)) * (1 + pow(cos(atan(abs(t) / 2)), 2) / 2)"
+# Twice the tail of Student's t from |t| on, summed over 20,000 slices of the angle
+# atan(|t| / sqrt(df)): the density is cos(angle)^(df - 1) up to its own whole integral.
+_ANGLE = "(SELECT avg(pow(cos({a} + (pi() / 2 - {a}) * (i + 0.5) / 20000), df - 1)) * (pi() / 2 - {a}) FROM range(20000) r(i))"
+_P = f"{_ANGLE.format(a='atan(abs(t) / sqrt(df))')} / {_ANGLE.format(a='0')}"
 
 _HOLDOUT_COUNTS = f"""
   SELECT 'phish_original_total' AS name, count(*) AS n FROM messages WHERE {_ORIGINAL}
@@ -290,23 +326,53 @@ _CHAR_GRAMS = r"""
 
 ORACLES: dict[str, str] = {
     # --- sources and sinks ---
-    "read_jsonl": "SELECT doc_id, lang, source, length(text) AS n_chars FROM documents",
-    "jsonl_roundtrip": _with(("messages",), "SELECT msg_id, label, base_msg_id, text FROM messages"),
-    "csv_roundtrip": _with(("messages",), "SELECT msg_id, label, base_msg_id, text FROM messages"),
+    "read_jsonl": "SELECT doc_id, lang, source, text FROM documents",
+    "jsonl_roundtrip": _with(("messages",), "SELECT * FROM messages"),
+    "append_jsonl": _with(("messages",), "SELECT * FROM messages"),
+    "csv_roundtrip": _with(("messages",), "SELECT * FROM messages"),
+    "read_sources": _with(
+        ("firsts",),
+        """SELECT msg_id, label, 0.85::DOUBLE AS temperature, DATE '2026-01-01' AS date_generated, length_words, text_hash, text
+FROM firsts WHERE text <> ''""",
+    ),
+    "provenance": _with(
+        ("messages",),
+        """SELECT msg_id, source, CASE WHEN label = 'legit' THEN 'legit_base_v1'
+    ELSE scenario || CASE WHEN doc_id % 7 = 0 THEN '_base' ELSE '_p' || (doc_id % 7) END || '_v1' END AS prompt_id,
+  'scorer' AS generation_model, 0.85::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, 900 AS max_output_tokens,
+  DATE '2026-01-01' AS date_generated FROM messages""",
+    ),
+    "required_columns": _with(
+        ("messages",),
+        """SELECT msg_id, concat_ws(',', CASE WHEN text IS NULL THEN 'text' END,
+  CASE WHEN base_msg_id IS NULL THEN 'base_msg_id' END) AS missing FROM messages""",
+    ),
     "merge_sources": _with(("messages",), "SELECT msg_id, base_msg_id, ord, text FROM messages"),
     "reject_log": _with(
         ("gated",),
-        """SELECT 'build' AS stage, msg_id, 1 AS attempt, reason,
+        """SELECT 'build' AS stage, scenario, base_msg_id, msg_id, paraphrase_strategy AS strategy, 1 AS attempt, reason,
+  nullif(regexp_extract(reason, '[(]([0-9]+)[)]', 1), '')::INT AS detail,
   CASE WHEN reason <> 'duplicate_hash' THEN left(text, 200) END AS preview FROM gated WHERE reason <> 'ok'""",
     ),
     "run_log": _with(
-        ("gated",), "SELECT 'build' AS stage, msg_id, 1 AS attempt, 'ok' AS status FROM gated WHERE reason = 'ok'"
+        ("gated",),
+        """SELECT 'build' AS stage, scenario, base_msg_id, msg_id, paraphrase_strategy AS strategy, 1 AS attempt, 'ok' AS status
+FROM gated WHERE reason = 'ok'""",
     ),
     "split_manifest": _with(
         ("split_rows",),
-        f"""SELECT 'counts' AS section, name, n::VARCHAR AS value FROM ({_HOLDOUT_COUNTS})
+        f"""SELECT 'settings' AS section, unnest(['dataset', 'seed', 'test_ratio']) AS name,
+  unnest(['documents', '{q.SEED}', '{q.TEST_RATIO}']) AS value
+UNION ALL SELECT 'counts', name, n::VARCHAR FROM ({_HOLDOUT_COUNTS})
 UNION ALL SELECT 'ids', side || CASE WHEN kind = 'negative' THEN '_legit_ids' ELSE '_phish_base_ids' END, family_id
 FROM sides""",
+    ),
+    "split_document": _with(("sides",), "SELECT family_id, kind, side FROM sides"),
+    "sweep_record": _with(
+        ("summary",),
+        f"""SELECT '{q.MODEL_NAME}' AS model, {q.K} AS folds, {len(q.SEEDS)} AS n_seeds, seed,
+  max(round(mean, 9)) FILTER (metric = 'delta_f1') AS delta_f1,
+  max(round(mean, 9)) FILTER (metric = 'delta_recall') AS delta_recall FROM summary GROUP BY seed""",
     ),
     "dataset_manifest": _with(
         ("firsts",),
@@ -319,8 +385,9 @@ UNION ALL VALUES ('settings', 'word_bounds', '{MIN_WORDS}-{MAX_WORDS}'),
   ('settings', 'deduplication', 'sha256 of normalized text')""",
     ),
     "metrics_json": _with(
-        ("deltas",),
-        f"SELECT '{q.MODEL_NAME}' AS model, seed, fold, round(A_f1, 9) AS A_f1, round(delta_f1, 9) AS delta_f1 FROM deltas",
+        ("deltas", "sizes"),
+        f"""SELECT '{q.MODEL_NAME}' AS model, 'documents' AS dataset, s.*, round(A_f1, 9) AS A_f1, round(delta_f1, 9) AS delta_f1
+FROM deltas JOIN sizes s USING (seed, fold)""",
     ),
     "json_dotpath": _with(
         ("summary",),
@@ -343,9 +410,10 @@ FROM (SELECT *, {_words('t')} AS w FROM (SELECT doc_id, {_normalized('text')} AS
   'legit_' || printf('%03d', doc_id) AS negative_id FROM documents""",
     "parse_ids": _with(
         ("messages",),
-        """SELECT msg_id, scenario AS id_scenario, doc_id // 7 AS id_index,
-  CASE WHEN variant_type = 'original' THEN 'orig' ELSE 'p' || (doc_id % 7) END AS id_variant,
-  coalesce(base_msg_id, msg_id) AS base_id FROM messages WHERE label = 'phish'""",
+        """SELECT msg_id, CASE WHEN label = 'phish' THEN scenario END AS id_scenario,
+  CASE WHEN label = 'phish' THEN doc_id // 7 END AS id_index,
+  CASE WHEN label = 'phish' THEN CASE WHEN variant_type = 'original' THEN 'orig' ELSE 'p' || (doc_id % 7) END END AS id_variant,
+  CASE WHEN label = 'phish' THEN coalesce(base_msg_id, msg_id) END AS base_id FROM messages""",
     ),
     "label_to_int": _with(("grouped",), "SELECT msg_id, y FROM grouped"),
     "group_id": _with(("grouped",), "SELECT msg_id, group_id FROM grouped"),
@@ -429,6 +497,15 @@ FROM uses LEFT JOIN cache USING (cache_key)""",
   (SELECT count(*) FROM cache) + count(*) FILTER (miss) AS entries
 FROM (SELECT cache_key NOT IN (SELECT cache_key FROM cache)
   AND row_number() OVER (PARTITION BY cache_key ORDER BY msg_id) = 1 AS miss FROM uses)""",
+    ),
+    "cache_upsert": _with(
+        ("uses", "cache"),
+        f"""SELECT cache_key, answer::BIGINT AS answer, NULL::BIGINT AS n_phish, NULL::VARCHAR AS raw_labels FROM cache
+UNION ALL SELECT cache_key, (2 * count(*) FILTER (s >= 0.5) >= 3)::BIGINT, count(*) FILTER (s >= 0.5),
+  string_agg(CASE WHEN s >= 0.5 THEN 'phish' ELSE 'legit' END, ',' ORDER BY vote)
+FROM (SELECT cache_key, vote, {_hash_score('cache_key', 'vote')} AS s
+  FROM (SELECT DISTINCT cache_key FROM uses WHERE cache_key NOT IN (SELECT cache_key FROM cache)),
+    (SELECT unnest([0, 1, 2]) AS vote)) GROUP BY cache_key""",
     ),
     # --- aggregations ---
     "group_table": _with(("groups",), "SELECT group_id, y FROM groups"),
@@ -470,7 +547,7 @@ FROM (SELECT cache_key NOT IN (SELECT cache_key FROM cache)
     "paired_ttest": _with(
         ("deltas",),
         f"""SELECT seed, n, round(mean, 8) AS mean, round(sd, 8) AS sd, round(se, 8) AS se, df, round(t, 8) AS t,
-  round({_P4}, 8) AS p FROM ({_TTEST})""",
+  CASE WHEN t IS NOT NULL THEN round({_P}, 8) END AS p FROM ({_TTEST})""",
     ),
     "seed_sweep": _with(("summary_sweep",), "SELECT seed, metric, round(mean, 9) AS value FROM summary_sweep"),
     "chart_series": _with(
@@ -503,15 +580,7 @@ FROM (SELECT seed, k.fold::INT AS fold, count(*) FILTER (g.y = 0) AS n0, count(*
   FROM grouped g JOIN folds9 f USING (group_id), (SELECT unnest(range(1, {q.K + 1})) AS fold) k
   WHERE variant_type = 'original' AND f.fold <> k.fold GROUP BY ALL)""",
     ),
-    "fold_sizes": _with(
-        ("folds",),
-        f"""SELECT seed, k.fold::INT AS fold, count(DISTINCT group_id) FILTER (f.fold <> k.fold) AS n_groups_train,
-  count(DISTINCT group_id) FILTER (f.fold = k.fold) AS n_groups_test,
-  count(*) FILTER (f.fold <> k.fold AND variant_type = 'original') AS n_train_rows,
-  count(*) FILTER (f.fold = k.fold AND variant_type = 'original') AS "n_testA_rows",
-  count(*) FILTER (f.fold = k.fold AND (label = 'legit' OR variant_type = 'paraphrase')) AS "n_testB_rows"
-FROM grouped JOIN folds f USING (group_id), (SELECT unnest(range(1, {q.K + 1})) AS fold) k GROUP BY seed, k.fold""",
-    ),
+    "fold_sizes": _with(("sizes",), "SELECT * FROM sizes"),
     # --- dedup, folds, splits, samples ---
     "dedup_first": _with(("firsts",), "SELECT msg_id, label, text_hash, length_words, text FROM firsts"),
     "flag_duplicates": _with(
@@ -524,12 +593,22 @@ FROM grouped JOIN folds f USING (group_id), (SELECT unnest(range(1, {q.K + 1}))
     "group_kfold": _with(("folds",), "SELECT seed, group_id, y, fold FROM folds"),
     "holdout_split": _with(("split_rows",), "SELECT split, msg_id FROM split_rows"),
     "replay_split": _with(("split_rows",), "SELECT split, msg_id, family_id FROM split_rows"),
+    # The validation side has ceil(ratio * n) rows of a fold; each class gets the whole
+    # part of its share, and what is left goes to the largest remainders.
     "train_val_split": _with(
-        ("folds9",),
-        f"""SELECT fold, msg_id, y, CASE WHEN row_number() OVER (PARTITION BY fold, y ORDER BY md5('{q.SEED}:' || msg_id), msg_id)
-  <= greatest(1, round_even(count(*) OVER (PARTITION BY fold, y) * {q.VAL_RATIO}, 0)) THEN 'val' ELSE 'train' END AS part
-FROM (SELECT k.fold, msg_id, g.y FROM grouped g JOIN folds9 f USING (group_id),
-  (SELECT unnest(range(1, {q.K + 1}))::INT AS fold) k WHERE variant_type = 'original' AND f.fold <> k.fold)""",
+        ("train_rows",),
+        f""", shares AS (SELECT fold, y, count(*) AS m, sum(count(*)) OVER (PARTITION BY fold) AS n,
+    ceil((sum(count(*)) OVER (PARTITION BY fold)) * {q.VAL_RATIO}::DECIMAL(10, 9))::BIGINT AS v FROM train_rows GROUP BY 1, 2),
+parts AS (SELECT *, (v * m) // n AS whole, (v * m) % n AS rest FROM shares),
+places AS (SELECT fold, y, whole + (row_number() OVER (PARTITION BY fold ORDER BY rest DESC, m DESC, y)
+    <= v - sum(whole) OVER (PARTITION BY fold))::INT AS k FROM parts)
+SELECT fold, msg_id, y, CASE WHEN row_number() OVER (PARTITION BY fold, y ORDER BY md5('{q.SEED}:' || msg_id), msg_id) <= k
+  THEN 'val' ELSE 'train' END AS part FROM train_rows JOIN places USING (fold, y)""",
+    ),
+    "train_val_plain": _with(
+        ("train_rows",),
+        f"""SELECT fold, msg_id, CASE WHEN row_number() OVER (PARTITION BY fold ORDER BY md5('{q.SEED}:' || msg_id), msg_id)
+  <= ceil((count(*) OVER (PARTITION BY fold)) * {q.VAL_RATIO}::DECIMAL(10, 9)) THEN 'val' ELSE 'train' END AS part FROM train_rows""",
     ),
     "capped_sample": _with(
         ("folds9", "cond"),
@@ -562,8 +641,9 @@ INTERSECT SELECT text_hash FROM split_rows WHERE split <> 'train'""",
     + ", ".join(f"({sql})::DOUBLE AS {name}" for name, sql in _FEATURE_SQL.items())
     + f" FROM (SELECT doc_id, trim(text, {BLANKS}) AS s FROM documents)",
     "word_ngrams": _with(("doc_terms",), "SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY 1, 2"),
-    "char_wb_ngrams": f"""SELECT gram, count(DISTINCT doc_id) AS n_docs, count(*) AS n_total
-FROM ({_CHAR_GRAMS}) GROUP BY 1""",
+    "char_wb_ngrams": f"""SELECT doc_id, count(*) AS n_grams, sum(tf)::BIGINT AS n_total,
+  md5(string_agg(gram || '=' || tf, '|' ORDER BY gram || '=' || tf)) AS digest
+FROM (SELECT doc_id, gram, count(*) AS tf FROM ({_CHAR_GRAMS}) GROUP BY 1, 2) GROUP BY 1""",
     "tfidf": _with(
         ("messages", "doc_terms"),
         """, counted AS (SELECT msg_id, variant_type = 'original' AS fit, term, count(*) AS tf
@@ -573,6 +653,38 @@ vocab AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM counted, n W
   HAVING count(*) >= 2 AND count(*) <= 0.95 * n),
 weighted AS (SELECT msg_id, term, tf * idf AS x FROM counted JOIN vocab USING (term))
 SELECT msg_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY msg_id)), 9) AS tfidf FROM weighted""",
+    ),
+    "assemble_features": _with(
+        ("labelled",),
+        f""", counted AS (SELECT msg_id, NOT variant AS fit, term, count(*) AS tf
+    FROM (SELECT msg_id, variant, unnest({_ngrams('text')}) AS term FROM labelled) GROUP BY 1, 2, 3),
+n AS (SELECT count(*) AS n FROM labelled WHERE NOT variant),
+vocab AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM counted, n WHERE fit GROUP BY term, n
+  HAVING count(*) >= 2 AND count(*) <= 0.95 * n),
+weighted AS (SELECT msg_id, term, tf * idf AS x FROM counted JOIN vocab USING (term)),
+numbers AS (SELECT msg_id, """
+        + ", ".join(f"({sql})::DOUBLE AS {name}" for name, sql in _FEATURE_SQL.items())
+        + f""" FROM (SELECT msg_id, trim(text, {BLANKS}) AS s FROM labelled))
+SELECT msg_id, 'word' AS block, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY msg_id)), 6) AS value FROM weighted
+UNION ALL SELECT msg_id, 'numeric', term, round(value, 6)
+FROM (UNPIVOT numbers ON COLUMNS(* EXCLUDE msg_id) INTO NAME term VALUE value) WHERE value <> 0""",
+    ),
+    # A fit has no closed form in SQL: these state what must hold of it for every row.
+    "fit_logreg": _with(
+        ("labelled",),
+        """SELECT y, count(*) AS n_rows, (SELECT count(*) FROM labelled WHERE NOT variant) AS n_fitted, true AS solved,
+  true AS learned FROM labelled GROUP BY y""",
+    ),
+    "fit_forest": _with(
+        ("labelled",),
+        f"""SELECT y, count(*) AS n_rows, (SELECT count(*) FROM labelled WHERE NOT variant) AS n_fitted,
+  {q.FOREST_SPEC.trees}::BIGINT AS n_trees, true AS in_depth, true AS learned FROM labelled GROUP BY y""",
+    ),
+    "cv_experiment": _with(
+        ("labelled", "labelled_folds", "cond"),
+        """SELECT seed, fold, cond, count(*) FILTER (r.y = 0) AS n_negative,
+  count(*) FILTER (r.y = 1 AND (cond = 'B') = variant) AS n_positive, true AS in_range
+FROM labelled r JOIN labelled_folds f USING (group_id), cond GROUP BY ALL""",
     ),
     "seq_tokens": _with(
         ("seq",),
@@ -587,9 +699,7 @@ SELECT msg_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY msg_id)), 9) A
   LEFT JOIN top USING (token) GROUP BY doc_id)""",
     ),
     # --- streaming ---
-    "stream_gate": _with(
-        ("gated",), "SELECT regexp_extract(reason, '^[^(]+') AS fate, count(*) AS n FROM gated GROUP BY 1"
-    ),
+    "stream_gate": _with(("streamed",), "SELECT msg_id, fate FROM streamed"),
 }
 
 

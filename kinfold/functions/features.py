@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .text import NON_SPACE, SPACE, strip
 
 # --- Fixed values: patterns and words that define the features. ---
-URL = r"(?iu)(https?://\S+|www\.\S+)"
+URL = rf"(?iU)(https?://{NON_SPACE}+|www\.{NON_SPACE}+)"
 EMAIL = r"(?iU)\b[\w\.-]+@[\w\.-]+\.\w+\b"
-PHONE = r"(?U)(\+\d{1,3}[\s-]?)?(\(?\d{2,4}\)?[\s-]?)?\d{3,4}[\s-]?\d{3,4}"
-MONEY = r"(?iU)(\$|€|£)\s?\d+|\b\d+\s?(usd|eur|gbp)\b"
+PHONE = r"(?U)(\+\d{1,3}[\s\x1c-\x1f-]?)?(\(?\d{2,4}\)?[\s\x1c-\x1f-]?)?\d{3,4}[\s\x1c-\x1f-]?\d{3,4}"
+MONEY = rf"(?iU)(\$|€|£){SPACE}?\d+|\b\d+{SPACE}?(usd|eur|gbp)\b"
 PUNCTUATION = ".,;:!?()[]{}<>\"'"
 KEYWORDS = (
     "invoice", "payment", "billing", "vendor", "bank", "wire",
@@ -23,13 +23,12 @@ KEYWORDS = (
     "security", "compliance", "attestation", "portal", "recover", "recovery",
     "urgent", "immediately", "asap", "action required",
 )
-# --- end of fixed values ---
-
 FEATURES = (
     "n_chars", "n_words", "n_lines", "avg_word_len", "caps_ratio", "digit_ratio",
     "punct_ratio", "exclam", "question", "n_urls", "n_emails", "n_phones",
     "n_money", "kw_hits", "has_url", "has_http",
 )
+# --- end of fixed values ---
 
 
 @cache

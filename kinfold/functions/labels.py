@@ -59,7 +59,7 @@ def role(labels: Labels = DEFAULT_LABELS) -> Column:
 
 def trains(labels: Labels = DEFAULT_LABELS) -> Column:
     """Models are fitted on negatives and positive originals only."""
-    return is_negative(labels) | is_original(labels)
+    return (F.col("label") == labels.negative) | is_original(labels)
 
 
 def in_condition(name: str, labels: Labels = DEFAULT_LABELS) -> Column:

@@ -46,6 +46,16 @@ def assert_no_leakage(split_rows: DataFrame, labels: Labels = DEFAULT_LABELS) ->
         raise ValueError(f"leakage, first cases: {[tuple(r) for r in found]}")
 
 
+def assert_folds_apart(rows: DataFrame, columns: list[str], group: str = "group_id") -> None:
+    """A family with rows in two folds of one seed is an error."""
+    apart = [F.min(c) == F.max(c) for c in columns]
+    broken = rows.groupBy(group).agg(*[a.alias(f"_{i}") for i, a in enumerate(apart)])
+    whole = " AND ".join(f"coalesce(_{i}, false)" for i in range(len(columns)))
+    found = broken.filter(f"NOT ({whole})").select(group).limit(5).collect()
+    if found:
+        raise ValueError(f"families in several folds, or in none: {[r[0] for r in found]}")
+
+
 def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys present on both sides; empty when the sides are disjoint.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compute_once, normalize_text, text_hash, word_count
+from .joins import required
 
 # Rank of a source in ord: room for 2^56 positions within each source.
 SOURCE_STRIDE = 1 << 56
@@ -40,14 +41,16 @@ def backfill(df: DataFrame) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, key: str = "text_hash", ord: str = "ord") -> DataFrame:
-    """The first row of every key by `ord`; rows without a key are dropped.
+    """The first row of every key by `ord`; rows without a key are dropped, a row
+    without `ord` is an error.
 
     min_by is an aggregate: each task forwards one row per key, so the copies
     of a hot text are gone before the shuffle, and the text travels once.
     """
     rest = [c for c in df.columns if c != key]
     return (
-        df.filter(F.coalesce(F.col(key), F.lit("")) != "")
+        required(df, ord)
+        .filter(F.coalesce(F.col(key), F.lit("")) != "")
         .groupBy(key)
         .agg(F.min_by(F.struct(*rest), F.col(ord)).alias("_row"))
         .select(key, "_row.*")

@@ -11,10 +11,12 @@ from ..functions.labels import group_id, is_original, is_variant, label_to_int,
 from .joins import skew_join, skip_existing
 
 
-def with_groups(df: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
-    """Add `y` (1 positive, 0 negative) and `group_id` (the family key)."""
+def with_groups(df: DataFrame, labels: Labels = DEFAULT_LABELS, family: str | None = None) -> DataFrame:
+    """Add `y` (1 positive, 0 negative) and `group_id`, the family key: taken from the
+    base id, or from column `family` where rows of either class can be related."""
     require_columns(df)
-    return df.withColumns({"y": label_to_int(F.col("label"), labels), "group_id": group_id(labels)})
+    key = F.col(family) if family else group_id(labels)
+    return df.withColumns({"y": label_to_int(F.col("label"), labels), "group_id": key})
 
 
 def group_table(df: DataFrame) -> DataFrame:
@@ -47,19 +49,18 @@ def family_rows(df: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
 
 
 def orphan_variants(df: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
-    """Variants whose original is absent.
+    """Variants whose original is absent, and those that name none.
 
-    Decided per distinct base id, then carried back to the rows.
+    Decided per distinct base id, then carried back to the rows; one count of
+    the base ids serves both.
     """
     variants = df.filter(is_variant(labels))
     originals = df.filter(is_original(labels)).select(F.col("msg_id").alias("base_msg_id"))
-    absent = (
-        variants.filter(F.col("base_msg_id").isNotNull())
-        .select("base_msg_id")
-        .distinct()
-        .join(originals, "base_msg_id", "left_anti")
-    )
-    return skew_join(variants, absent, ["base_msg_id"], ["msg_id"])
+    counts = variants.groupBy("base_msg_id").agg(F.count(F.lit(1)).alias("_rows"))
+    absent = counts.filter("base_msg_id IS NOT NULL").select("base_msg_id")
+    absent = absent.join(originals, "base_msg_id", "left_anti")
+    orphans = skew_join(variants, absent, ["base_msg_id"], ["msg_id"], counts=counts)
+    return orphans.unionByName(variants.filter("base_msg_id IS NULL"))
 
 
 def missing_variants(df: DataFrame, strategies: dict = STRATEGIES, labels: Labels = DEFAULT_LABELS) -> DataFrame:

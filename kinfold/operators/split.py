@@ -2,22 +2,26 @@
 
 All of them order rows by md5(seed:id). That order depends on neither the
 partitioning nor the input order, and every retry repeats it. The exact rank is
-computed in two steps: the leading hex digits cut each stratum into buckets of
-equal expected size, counts per bucket give its offset, and rows are numbered
+computed in steps: the leading hex digits cut each stratum into 16.7 million
+buckets of equal expected size, running counts give the offset of each bucket, in
+two levels so that no window holds more than 4,096 of them, and rows are numbered
 inside their bucket. No task ever sorts a whole stratum.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LABELS, Labels
-from ..functions.labels import is_negative, is_original, is_variant, role, trains
+from ..functions.labels import group_id, is_negative, is_original, is_variant, role, trains
 from ..functions.text import hash_number, keyed_hash
-from .joins import skew_join
+from .checks import assert_no_leakage
+from .joins import required, skew_join
 
-PREFIX_DIGITS = 3  # 4,096 buckets per stratum
+LEVEL = 3  # hex digits per level of buckets
 
 
 def keyed_rank(
@@ -27,55 +31,56 @@ def keyed_rank(
     strata: list[str],
     outer: list[str] | None = None,
     top: int | None = None,
-    digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
     """Add `rank` (1-based within the strata) and `n` (stratum size).
 
-    `outer` names the leading strata columns inside which strata follow each
-    other in one numbering; then `before` holds the rows of earlier strata.
-    With `top`, buckets that start beyond that rank are skipped unsorted.
+    Null strata are strata of their own; a null id is an error. `outer` names the
+    leading strata columns inside which strata follow each other in one
+    numbering; then `before` holds the rows of earlier strata. With `top`,
+    buckets that start beyond that rank are skipped unsorted.
     """
-    keyed = df.withColumn("_key", keyed_hash(seed, F.col(id_col))).withColumn(
-        "_bucket", F.substring("_key", 1, digits)
-    )
-    place = [*strata, "_bucket"]
-    counts = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
-    # Windows over the counts only: a few thousand rows per stratum.
+    keyed = required(df, id_col).withColumn("_key", keyed_hash(seed, F.col(id_col)))
+    keyed = keyed.withColumns({"_high": F.substring("_key", 1, LEVEL), "_low": F.substring("_key", 1 + LEVEL, LEVEL)})
+    fine = keyed.groupBy(*strata, "_high", "_low").agg(F.count(F.lit(1)).alias("_rows"))
+    coarse = fine.groupBy(*strata, "_high").agg(F.sum("_rows").alias("_rows"))
+    # At most 4,096 rows to a window on either level.
     within = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    earlier = within.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *place,
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
+    earlier = [Window.unboundedPreceding, -1]
+    starts = coarse.select(
+        *strata,
+        "_high",
+        F.coalesce(F.sum("_rows").over(within.orderBy("_high").rowsBetween(*earlier)), F.lit(0)).alias("_start"),
         F.sum("_rows").over(within).alias("n"),
-        *(
-            [
-                F.coalesce(
-                    F.sum("_rows").over(
-                        Window.partitionBy(*outer)
-                        .orderBy(*[s for s in strata if s not in outer])
-                        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-                    ),
-                    F.lit(0),
-                ).alias("_through")
-            ]
-            if outer is not None
-            else []
-        ),
     )
     if outer is not None:
-        offsets = offsets.withColumn("before", F.col("_through") - F.col("n")).drop("_through")
+        inner = [s for s in strata if s not in outer]
+        sizes = starts.select(*strata, "n").distinct()
+        before = Window.partitionBy(*outer).orderBy(*inner).rowsBetween(*earlier)
+        sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        starts = _join_null_safe(starts, sizes, strata)
+    inside = Window.partitionBy(*strata, "_high").orderBy("_low").rowsBetween(*earlier)
+    offsets = fine.withColumn("_inside", F.coalesce(F.sum("_rows").over(inside), F.lit(0))).drop("_rows")
+    offsets = _join_null_safe(offsets, starts, [*strata, "_high"])
+    offsets = offsets.withColumn("_start", F.col("_start") + F.col("_inside")).drop("_inside")
     if top is not None:
-        # At most top + 1 buckets per stratum are left: rows elsewhere never move.
-        offsets = F.broadcast(offsets.filter(F.col("_start") < top))
+        offsets = offsets.filter(F.col("_start") < top)
+    place = [*strata, "_high", "_low"]
     in_bucket = Window.partitionBy(*place).orderBy("_key", id_col)
     ranked = (
-        keyed.join(offsets, place)
+        _join_null_safe(keyed, offsets, place)
         .withColumn("rank", F.row_number().over(in_bucket) + F.col("_start"))
-        .drop("_key", "_bucket", "_start")
+        .drop("_key", "_high", "_low", "_start")
     )
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which null keys meet."""
+    other = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on])
+    return left.join(other, same).drop(*[f"_of_{c}" for c in on])
+
+
 def group_kfold(groups: DataFrame, seeds: list[int], k: int = 5) -> DataFrame:
     """(seed, group_id, y, fold): folds of equal class mix, a family in one fold.
 
@@ -160,11 +165,13 @@ def fold_sizes(rows: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
 def holdout_sides(messages: DataFrame, seed: int, ratio: float = 0.2, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """(family_id, kind, side): originals and negatives, each cut at `ratio`.
 
-    At least one of each goes to test; the count rounds half to even.
+    At least one of each goes to test; the count rounds half to even. Rows
+    without an id are left out, and an id that comes twice counts once.
     """
     units = messages.filter((is_original(labels) | is_negative(labels)) & F.col("msg_id").isNotNull()).select(
         F.col("msg_id").alias("family_id"), role(labels).alias("kind")
     )
+    units = units.distinct()
     ranked = keyed_rank(units, "family_id", F.lit(seed), ["kind"])
     n_test = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(ratio)).cast("bigint"))
     return ranked.select(
@@ -176,10 +183,11 @@ def apply_sides(messages: DataFrame, sides: DataFrame, labels: Labels = DEFAULT_
     """Rows by `split`: train, test_original, test_paraphrase.
 
     Train holds no variants; test_paraphrase holds the variants of test
-    families; the test negatives are in both test splits.
+    families; the test negatives are in both test splits. A variant without a
+    base id is an error; rows that `sides` does not know are left out.
     """
     kind = F.when(is_variant(labels), F.lit("positive_original")).otherwise(role(labels))
-    family = F.when(is_variant(labels), F.col("base_msg_id")).otherwise(F.col("msg_id"))
+    family = group_id(labels)
     member = messages.withColumns({"family_id": family, "kind": kind})
     joined = skew_join(member, sides, ["family_id", "kind"], ["msg_id"])
     test = F.col("side") == "test"
@@ -194,15 +202,55 @@ def apply_sides(messages: DataFrame, sides: DataFrame, labels: Labels = DEFAULT_
     )
 
 
-def holdout_split(messages: DataFrame, seed: int, ratio: float = 0.2, labels: Labels = DEFAULT_LABELS) -> DataFrame:
-    return apply_sides(messages, holdout_sides(messages, seed, ratio, labels), labels)
-
+def holdout_split(
+    messages: DataFrame, seed: int, ratio: float = 0.2, labels: Labels = DEFAULT_LABELS, check: bool = True
+) -> DataFrame:
+    """Rows by `split`; with `check`, leakage between the sides is an error at once."""
+    rows = apply_sides(messages, holdout_sides(messages, seed, ratio, labels), labels)
+    if check:
+        assert_no_leakage(rows, labels)
+    return rows
+
+
+def train_val_split(
+    rows: DataFrame,
+    seed: int,
+    ratio: float = 0.2,
+    strata: list[str] | None = None,
+    within: list[str] | None = None,
+    id_col: str = "msg_id",
+) -> DataFrame:
+    """Add `part`: `val` or `train`.
 
-def train_val_split(rows: DataFrame, seed: int, ratio: float, strata: list[str], id_col: str = "msg_id") -> DataFrame:
-    """Add `part`: val for the first share of each stratum, else train."""
-    ranked = keyed_rank(rows, id_col, F.lit(seed), strata)
-    n_val = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(ratio)).cast("bigint"))
-    return ranked.withColumn("part", F.when(F.col("rank") <= n_val, "val").otherwise("train")).drop("rank", "n")
+    The validation side has the ceiling of `ratio` times all rows, at least one.
+    With `strata`, that many places are allotted to the strata by their exact
+    shares: the whole parts first, the places left over by largest remainder,
+    ties by stratum size, then name. `within` names columns, a fold for
+    instance, each of whose values is a split of its own.
+    """
+    strata, within = strata or [], within or []
+    ranked = keyed_rank(rows, id_col, F.lit(seed), [*within, *strata])
+    # Ratios are exact to nine digits, so that no rounding of doubles adds a place.
+    part = F.round(F.lit(ratio), 9).cast("decimal(10,9)")
+
+    def places_of(n: Column) -> Column:
+        return F.greatest(F.ceil(n.cast("decimal(20,0)") * part).cast("bigint"), F.lit(1))
+
+    if strata:
+        sizes = rows.groupBy(*within, *strata).agg(F.count(F.lit(1)).alias("_size"))
+        group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+        sizes = sizes.withColumn("_total", F.sum("_size").over(group)).withColumn("_wanted", places_of(F.col("_total")))
+        share = F.col("_wanted") * F.col("_size")
+        sizes = sizes.withColumns({"_whole": F.floor(share / F.col("_total")), "_rest": share % F.col("_total")})
+        order = F.row_number().over(group.orderBy(F.desc("_rest"), F.desc("_size"), *strata))
+        left_over = F.col("_wanted") - F.sum("_whole").over(group)
+        # As many rows as there are strata.
+        places = sizes.select(*within, *strata, (F.col("_whole") + (order <= left_over).cast("int")).alias("_places"))
+        ranked = _join_null_safe(ranked, places, [*within, *strata])
+    else:
+        ranked = ranked.withColumn("_places", places_of(F.col("n")))
+    part_of = F.when(F.col("rank") <= F.col("_places"), "val").otherwise("train")
+    return ranked.withColumn("part", part_of).drop("rank", "n", "_places")
 
 
 def capped_sample(rows: DataFrame, n: int, seed: int, strata: list[str], id_col: str = "msg_id") -> DataFrame:

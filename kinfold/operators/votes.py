@@ -66,6 +66,21 @@ def cache_misses(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> D
     return rows.select(key).distinct().join(cache.select(key), key, "left_anti")
 
 
+def save_answers(cache: DataFrame, answers: DataFrame, key: str = "cache_key") -> DataFrame:
+    """The cache with new answers merged in, one row per key; a new answer replaces
+    an old one. Keys without an answer stay out; columns that one side lacks are
+    null there."""
+    ranked = cache.withColumn("_new", F.lit(0)).unionByName(answers.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in ranked.columns if c not in (key, "_new")]
+    merged = ranked.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), "_new").alias("_row"))
+    return merged.select(key, *[F.col(f"_row.{c}") for c in rest])
+
+
+def write_cache(cache: DataFrame, path: str) -> None:
+    """Into a folder of its own: a reader of the old one is not disturbed."""
+    cache.write.mode("errorifexists").parquet(path)
+
+
 def cache_stats(uses: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
     """Hits, misses and final entries of a run that adds its answers as it goes.
 

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BUILD_RULES, DUPLICATE, OK, GateRules
+from ..config import BUILD_RULES, DEFAULT_LABELS, DUPLICATE, OK, GateRules, Labels
 from ..functions.gate import gate_reason
+from ..functions.ids import id_variant
+from ..functions.labels import is_variant
 from ..functions.text import compute_once, normalize_text, preview, text_hash, word_count
 from ..operators.dedup import backfill, dedup_first
-from ..operators.joins import first_uses
+from ..operators.joins import first_uses, required
+from ..session import new_path
 
-LOG_COLUMNS = ("msg_id", "reason", "preview")
+# What a log event says of its message, null where the messages lack the column.
+LOG_FIELDS = {"scenario": "string", "base_msg_id": "string", "paraphrase_strategy": "string", "attempt": "int"}
 
 
 @dataclass(frozen=True)
 class Gated:
+    """`scratch` is the written table that both read; `session.release` removes it."""
+
     accepted: DataFrame
     rejected: DataFrame
+    scratch: str
 
 
 def score_gate(messages: DataFrame, rules: GateRules = BUILD_RULES, finish: str | None = None) -> DataFrame:
@@ -33,48 +41,71 @@ def score_gate(messages: DataFrame, rules: GateRules = BUILD_RULES, finish: str
 
 def gate_and_dedup(
     messages: DataFrame,
-    known: DataFrame | None = None,
+    known: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     rules: GateRules = BUILD_RULES,
     finish: str | None = None,
 ) -> Gated:
     """Accepted rows, and the log of the others.
 
-    Accepted: passes the gate, first of its text, text not in `known`. Whole
-    rows are shuffled once, after the copies were merged map-side. Rejected:
-    whatever did not win, found by `ord`, so copies of one text are spread over
-    all tasks; these rows carry ids, reasons and a preview only.
+    Texts are cleaned, counted and hashed once; the scored rows are written, and
+    what follows reads the columns it needs. Accepted: passes the gate, first of
+    its text, text not in `known`; whole rows are shuffled once, after the copies
+    were merged map-side. Rejected: whatever did not win, found by `ord`, so copies
+    of one text are spread over all tasks. A row without `ord` is an error.
+    `known` may be a function of the rows that pass, to look up theirs only.
     """
-    scored = score_gate(messages, rules, finish)
+    spark = messages.sparkSession
+    path = new_path(spark, "gate")
+    scored = required(score_gate(messages, rules, finish), "ord")
+    scored.write.parquet(path)
+    scored = spark.read.schema(scored.schema).parquet(path)
     passed = scored.filter(F.col("reason") == OK)
+    if callable(known):
+        known = known(passed)
     accepted = dedup_first(passed)
     if known is not None:
         accepted = accepted.join(known.select("text_hash").distinct(), "text_hash", "left_anti")
     winners = first_uses(passed.select("text_hash", "ord"), known)
     rejected = (
-        scored.select("msg_id", "ord", "reason", preview(F.col("text")).alias("preview"))
+        scored.select("msg_id", "ord", "reason", preview(F.col("text")).alias("preview"), *_log_fields(scored))
         .join(winners.select("ord"), "ord", "left_anti")
         .select(
             "msg_id",
+            *LOG_FIELDS,
             F.when(F.col("reason") == OK, DUPLICATE).otherwise(F.col("reason")).alias("reason"),
             F.when(F.col("reason") != OK, F.col("preview")).alias("preview"),
         )
     )
-    return Gated(accepted, rejected)
+    return Gated(accepted, rejected, path)
+
+
+def _log_fields(df: DataFrame) -> list[Column]:
+    have = {n: F.col(n).cast(kind) if n in df.columns else F.lit(None).cast(kind) for n, kind in LOG_FIELDS.items()}
+    have["attempt"] = F.coalesce(have["attempt"], F.lit(1))
+    return [c.alias(n) for n, c in have.items()]
+
+
+def _event(stage: str) -> list:
+    strategy = F.col("paraphrase_strategy").alias("strategy")
+    return [F.lit(stage).alias("stage"), "scenario", "base_msg_id", "msg_id", strategy, "attempt"]
+
+
+def _day(date: str | None) -> Column:
+    return (F.lit(date).cast("date") if date else F.current_date()).alias("date")
 
 
 def reject_log(gated: Gated, stage: str, date: str | None = None) -> DataFrame:
-    """Log events: stage, id, reason, preview, date; write partitioned by both."""
-    day = F.lit(date).cast("date") if date else F.current_date()
-    return gated.rejected.select(
-        F.lit(stage).alias("stage"), "msg_id", F.lit(1).alias("attempt"), "reason", "preview", day.alias("date")
-    )
+    """An event per rejected row: what it is, its reason, the number the reason
+    speaks of as `detail`, and a preview; to be written by date and stage."""
+    detail = F.nullif(F.regexp_extract("reason", r"\((\d+)\)", 1), F.lit("")).cast("int").alias("detail")
+    return gated.rejected.select(*_event(stage), "reason", detail, "preview", _day(date))
 
 
 def run_log(gated: Gated, stage: str, date: str | None = None) -> DataFrame:
-    day = F.lit(date).cast("date") if date else F.current_date()
-    return gated.accepted.select(
-        F.lit(stage).alias("stage"), "msg_id", F.lit(1).alias("attempt"), F.lit(OK).alias("status"), day.alias("date")
-    )
+    """An event per accepted row."""
+    rest = [c for c in gated.accepted.columns if c not in LOG_FIELDS]
+    rows = gated.accepted.select(*rest, *_log_fields(gated.accepted))
+    return rows.select(*_event(stage), F.lit(OK).alias("status"), _day(date))
 
 
 def append_log(log: DataFrame, path: str) -> None:
@@ -87,12 +118,27 @@ def finalize(merged: DataFrame) -> DataFrame:
 
 
 def with_provenance(
-    messages: DataFrame, model: str, temperature: float, top_p: float, max_output_tokens: int, date: str | None = None
+    messages: DataFrame,
+    model: str,
+    temperature: float,
+    top_p: float,
+    max_output_tokens: int,
+    date: str | None = None,
+    source: str = "generated_llm",
+    negative_source: str = "synthetic_legit",
+    version: str = "v1",
+    labels: Labels = DEFAULT_LABELS,
 ) -> DataFrame:
-    """Constant columns that say how a run made its messages."""
+    """Columns that say how a run made its messages. The prompt is named by scenario, or
+    the negative label, and variant code, `base` for all but variants."""
     day = F.lit(date).cast("date") if date else F.current_date()
+    negative = F.col("label") == labels.negative
+    topic = F.when(negative, F.lit(labels.negative)).otherwise(F.col("scenario"))
+    code = F.when(is_variant(labels), id_variant(F.col("msg_id"))).otherwise(F.lit("base"))
     return messages.withColumns(
         {
+            "source": F.when(negative, F.lit(negative_source)).otherwise(F.lit(source)),
+            "prompt_id": F.concat_ws("_", topic, code, F.lit(version)),
             "generation_model": F.lit(model),
             "temperature": F.lit(float(temperature)),
             "top_p": F.lit(float(top_p)),

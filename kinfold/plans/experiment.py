@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LABELS, Labels
 from ..functions.labels import trains
+from ..operators.checks import assert_folds_apart
 from ..operators.families import group_table, with_groups
 from ..operators.metrics import ab_delta, binary_metrics, by_condition, fold_summary
 from ..operators.models import ModelSpec, fit_model, with_terms
@@ -36,12 +37,17 @@ def cv_predictions(
     k: int,
     labels: Labels = DEFAULT_LABELS,
     parallelism: int = 5,
+    family: str | None = None,
 ) -> DataFrame:
-    """(seed, fold, msg_id, cond, y, pred) of all test rows of all folds."""
+    """(seed, fold, msg_id, cond, y, pred) of all test rows of all folds.
+
+    A family on both sides of a fold is an error before anything is fitted.
+    """
     keep = ["msg_id", "label", "variant_type", "y"]
-    grouped = with_groups(messages, labels).select(*keep, "group_id", "text")
+    grouped = with_groups(messages, labels, family).select(*keep, "group_id", "text")
     placed = fold_columns(grouped, group_kfold(group_table(grouped), seeds, k), seeds)
     terms = materialize(with_terms(placed, spec), "terms")
+    assert_folds_apart(terms, [f"fold_{s}" for s in seeds])
 
     def one(place: tuple[int, int]) -> DataFrame:
         seed, number = place
@@ -58,10 +64,17 @@ def cv_predictions(
     return by_condition(reduce(DataFrame.unionByName, scored), labels)
 
 
-def run_cv(messages: DataFrame, spec: ModelSpec, seeds: list[int], k: int = 5, labels: Labels = DEFAULT_LABELS) -> DataFrame:
+def run_cv(
+    messages: DataFrame,
+    spec: ModelSpec,
+    seeds: list[int],
+    k: int = 5,
+    labels: Labels = DEFAULT_LABELS,
+    family: str | None = None,
+) -> DataFrame:
     """Metrics per (seed, fold, condition), written once: predicting is not
     repeated by the summaries that follow."""
-    return materialize(binary_metrics(cv_predictions(messages, spec, seeds, k, labels)), "metrics")
+    return materialize(binary_metrics(cv_predictions(messages, spec, seeds, k, labels, family=family)), "metrics")
 
 
 def cv_summary(metrics: DataFrame) -> DataFrame:

@@ -67,6 +67,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def intermediates(spark: SparkSession) -> list[str]:
+    """Paths made by `new_path` that are not yet removed."""
+    return list(_MADE.get(spark.sparkContext.applicationId, []))
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Remove intermediates that nobody reads any more: those given, or all
     that this application has made through `new_path`."""

@@ -37,16 +37,30 @@ def split_counts(messages: DataFrame, split_rows: DataFrame, labels: Labels = DE
     return long(totals).unionByName(long(parts))
 
 
-def split_manifest(messages: DataFrame, sides: DataFrame, split_rows: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
-    """(section, name, value): the counts, and every id of the four id lists.
+def split_manifest(
+    messages: DataFrame,
+    sides: DataFrame,
+    split_rows: DataFrame,
+    labels: Labels = DEFAULT_LABELS,
+    dataset: str = "",
+    seed: int | None = None,
+    test_ratio: float | None = None,
+) -> DataFrame:
+    """(section, name, value): the settings of the split where given, the counts, and
+    every id of the four id lists.
 
     Long form: a list in one field would not hold the ids of a large corpus.
     """
+    given = {"dataset": dataset or None, "seed": seed, "test_ratio": test_ratio}
+    pairs = [(n, str(v)) for n, v in given.items() if v is not None]
+    header = messages.sparkSession.createDataFrame(
+        [("settings", n, v) for n, v in pairs], "section string, name string, value string"
+    )
     counts = split_counts(messages, split_rows, labels).select(
         F.lit("counts").alias("section"), "name", F.col("n").cast("string").alias("value")
     )
     ids = sides.select(F.lit("ids").alias("section"), list_name(labels).alias("name"), F.col("family_id").alias("value"))
-    return counts.unionByName(ids)
+    return header.unionByName(counts).unionByName(ids)
 
 
 def write_split_manifest(manifest: DataFrame, path: str) -> None:
@@ -56,6 +70,35 @@ def write_split_manifest(manifest: DataFrame, path: str) -> None:
     ).write.mode("overwrite").partitionBy("section", "name").json(path)
 
 
+def split_document(manifest: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """One row: the manifest as a nested record with sorted id lists, for tools that
+    read a single document. Beyond `most` ids, which one row should not hold, it
+    is an error; the long form has no such bound."""
+    n = manifest.filter("section = 'ids'").limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} ids: use the long form")
+
+    def value(section: str, name: str, kind: str) -> Column:
+        of = (F.col("section") == section) & (F.col("name") == name)
+        return F.max(F.when(of, F.col("value"))).cast(kind).alias(name)
+
+    def listed(name: str) -> Column:
+        of = (F.col("section") == "ids") & (F.col("name") == name)
+        return F.sort_array(F.collect_list(F.when(of, F.col("value")))).alias(name)
+
+    names = [r[0] for r in manifest.filter("section = 'counts'").select("name").distinct().orderBy("name").collect()]
+    settings = {"dataset": "string", "seed": "bigint", "test_ratio": "double"}
+    return manifest.agg(
+        *[value("settings", n, kind) for n, kind in settings.items()],
+        F.struct(*[value("counts", n, "bigint") for n in names]).alias("counts"),
+        F.struct(*[listed(n) for n in ID_LISTS]).alias("splits"),
+    )
+
+
+def write_split_document(manifest: DataFrame, path: str) -> None:
+    split_document(manifest).write.mode("overwrite").json(path)
+
+
 def read_split_ids(spark: SparkSession, path: str) -> DataFrame:
     """(family_id, kind, side) from a manifest written by `write_split_manifest`."""
     rows = spark.read.schema("section string, name string, value string").json(path)
@@ -119,33 +162,69 @@ def manifest_markdown(manifest: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
-def metrics_record(metrics: DataFrame, folds: DataFrame, summary: DataFrame, model: str) -> DataFrame:
+# Names of the sizes of a fold in its record.
+SIZES = ("n_groups_train", "n_groups_test", "n_train_rows", "n_testA_rows", "n_testB_rows")
+
+
+def metrics_record(
+    metrics: DataFrame,
+    folds: DataFrame,
+    summary: DataFrame,
+    model: str,
+    sizes: DataFrame | None = None,
+    settings: dict[str, str] | None = None,
+) -> DataFrame:
     """(seed, record): one nested experiment record per seed.
 
-    The fold list has one entry per fold of the run.
+    The fold list has one entry per fold of the run, with the columns of `sizes`
+    (one row per seed and fold); `settings` are what the run was given, dataset,
+    grouping and training rule for instance.
     """
+    if sizes is not None:
+        folds = folds.join(sizes, ["seed", "fold"])
+    counts = [c for c in SIZES if c in folds.columns]
     cell = F.struct("accuracy", "precision", "recall", "f1", _matrix().alias("confusion_matrix"))
     per_fold = metrics.groupBy("seed", "fold").agg(
         *[F.max(F.when(F.col("cond") == c, cell)).alias(f"condition_{c}") for c in ("A", "B")]
     )
-    fold = F.struct("fold", "condition_A", "condition_B", "delta_f1", "delta_recall")
+    fold = F.struct("fold", *counts, "condition_A", "condition_B", "delta_f1", "delta_recall")
     fold_list = (
-        per_fold.join(folds.select("seed", "fold", "delta_f1", "delta_recall"), ["seed", "fold"])
+        per_fold.join(folds.select("seed", "fold", *counts, "delta_f1", "delta_recall"), ["seed", "fold"])
         .groupBy("seed")
         .agg(F.sort_array(F.collect_list(fold)).alias("fold_results"), F.count(F.lit(1)).alias("folds"))
     )
     aggregate = summary.groupBy("seed").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.struct("mean", "std"))))).alias("aggregate")
     )
-    return fold_list.join(aggregate, "seed").select(
-        "seed", F.struct(F.lit(model).alias("model"), "seed", "folds", "aggregate", "fold_results").alias("record")
-    )
+    given = [F.lit(v).alias(n) for n, v in (settings or {}).items()]
+    body = F.struct(F.lit(model).alias("model"), *given, "seed", "folds", "aggregate", "fold_results")
+    return fold_list.join(aggregate, "seed").select("seed", body.alias("record"))
 
 
 def _matrix() -> Column:
     return F.array(F.array("tn", "fp"), F.array("fn", "tp"))
 
 
+def sweep_values(records: DataFrame, paths: list[str]) -> DataFrame:
+    """(seed, path, value) at caller-chosen paths of (seed, record) rows, all seeds in one job."""
+    as_json = records.select("seed", F.to_json("record").alias("_j"))
+    found = [F.struct(F.lit(p).alias("path"), dot_path(F.col("_j"), p).cast("double").alias("value")) for p in paths]
+    return as_json.select("seed", F.inline(F.array(*found)))
+
+
+def sweep_record(values: DataFrame, model: str, folds: int) -> DataFrame:
+    """One row: the summary record of a sweep, a row of values per seed."""
+    per_seed = values.groupBy("seed").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "value")))).alias("values")
+    )
+    return per_seed.agg(
+        F.lit(model).alias("model"),
+        F.lit(folds).alias("folds"),
+        F.sort_array(F.collect_list("seed")).alias("seeds"),
+        F.sort_array(F.collect_list(F.struct("seed", F.to_json("values").alias("values")))).alias("rows"),
+    )
+
+
 def dot_path(record_json: Column, path: str) -> Column:
     """Value at a.b.c of a JSON record; a missing key is an error naming the path."""
     value = F.get_json_object(record_json, "$." + path)

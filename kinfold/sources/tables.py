@@ -67,8 +67,9 @@ def cleaned(df: DataFrame) -> DataFrame:
 
 
 def labelled_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents: quality 1 is positive; the first copy of a text is
-    the original, later positive copies are its variants."""
+    """Labelled documents: quality 1 is positive; the first positive copy of a text
+    is the original, later ones are its variants. All copies of a text, of either
+    class, are one family (`family_id`), so that no text meets itself across a fold."""
     docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id")
     clean = compute_once(docs, text=normalize_text(F.col("text")))
     hashed = clean.select(
@@ -78,7 +79,8 @@ def labelled_messages(spark: SparkSession, folder: str) -> DataFrame:
         text_hash(F.col("text")).alias("text_hash"),
     )
     # One row per text, from partial minima; copies find it by hash.
-    firsts = hashed.filter("label = 'phish'").groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
+    positive = F.when(F.col("label") == "phish", F.col("doc_id"))
+    firsts = hashed.groupBy("text_hash").agg(F.min(positive).alias("first_id"), F.min("doc_id").alias("family_id"))
     joined = skew_join(hashed, firsts, ["text_hash"], ["doc_id"], how="left")
     copy = (F.col("label") == "phish") & (F.col("doc_id") > F.col("first_id"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
@@ -89,6 +91,7 @@ def labelled_messages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(copy, F.concat(F.lit("doc_"), F.col("first_id").cast("string"))).alias("base_msg_id"),
         "text",
         "text_hash",
+        F.concat(F.lit("text_"), F.col("family_id").cast("string")).alias("family_id"),
         "doc_id",
     )
 

@@ -162,7 +162,7 @@ def test_skew_join_equals_plain_join(spark, how):
         F.col("id"), F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("k")
     )
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    split_join = joins.skew_join(left, right, ["k"], ["id"], how, slice_rows=100, max_hot=3)
+    split_join = joins.skew_join(left, right, ["k"], ["id"], how, share=40)
     plain = left.join(right, "k", how)
     assert split_join.count() == plain.count()
     assert split_join.select("id", "k", "v").exceptAll(plain.select("id", "k", "v")).count() == 0
