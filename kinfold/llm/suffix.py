@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import skew_join
 from ..session import materialize
 from .texts import slices, strings
 
@@ -143,7 +144,9 @@ def shared_segments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = [F.col(c) for c in mixed.columns if c not in ("key", "seg", "same")]
     variants = mixed.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*others)).alias("one"))
     variants = materialize(variants, "suffix-variants")
-    again = mixed.join(variants.filter("copies > 1").select("key", "seg"), ["key", "seg"], "left_semi")
+    counts = variants.select("key", "seg", F.col("copies").alias("_rows"))
+    again = variants.filter("copies > 1").select("key", "seg")
+    again = skew_join(mixed, again, ["key", "seg"], ["h", "start"], counts=counts)
     whole = met.filter("same").unionByName(again).select("id", "h", "start", "n")
     # A key whose variants all occur again has nothing left to find.
     once = variants.filter("copies = 1").select("key").distinct()

@@ -66,3 +66,17 @@ def test_whole_run(spark):
 def test_model_of_no_documents_rejects_all(spark, empty):
     assert language.train(empty).languages == []
     assert corpus_pipeline.language_id(spark, empty, "").count() == 0
+
+
+def test_queries_are_registered_and_match_their_sql(spark):
+    import __spark_entry__ as entry
+    from compare import compare, connect
+
+    from kinfold.llm import catalog
+
+    names = set(catalog.queries())
+    assert {n.split("_")[0] for n in names} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert names <= set(entry.queries())
+    folder = "/root/testdata/sf0.001"
+    for name, sql in catalog.oracle_sql().items():
+        assert compare(entry.queries()[name](spark, folder), connect(folder), sql) == ""
