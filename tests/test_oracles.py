@@ -3,9 +3,11 @@
 import __spark_entry__ as entry
 import pytest
 from compare import compare, connect
+from kinfold.catalog.oracles import oracle_sql
+from kinfold.catalog.queries import queries
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,11 +17,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, name):
-    assert compare(entry.queries()[name](spark, FOLDER), con, ORACLES[name]) == ""
+    assert compare(queries()[name](spark, FOLDER), con, ORACLES[name]) == ""
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(ORACLES) == set(queries()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
