@@ -37,29 +37,36 @@ def exact_groups(
     that repeat an id just one. `doc` is a struct of the columns to carry.
     An empty table gives no rows.
     """
-    body = one_space(df[text_col]).cast("binary")
-    doc = F.struct(*[df[c].alias(c) for c in carry]) if carry else F.lit(None).cast("string")
+    whole = text_col in carry
+    stored = df[text_col] if whole else one_space(df[text_col])
+    rest = [df[c].alias(c) for c in carry if c != text_col]
     staged = materialize(
         df.select(
-            F.monotonically_increasing_id().alias("row"), df[id_col].alias("id"), body.alias("body"), doc.alias("doc")
+            F.monotonically_increasing_id().alias("row"),
+            df[id_col].alias("id"),
+            stored.alias("stored"),
+            (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("doc"),
+            one_space(df[text_col]).cast("binary").alias("body"),
         ).select(
-            "*",
+            *["row", "id", "stored", "doc"],
             F.octet_length("body").alias("n_bytes"),
             F.substring("body", 1, HEAD).alias("head"),
             F.sha2("body", 256).alias("sha"),
         ),
         "radix-texts",
     )
+    body = (one_space(F.col("stored")) if whole else F.col("stored")).cast("binary")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
     counts = [F.count(F.lit(1)).alias("n"), first]
 
     def shared(keys: DataFrame) -> DataFrame:
-        """Groups of several rows, named by the row of their first member."""
-        return materialize(keys.filter("n > 1"), "radix-groups")
+        """Groups of several rows, named by the row of their first member. Always
+        joined by sorting: texts move once a round at any size, hot groups split."""
+        return materialize(keys.filter("n > 1"), "radix-groups").hint("merge")
 
     groups = shared(staged.groupBy("n_bytes", "head").agg(*counts))
-    met = staged.select("row", "id", "body", "n_bytes", "head").join(groups, ["n_bytes", "head"])
-    active = materialize(met.select("row", "id", "n", "first", _after("body", HEAD).alias("rest")), "radix-round")
+    met = staged.select("row", "id", "stored", "n_bytes", "head").join(groups, ["n_bytes", "head"])
+    active = materialize(met.select("row", "id", "n", "first", _after(body, HEAD).alias("rest")), "radix-round")
     ended: DataFrame | None = None
     stride = STRIDE
     while True:
@@ -72,18 +79,19 @@ def exact_groups(
         split = going.select("row", "id", group, "rest", F.substring("rest", 1, stride).alias("head"))
         groups = shared(split.groupBy("group", "head").agg(*counts))
         met = split.join(groups, ["group", "head"])
-        active = materialize(met.select("row", "id", "n", "first", _after("rest", stride).alias("rest")), "radix-round")
+        active = materialize(met.select("row", "id", "n", "first", _after(F.col("rest"), stride).alias("rest")), "radix-round")
         stride *= GROWTH
-    known = staged.select("row", "id", "sha", "doc").join(ended, "row", "left")
+    known = staged.select("row", "id", "sha", "doc", *["stored"] * whole).join(ended.hint("merge"), "row", "left")
+    fields = [F.col("stored" if c == text_col else f"doc.{c}").alias(c) for c in carry]
     return known.select(
         "id",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        "doc",
+        (F.struct(*fields) if fields else F.col("doc")).alias("doc"),
     )
 
 
-def _after(column: str, n: int) -> Column:
+def _after(column: Column, n: int) -> Column:
     return F.substring(column, n + 1, 2**31 - 1)
