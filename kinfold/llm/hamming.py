@@ -7,8 +7,8 @@ of its values, and every pair within the distance meets under some key. Texts of
 Jaccard similarity 0.85 differ in 10.8 values on average; 24 or more happen to
 about 1 pair in 10,000 right at the limit, and to far fewer above it.
 
-Equal shingle sets are one node. Under each key, members are linked to one
-centre; pairs that meet are compared by signature, then confirmed on their full
+Equal shingle sets are one node. Under each key, members are linked to two
+centres; pairs that meet are compared by signature, then confirmed on their full
 shingle sets. What is already in one component needs no further link, so only
 members of different components under a key are paired after that. All pairs
 that meet have then been compared or stand in one component.
@@ -181,9 +181,10 @@ def keys_of(nodes: DataFrame) -> DataFrame:
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, distance) of the pairs whose signatures differ in at most DISTANCE values."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    """(a, b, distance) of the pairs of sizes that can be similar, whose signatures
+    differ in at most DISTANCE values."""
+    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +197,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             made = [batch.column("a"), batch.column("b"), pa.array(distance.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([x.filter(near) for x in made], names=["a", "b", "distance"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, distance long")
+    both = pairs.join(left, "a").join(right, "b").filter(similar_sizes("n_a", "n_b")).drop("n_a", "n_b")
+    return both.mapInArrow(run, "a long, b long, distance long")
 
 
 class NearDuplicates:
@@ -213,24 +215,22 @@ class NearDuplicates:
         self.labels: DataFrame | None = None  # (node, comp) of nodes in some confirmed pair
 
     def run(self) -> None:
-        keys = materialize(keys_of(self.nodes), "near-keys")
-        for end in (F.min, F.max):
-            # A centre under each key that still has several components.
-            keys = self.unsettled(keys) if self.labels is not None else keys.withColumn("comp", F.col("node"))
-            centre = end(F.struct("node", "n", "comp")).alias("c")
-            centres = keys.groupBy("key").agg(centre, F.count(F.lit(1)).alias("members")).filter("members > 1")
-            centres = materialize(centres.select("key", "c"), "near-centres")
-            met = keys.join(centres, "key").filter("comp != c.comp").filter(similar_sizes("n", "c.n"))
-            pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-            self.confirm(pairs.distinct())
-        keys = materialize(self.unsettled(keys), "near-unsettled")
+        keys = keys_of(self.nodes)
+        # Two centres under each key: partial minima and maxima of numbers only.
+        centres = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        centres = materialize(centres.filter("low != high"), "near-centres")
+        met = materialize(keys.join(centres, "key"), "near-met")
+        linked = met.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node != centre")
+        pairs = linked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        self.confirm(pairs.distinct())
+        keys = materialize(self.unsettled(met.select("key", "node", "n")), "near-unsettled")
         other = keys.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        met = keys.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp != comp_b")
-        self.confirm(met.filter(similar_sizes("n", "n_b")).select("a", "b").distinct())
+        apart = keys.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp != comp_b")
+        self.confirm(apart.filter(similar_sizes("n", "n_b")).select("a", "b").distinct())
 
     def unsettled(self, keys: DataFrame) -> DataFrame:
         """Members of the keys that have several components, with their component."""
-        keys = self.labelled(keys.drop("comp"))
+        keys = materialize(self.labelled(keys), "near-labelled")
         several = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         several = materialize(several.filter("low != high").select("key"), "near-several")
         return keys.join(several, "key", "left_semi")
@@ -244,7 +244,8 @@ class NearDuplicates:
         whatever still lies between components."""
         near = materialize(near_pairs(pairs, self.nodes), "near-pairs")
         if near.isEmpty():
-            self.labels = self.labels or self.nodes.select("node", F.col("node").alias("comp")).limit(0)
+            if self.labels is None:
+                self.labels = self.nodes.select("node", F.col("node").alias("comp")).limit(0)
             return
         self.gather(near)
         # At most one row per key of a node, so the windows are small.
