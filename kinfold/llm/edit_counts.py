@@ -22,14 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_tokens import SPACE
+from .byte_tokens import LATIN, PATTERN, SPACE, rank_encoder
 from .texts import pieces, slices, spans, strings, sums
 
 GROUP = 32  # pre-tokens per leaf
 LOOK = 2  # characters behind a pre-token that may decide where it ends
 KNOWN = 400_000  # pieces a worker remembers; results do not depend on it
-# Fixed value: how the tokenizer's file splits a text.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SPLIT = regex.compile(PATTERN)
 
 Edit = tuple[int, int, str]  # where, how many characters go, what comes instead
 
@@ -45,6 +44,7 @@ class Counts:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
+        self.ranked = rank_encoder(path)
         self.known: dict[str, int] = {}
         self.pieces: dict[str, tuple[list[int], list[int]]] = {}
 
@@ -54,8 +54,11 @@ class Counts:
             self.known = {}
             new = [*dict.fromkeys(tokens)]
         if new:
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, map(len, coded), strict=True))
+            latin = [t for t in new if self.ranked and (t.isascii() or max(t) < LATIN)]
+            self.known.update((t, len(self.ranked.encode_ordinary(t))) for t in latin)
+            rest = [t for t in new if t not in self.known]
+            coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            self.known.update(zip(rest, map(len, coded), strict=True))
         return [self.known[t] for t in tokens]
 
     def leaves(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +82,7 @@ class Counts:
         if len(self.pieces) > KNOWN:
             self.pieces = {}
         new = [k for k in keys if k not in self.pieces]
-        parts = [PATTERN.findall(k) for k in new]
+        parts = [SPLIT.findall(k) for k in new]
         flat = self.of([t for p in parts for t in p])
         at = 0
         for key, part in zip(new, parts, strict=True):
@@ -88,7 +91,7 @@ class Counts:
         return [self.pieces[k] for k in keys]
 
     def split_one(self, text: str) -> tuple[list[int], list[int]]:
-        part = PATTERN.findall(text)
+        part = SPLIT.findall(text)
         return [len(t) for t in part], self.of(part)
 
 
@@ -166,7 +169,7 @@ class CountTree:
                     break
             if old_cut + shift == position and old_cut >= at + gone and position >= at + len(put):
                 break
-            hit = PATTERN.match(new, position)
+            hit = SPLIT.match(new, position)
             if hit is None:
                 break
             made.append(hit.group())
