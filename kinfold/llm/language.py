@@ -30,7 +30,7 @@ MAX_WORDS = 30_000  # per language, the most frequent
 MAX_GRAMS = 20_000  # per language and length
 LONGEST = 5
 UNKNOWN = "und"
-KNOWN_PIECES = 400_000  # pieces a worker remembers; results do not depend on it
+KNOWN_PIECES = 250_000  # pieces a worker remembers; results do not depend on it
 WORD = re.compile(r"[^\W\d_]+")
 
 
