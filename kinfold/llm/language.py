@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import gc
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ MAX_GRAMS = 20_000  # per language and length
 LONGEST = 5
 UNKNOWN = "und"
 KNOWN_PIECES = 250_000  # pieces a worker remembers; results do not depend on it
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class LanguageModel:

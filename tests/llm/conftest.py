@@ -39,7 +39,7 @@ def rows() -> list[tuple]:
         (18, None, "en", "a"),
         (19, "", "fr", "b"),
         (20, " \n\t ", None, "a"),
-        (21, "12 34 !!", "en", "a"),
+        (21, "12 34 !! ² ½", "en", "a"),
         (22, "one two", "en", "c"),
         (23, "ONE two", "en", "a"),
         (24, prose(8, 12_000), "en", "a"),
