@@ -7,11 +7,13 @@ of its values, and every pair within the distance meets under some key. Texts of
 Jaccard similarity 0.85 differ in 10.8 values on average; 24 or more happen to
 about 1 pair in 10,000 right at the limit, and to far fewer above it.
 
-Equal shingle sets are one node. Under each key, members are linked to two
-centres; pairs that meet are compared by signature, then confirmed on their full
-shingle sets. What is already in one component needs no further link, so only
-members of different components under a key are paired after that. All pairs
-that meet have then been compared or stand in one component.
+Equal shingle sets are one node. What is already in one component needs no
+further link, so the work goes from few pairs to all: first every node is paired
+with the one centre it shares most keys with, then members of keys that still
+hold several components with the centres of these keys, at last all members of
+such keys that are in different components, in cells of a bounded size. Pairs
+are compared by signature, then confirmed on their full shingle sets. After this
+all pairs that meet have been compared or stand in one component.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,7 @@ CHUNKS, PER_CHUNK = 12, 6
 VALUES = CHUNKS * PER_CHUNK
 DISTANCE = 2 * CHUNKS - 1  # the most for which some chunk has at most one error
 SIMILAR = 85  # hundredths
+BLOCK = 1024  # members of a key that are compared with as many others at once
 
 
 def odd_numbers(n: int, bits: int, seed: str) -> np.ndarray:
@@ -154,7 +157,7 @@ def digest_of(shingles: np.ndarray) -> bytes:
 
 
 def keys_of(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): a key per chunk and value left out."""
+    """(key, node): a key per chunk and value left out, which stand in its bits from 40 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +175,11 @@ def keys_of(nodes: DataFrame) -> DataFrame:
                 [
                     pa.array(keys.ravel()),
                     pa.array(np.repeat(np.asarray(batch.column("node")), VALUES)),
-                    pa.array(np.repeat(np.asarray(batch.column("n")), VALUES)),
                 ],
-                names=["key", "node", "n"],
+                names=["key", "node"],
             )
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "key long, node long, n long")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -215,18 +217,55 @@ class NearDuplicates:
         self.labels: DataFrame | None = None  # (node, comp) of nodes in some confirmed pair
 
     def run(self) -> None:
-        keys = keys_of(self.nodes)
-        # Two centres under each key: partial minima and maxima of numbers only.
+        met, linked = self.centred(keys_of(self.nodes))
+        shared = linked.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"))
+        closest = F.max(F.struct("shared", (-F.col("centre")).alias("centre"))).alias("c")
+        best = shared.groupBy("node").agg(closest).select("node", (-F.col("c.centre")).alias("centre"))
+        self.confirm(near_pairs(ordered(best), self.nodes))
+        _, linked = self.centred(self.unsettled(met.select("key", "node")))
+        linked = self.labelled(self.labelled(linked.distinct()), "centre", "centre_comp")
+        self.confirm(near_pairs(ordered(linked.filter("comp != centre_comp")), self.nodes))
+        self.confirm(self.all_pairs(self.unsettled(met.select("key", "node"))))
+
+    def centred(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, node) of the keys with several members, and (node, centre) of them with
+        the key's least and greatest node: partial minima and maxima of numbers."""
         centres = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         centres = materialize(centres.filter("low != high"), "near-centres")
-        met = materialize(keys.join(centres, "key"), "near-met")
-        linked = met.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node != centre")
-        pairs = linked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        self.confirm(pairs.distinct())
-        keys = materialize(self.unsettled(met.select("key", "node", "n")), "near-unsettled")
-        other = keys.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        apart = keys.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp != comp_b")
-        self.confirm(apart.filter(similar_sizes("n", "n_b")).select("a", "b").distinct())
+        met = materialize(keys.select("key", "node").join(centres, "key"), "near-met")
+        linked = met.select("node", F.explode(F.array("low", "high")).alias("centre"))
+        return met, linked.filter("node != centre")
+
+    def all_pairs(self, keys: DataFrame) -> DataFrame:
+        """(a, b, distance) of near pairs of different components under each key.
+
+        Members of a key are dealt to blocks of about BLOCK, and each two blocks meet
+        in a cell; a task holds one cell at a time, and a pair that shares several
+        keys comes out under the first of them only.
+        """
+        sigs = self.nodes.select("node", "n", "sig")
+        sized = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+        rows = keys.join(materialize(sized, "near-sizes"), "key").join(sigs, "node")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = rows.select("key", "node", "comp", "n", "sig", block, others)
+        dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+        laid = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell: list[tuple] = []
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "comp", "n", "sig", "block")]
+                found: list[tuple[int, int, int]] = []
+                for row in zip(*columns, strict=True):
+                    if cell and cell[-1][:3] != row[:3]:
+                        found += cell_pairs(cell)
+                        cell = []
+                    cell.append(row)
+                yield pair_batch(found)
+            yield pair_batch(cell_pairs(cell))
+
+        return laid.mapInArrow(run, "a long, b long, distance long")
 
     def unsettled(self, keys: DataFrame) -> DataFrame:
         """Members of the keys that have several components, with their component."""
@@ -239,20 +278,18 @@ class NearDuplicates:
         names = self.labels.select(F.col("node").alias(node), F.col("comp").alias("known"))
         return df.join(names, node, "left").withColumn(comp, F.coalesce("known", node)).drop("known")
 
-    def confirm(self, pairs: DataFrame) -> None:
+    def confirm(self, near: DataFrame) -> None:
         """Confirm near pairs on their full sets: the nearest of each node first, then
         whatever still lies between components."""
-        near = materialize(near_pairs(pairs, self.nodes), "near-pairs")
+        near = materialize(near, "near-pairs")
         if near.isEmpty():
             if self.labels is None:
                 self.labels = self.nodes.select("node", F.col("node").alias("comp")).limit(0)
             return
         self.gather(near)
-        # At most one row per key of a node, so the windows are small.
-        rank = F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))
-        ranked = materialize(near.withColumn("rank", rank), "near-ranked")
-        self.join_up(self.similar(ranked.filter("rank = 1")))
-        rest = self.labelled(self.labelled(ranked.filter("rank > 1"), "a", "comp_a"), "b", "comp_b")
+        nearest = near.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("first")).select("first.a", "b")
+        self.join_up(self.similar(materialize(nearest, "near-first")))
+        rest = self.labelled(self.labelled(near, "a", "comp_a"), "b", "comp_b")
         self.join_up(self.similar(rest.filter("comp_a != comp_b")))
 
     def gather(self, near: DataFrame) -> None:
@@ -275,7 +312,8 @@ class NearDuplicates:
                     made = [x.filter(pa.array(own, pa.bool_())) for x in (batch.column("node"), shingles)]
                     yield pa.RecordBatch.from_arrays(made, names=["node", "shingles"])
 
-        texts = self.docs.join(ids, self.docs["id"].eqNullSafe(ids["id"])).select("node", "digest", "text")
+        # Always by sorting: the texts move in the same way at any size.
+        texts = self.docs.join(ids.hint("merge"), self.docs["id"].eqNullSafe(ids["id"])).select("node", "digest", "text")
         made = texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
         made = materialize(made, "near-full")
         self.full = made if self.full is None else self.full.unionAll(made)
@@ -321,6 +359,48 @@ class NearDuplicates:
         )
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b) of (node, centre), each pair once."""
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def cell_pairs(cell: list[tuple]) -> list[tuple[int, int, int]]:
+    """(a, b, distance) of the near pairs of a cell that lie between components, have
+    similar sizes and share no earlier key. Within one block each two rows meet,
+    else those of different blocks."""
+    if len(cell) < 2:
+        return []
+    place = cell[0][0] >> 40
+    node, comp, n, block = (np.array([r[i] for r in cell], np.int64) for i in (3, 4, 5, 7))
+    sig = np.frombuffer(b"".join([r[6] for r in cell]), np.uint8).reshape(-1, VALUES)
+    across = cell[0][1] != cell[0][2]
+    out = []
+    for i in range(len(cell) - 1):
+        later = np.arange(i + 1, len(cell))
+        later = later[(comp[later] != comp[i]) & ((block[later] != block[i]) if across else True)]
+        later = later[100 * np.minimum(n[later], n[i]) >= SIMILAR * np.maximum(n[later], n[i])]
+        differ = sig[later] != sig[i]
+        distance = differ.sum(axis=1)
+        near = np.flatnonzero(distance <= DISTANCE)
+        for at in near.tolist():
+            if first_key(differ[at]) == place:
+                a, b = sorted((int(node[i]), int(node[later[at]])))
+                out.append((a, b, int(distance[at])))
+    return out
+
+
+def first_key(differ: np.ndarray) -> int:
+    """Chunk and left-out value of the first key that two signatures share."""
+    chunks = differ.reshape(CHUNKS, PER_CHUNK)
+    chunk = int(np.argmax(chunks.sum(axis=1) <= 1))
+    return chunk * PER_CHUNK + int(np.argmax(chunks[chunk]))
+
+
+def pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = [*zip(*pairs, strict=True)] or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "distance"])
+
+
 def similar_sizes(a: str, b: str) -> str:
     """Sets of these sizes can be similar enough at all."""
     return f"100 * least({a}, {b}) >= {SIMILAR} * greatest({a}, {b})"

@@ -278,6 +278,16 @@ def test_chains_and_borders_of_similarity(spark):
     assert got(found, "id", "n_shingles", "component_id") == Counter(plain.near_classes(docs))
 
 
+def test_blocks_of_a_key_meet_in_cells(spark, monkeypatch):
+    """Texts that share half their words are no duplicates, but meet under many keys."""
+    words, docs = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        docs.append((i, " ".join([*words, *[f"d{i // 3}x{j}" for j in range(40)], f"e{i}"])))
+    monkeypatch.setattr(hamming, "BLOCK", 4)
+    found = hamming.near_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got(found, "id", "n_shingles", "component_id") == Counter(plain.near_classes(docs))
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     import numpy as np
 
@@ -287,8 +297,11 @@ def test_every_pair_within_the_distance_shares_a_key():
         b = a.copy()
         at = pick.choice(hamming.VALUES, hamming.DISTANCE, replace=False)
         b[at] = pick.integers(0, 256, hamming.DISTANCE)
-        differ = (a != b).reshape(hamming.CHUNKS, hamming.PER_CHUNK).sum(axis=1)
-        assert differ.min() <= 1
+        differ = (a != b).reshape(hamming.CHUNKS, hamming.PER_CHUNK)
+        assert differ.sum(axis=1).min() <= 1
+        chunk, out = divmod(hamming.first_key(a != b), hamming.PER_CHUNK)
+        assert differ[chunk].sum() == differ[chunk, out]
+        assert all(differ[c].sum() > 1 for c in range(chunk))
 
 
 # --- language ---
