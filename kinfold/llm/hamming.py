@@ -9,9 +9,9 @@ about 1 pair in 10,000 right at the limit, and to far fewer above it.
 
 Equal shingle sets are one node. What is already in one component needs no
 further link, so the work goes from few pairs to all: first every node is paired
-with the one centre it shares most keys with, then members of keys that still
-hold several components with the centres of these keys, at last all members of
-such keys that are in different components, in cells of a bounded size. Pairs
+with the centre it shares most keys with, then with more and more of the others
+that are not in its component yet, at last all members of keys that still hold
+several components are paired between these, in cells of a bounded size. Pairs
 are compared by signature, then confirmed on their full shingle sets. After this
 all pairs that meet have been compared or stand in one component.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,7 @@ CHUNKS, PER_CHUNK = 12, 6
 VALUES = CHUNKS * PER_CHUNK
 DISTANCE = 2 * CHUNKS - 1  # the most for which some chunk has at most one error
 SIMILAR = 85  # hundredths
+ROUNDS = (1, 4, 16)  # so many centres of a node have been tried after the first rounds; after the next, all
 BLOCK = 1024  # members of a key that are compared with as many others at once
 
 
@@ -217,24 +218,22 @@ class NearDuplicates:
         self.labels: DataFrame | None = None  # (node, comp) of nodes in some confirmed pair
 
     def run(self) -> None:
-        met, linked = self.centred(keys_of(self.nodes))
-        shared = linked.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"))
-        closest = F.max(F.struct("shared", (-F.col("centre")).alias("centre"))).alias("c")
-        best = shared.groupBy("node").agg(closest).select("node", (-F.col("c.centre")).alias("centre"))
-        self.confirm(near_pairs(ordered(best), self.nodes))
-        _, linked = self.centred(self.unsettled(met.select("key", "node")))
-        linked = self.labelled(self.labelled(linked.distinct()), "centre", "centre_comp")
-        self.confirm(near_pairs(ordered(linked.filter("comp != centre_comp")), self.nodes))
-        self.confirm(self.all_pairs(self.unsettled(met.select("key", "node"))))
-
-    def centred(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(key, node) of the keys with several members, and (node, centre) of them with
-        the key's least and greatest node: partial minima and maxima of numbers."""
+        keys = keys_of(self.nodes)
+        # Partial minima and maxima of numbers.
         centres = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         centres = materialize(centres.filter("low != high"), "near-centres")
-        met = materialize(keys.select("key", "node").join(centres, "key"), "near-met")
-        linked = met.select("node", F.explode(F.array("low", "high")).alias("centre"))
-        return met, linked.filter("node != centre")
+        met = materialize(keys.join(centres, "key"), "near-met")
+        linked = met.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node != centre")
+        shared = linked.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"))
+        # A node has two centres per key at most, so the windows are small.
+        closest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "centre"))
+        ranked = materialize(shared.withColumn("rank", closest).drop("shared"), "near-ranked")
+        for low, high in zip((0, *ROUNDS), (*ROUNDS, 2 * VALUES), strict=True):
+            some = ranked.filter((F.col("rank") > low) & (F.col("rank") <= high))
+            if self.labels is not None:
+                some = self.labelled(self.labelled(some, "node", "comp"), "centre", "of_centre").filter("comp != of_centre")
+            self.confirm(near_pairs(ordered(some), self.nodes))
+        self.confirm(self.all_pairs(self.unsettled(met.select("key", "node"))))
 
     def all_pairs(self, keys: DataFrame) -> DataFrame:
         """(a, b, distance) of near pairs of different components under each key.
