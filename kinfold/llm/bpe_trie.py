@@ -17,7 +17,6 @@ import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .texts import pieces, slices, strings, sums
+from .texts import kept, pieces, slices, strings, sums
 
 END = "</w>"
 KNOWN_PIECES = 400_000  # pieces a worker remembers; results do not depend on it
@@ -213,11 +212,6 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> TrieEncoder:
-    return TrieEncoder(path)
-
-
 Coded = tuple[str, int, str]  # joined ids, how many, joined names
 
 
@@ -226,7 +220,7 @@ class Pieces:
     decode to their names joined by spaces."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.model = TrieEncoder(path)
         self.words: dict[str | int, Coded] = {}
         self.known: dict[str, Coded] = {}
         self.older: tuple[dict, dict] = ({}, {})
@@ -240,7 +234,7 @@ class Pieces:
                 self.known[piece] = old_pieces[piece]
         new = [p for p in found if p not in self.known]
         if new:
-            model, words = encoder(self.path), self.words
+            model, words = self.model, self.words
             parts = [model.words(p) for p in new]
             words.update({w: old_words[w] for p in parts for w in p if w not in words and w in old_words})
             fresh = {w for p in parts for w in p if w not in words}
@@ -257,9 +251,6 @@ class Pieces:
         return [self.known[p] for p in found]
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def encode_texts(
     df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True
 ) -> DataFrame:
@@ -279,7 +270,7 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()  # the tables hold no cycles; without this each collection walks them all
-        worker = _PIECES.setdefault(tokenizer, Pieces(tokenizer))
+        worker = kept(("trie", tokenizer), lambda: Pieces(tokenizer))
         for whole in batches:
             for batch in slices(whole, "text"):
                 found, codes, begins = pieces(strings(batch.column("text")))

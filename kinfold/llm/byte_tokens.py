@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe_trie import byte_letters
-from .texts import pieces, spans, sums
+from .texts import kept, pieces, spans, sums
 
-KNOWN_PIECES = 400_000  # pieces a worker remembers; results do not depend on it
+KNOWN_PIECES = 300_000  # pieces a worker remembers; results do not depend on it
 LATIN = "\u0250"  # the first letter after the Latin ones
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -124,11 +124,6 @@ class ByteTokens:
         return flat[spans((np.cumsum(size) - size)[codes], lengths)], sums(lengths, begins)
 
 
-_TOKENS: dict[str, ByteTokens] = {}
-
-
 def byte_tokens(path: str) -> ByteTokens:
     """The worker's own tables for this tokenizer."""
-    if path not in _TOKENS:
-        _TOKENS[path] = ByteTokens(path)
-    return _TOKENS[path]
+    return kept(("ranks", path), lambda: ByteTokens(path))

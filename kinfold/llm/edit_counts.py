@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_tokens import LATIN, PATTERN, SPACE, rank_encoder
-from .texts import pieces, slices, spans, strings, sums
+from .texts import kept, pieces, slices, spans, strings, sums
 
 GROUP = 32  # pre-tokens per leaf
 LOOK = 2  # characters behind a pre-token that may decide where it ends
-KNOWN = 400_000  # pieces a worker remembers; results do not depend on it
+KNOWN = 250_000  # pieces a worker remembers; results do not depend on it
 SPLIT = regex.compile(PATTERN)
 
 Edit = tuple[int, int, str]  # where, how many characters go, what comes instead
@@ -191,9 +191,6 @@ def apply(text: str, edit: Edit) -> str:
     return text[:at] + put + text[at + gone :]
 
 
-_COUNTS: dict[str, Counts] = {}
-
-
 def count_edited(
     df: DataFrame, edits: Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -212,7 +209,7 @@ def count_edited(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
-        counts = _COUNTS.setdefault(tokenizer, Counts(tokenizer))
+        counts = kept(("counts", tokenizer), lambda: Counts(tokenizer))
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = strings(batch.column("text"))

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .texts import pieces, slices, strings
+from .texts import kept, pieces, slices, strings
 
 SAMPLE = 1_500  # training texts per language, about
 MAX_LANGUAGES = 256
-MAX_WORDS = 30_000  # per language, the most frequent
-MAX_GRAMS = 20_000  # per language and length
+MAX_WORDS = 15_000  # per language, the most frequent
+MAX_GRAMS = 10_000  # per language and length
 LONGEST = 5
 UNKNOWN = "und"
 KNOWN_PIECES = 250_000  # pieces a worker remembers; results do not depend on it
@@ -35,40 +35,47 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class LanguageModel:
-    """Log frequencies per language, smoothed by one half of an occurrence."""
+    """Log frequencies per language, smoothed by one half of an occurrence: the row of
+    each word and n-gram in a table with a column per language."""
 
     def __init__(self, languages: list[str], words: dict[str, Counter], grams: dict[str, Counter]):
         self.languages = languages
-        self.words = logs(languages, words, MAX_WORDS)
-        self.grams: dict[str, np.ndarray] = {}
+        rows: list[list[float]] = []
+        self.words = logs(languages, words, MAX_WORDS, rows)
+        self.grams: dict[str, int] = {}
         for n in range(1, LONGEST + 1):
             of = {g: Counter({k: v for k, v in grams[g].items() if len(k) == n}) for g in languages}
-            self.grams |= logs(languages, of, MAX_GRAMS)
-        self.unseen = np.full(len(languages), math.log(1e-6))
+            self.grams |= logs(languages, of, MAX_GRAMS, rows)
+        unseen = [math.log(1e-6)] * len(languages)
+        self.table = np.array([*rows, unseen]).reshape(len(rows) + 1, len(languages))
 
     def score(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
-        padded, at, total, n = f"<{word}>", 0, np.zeros(len(self.languages)), 0
+            return self.table[known]
+        padded, at, found_at = f"<{word}>", 0, []
         while at < len(padded):
             for size in range(min(LONGEST, len(padded) - at), 0, -1):
                 found = self.grams.get(padded[at : at + size])
                 if found is not None:
                     break
             else:
-                found, size = self.unseen, 1
-            total, n, at = total + found, n + 1, at + max(1, size - 1)
-        return total / n
+                found, size = len(self.table) - 1, 1
+            found_at.append(found)
+            at += max(1, size - 1)
+        return self.table[found_at].sum(axis=0) / len(found_at)
 
 
-def logs(languages: list[str], counts: dict[str, Counter], most: int) -> dict[str, np.ndarray]:
-    """Log frequency per language of the most frequent keys; ties go by the key."""
-    kept = {k for g in languages for k, _ in sorted(counts[g].items(), key=lambda x: (-x[1], x[0]))[:most]}
-    sizes = [sum(counts[g].values()) + 0.5 * len(kept) + 1 for g in languages]
-    return {
-        k: np.array([math.log((counts[g][k] + 0.5) / n) for g, n in zip(languages, sizes, strict=True)]) for k in kept
-    }
+def logs(languages: list[str], counts: dict[str, Counter], most: int, rows: list[list[float]]) -> dict[str, int]:
+    """Rows of log frequencies per language, added for the most frequent keys; ties go
+    by the key."""
+    known = {k for g in languages for k, _ in sorted(counts[g].items(), key=lambda x: (-x[1], x[0]))[:most]}
+    sizes = [sum(counts[g].values()) + 0.5 * len(known) + 1 for g in languages]
+    places = {}
+    for key in sorted(known):
+        places[key] = len(rows)
+        rows.append([math.log((counts[g][key] + 0.5) / n) for g, n in zip(languages, sizes, strict=True)])
+    return places
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -116,30 +123,27 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Scores:
-    """What a worker has scored so far: per piece, its scores and its number of words."""
+    """What a worker has scored so far: per piece its row, with the sum of its words'
+    scores and, last, how many words it has."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[np.ndarray, int]] = {}
+    def __init__(self, languages: int) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, languages + 1))
 
     def rows(self, model: LanguageModel, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > KNOWN_PIECES:
             self.known = {}
         known = self.known
-        nothing = np.zeros(len(model.languages)), 0
         for piece in found:
             if piece not in known:
+                row = known[piece] = len(known)
+                if row == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 words = WORD.findall(piece.lower())
-                if not words:
-                    known[piece] = nothing
-                elif len(words) == 1:
-                    known[piece] = model.score(words[0]), 1
-                else:
-                    known[piece] = sum(map(model.score, words), np.zeros(len(model.languages))), len(words)
-        got = [known[p] for p in found]
-        return np.array([g[0] for g in got]).reshape(len(got), -1), np.array([g[1] for g in got], np.int64)
-
-
-_SCORES: dict[int, Scores] = {}
+                self.table[row, :-1] = sum(map(model.score, words)) if words else 0.0
+                self.table[row, -1] = len(words)
+        got = self.table[[known[p] for p in found]]
+        return got[:, :-1], got[:, -1].astype(np.int64)
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,9 +164,7 @@ def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         gc.freeze()
-        if key not in _SCORES:
-            _SCORES.clear()
-            _SCORES[key] = Scores()
+        scores = kept(("language", key), lambda: Scores(len(model.languages)))
         names = np.array([*model.languages, UNKNOWN], object)
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -170,7 +172,7 @@ def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame
                     pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
                 else:
                     found, codes, begins = pieces(strings(batch.column("text")))
-                    table, counts = _SCORES[key].rows(model, found)
+                    table, counts = scores.rows(model, found)
                     total = np.add.reduceat(table[codes], begins[:-1], axis=0)  # no text is without a piece
                     n = np.add.reduceat(counts[codes], begins[:-1])
                     best = total.argmax(axis=1)

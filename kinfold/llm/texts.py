@@ -7,7 +7,7 @@ once for all its occurrences, and results are gathered by position.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,19 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20  # text handled at once; a longer text is handled alone
 
 
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps between tasks under this key; what other operators have
+    left in it goes, so that a worker holds the tables of one operator at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def strings(column: pa.Array) -> pa.Array:
     """The column as strings with 64-bit offsets, null as empty."""
     if isinstance(column, pa.ChunkedArray):
