@@ -27,7 +27,8 @@ from .texts import kept, pieces, slices, spans, strings, sums
 
 GROUP = 32  # pre-tokens per leaf
 LOOK = 2  # characters behind a pre-token that may decide where it ends
-KNOWN = 250_000  # pieces a worker remembers; results do not depend on it
+SLICE_BYTES = 1 << 20
+KNOWN = 150_000  # pieces a worker remembers; results do not depend on it
 SPLIT = regex.compile(PATTERN)
 
 Edit = tuple[int, int, str]  # where, how many characters go, what comes instead
@@ -211,7 +212,7 @@ def count_edited(
         gc.freeze()
         counts = kept(("counts", tokenizer), lambda: Counts(tokenizer))
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 texts = strings(batch.column("text"))
                 chars, tokens, begins = counts.leaves(texts)
                 out = []
