@@ -16,18 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .texts import kept, pieces, slices, strings
+from ..session import materialize
+from .texts import kept, pieces, slices, spans, strings
 
 SAMPLE = 1_500  # training texts per language, about
 MAX_LANGUAGES = 256
-MAX_WORDS = 15_000  # per language, the most frequent
-MAX_GRAMS = 10_000  # per language and length
 LONGEST = 5
 UNKNOWN = "und"
 KNOWN_PIECES = 250_000  # pieces a worker remembers; results do not depend on it
@@ -35,55 +35,105 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class LanguageModel:
-    """Log frequencies per language, smoothed by one half of an occurrence: the row of
-    each word and n-gram in a table with a column per language."""
+    """Counts of every word and n-gram of the training texts, read as log frequencies
+    smoothed by one half of an occurrence.
 
-    def __init__(self, languages: list[str], words: dict[str, Counter], grams: dict[str, Counter]):
+    A key that a language lacks scores log(0.5 / size) there, one that it has n times
+    log(2n + 1) more; so only the languages that have a key are stored for it, and the
+    model's size is that of the counts, whatever the number of languages.
+    """
+
+    def __init__(self, languages: list[str], words: pa.Table, grams: pa.Table):
+        """`words` and `grams` have (lang, key, n), each pair of lang and key once."""
         self.languages = languages
-        rows: list[list[float]] = []
-        self.words = logs(languages, words, MAX_WORDS, rows)
-        self.grams: dict[str, int] = {}
-        for n in range(1, LONGEST + 1):
-            of = {g: Counter({k: v for k, v in grams[g].items() if len(k) == n}) for g in languages}
-            self.grams |= logs(languages, of, MAX_GRAMS, rows)
-        unseen = [math.log(1e-6)] * len(languages)
-        self.table = np.array([*rows, unseen]).reshape(len(rows) + 1, len(languages))
-
-    def score(self, word: str) -> np.ndarray:
+        self.words_of, (begins, codes, n) = by_key(languages, words)
+        self.grams_of, (gram_begins, gram_codes, gram_n) = by_key(languages, grams)
+        # A row per word, then one per n-gram, then one for what is not known at all.
+        self.begins = np.concatenate([begins[:-1], gram_begins + begins[-1], [begins[-1] + gram_begins[-1]]])
+        self.codes, self.counts = np.concatenate([codes, gram_codes]), np.concatenate([n, gram_n])
+        sizes = pc.utf8_length(self.grams_of).to_numpy(zero_copy_only=False)
+        # What a row's base is: that of words, of n-grams of a length, or of the unknown.
+        self.kinds = np.concatenate([np.zeros(len(begins) - 1), sizes, [LONGEST + 1]]).astype(np.int8)
+        kind = np.repeat(self.kinds, np.diff(self.begins))
+        self.bases = np.full((LONGEST + 2, len(languages)), math.log(1e-6))
+        for k in range(LONGEST + 1):
+            totals = np.bincount(self.codes[kind == k], self.counts[kind == k], len(languages))
+            self.bases[k] = np.log(0.5 / (totals + 0.5 * (self.kinds == k).sum() + 1))
+        self.open()
+
+    def open(self) -> None:
+        n = len(self.words_of)
+        self.words = dict(zip(self.words_of.to_pylist(), range(n), strict=True))
+        self.grams = dict(zip(self.grams_of.to_pylist(), range(n, n + len(self.grams_of)), strict=True))
+        self.more = np.log(2 * self.counts + 1.0)
+
+    def __getstate__(self) -> dict:
+        """The columns only; a worker makes the tables from them."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams", "more")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.open()
+
+    def rows(self, word: str) -> list[int]:
+        """The word's row, or those of the n-grams it is read as."""
         known = self.words.get(word)
         if known is not None:
-            return self.table[known]
-        padded, at, found_at = f"<{word}>", 0, []
+            return [known]
+        padded, at, out = f"<{word}>", 0, []
         while at < len(padded):
             for size in range(min(LONGEST, len(padded) - at), 0, -1):
                 found = self.grams.get(padded[at : at + size])
                 if found is not None:
                     break
             else:
-                found, size = len(self.table) - 1, 1
-            found_at.append(found)
+                found, size = len(self.kinds) - 1, 1
+            out.append(found)
             at += max(1, size - 1)
-        return self.table[found_at].sum(axis=0) / len(found_at)
-
-
-def logs(languages: list[str], counts: dict[str, Counter], most: int, rows: list[list[float]]) -> dict[str, int]:
-    """Rows of log frequencies per language, added for the most frequent keys; ties go
-    by the key."""
-    known = {k for g in languages for k, _ in sorted(counts[g].items(), key=lambda x: (-x[1], x[0]))[:most]}
-    sizes = [sum(counts[g].values()) + 0.5 * len(known) + 1 for g in languages]
-    places = {}
-    for key in sorted(known):
-        places[key] = len(rows)
-        rows.append([math.log((counts[g][key] + 0.5) / n) for g, n in zip(languages, sizes, strict=True)])
-    return places
+        return out
+
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """Per list of words the sum of the words' scores in each language."""
+        found: list[int] = []
+        weights: list[float] = []
+        ends = []
+        for words in texts:
+            for word in words:
+                rows = self.rows(word)
+                found += rows
+                weights += [1 / len(rows)] * len(rows)
+            ends.append(len(found))
+        row, weight = np.array(found, np.int64), np.array(weights)
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        kinds = np.bincount(owner * len(self.bases) + self.kinds[row], weight, len(texts) * len(self.bases))
+        begin = self.begins[row]
+        n = self.begins[row + 1] - begin
+        entry = spans(begin, n)
+        cell = np.repeat(owner, n) * len(self.languages) + self.codes[entry]
+        more = np.bincount(cell, np.repeat(weight, n) * self.more[entry], len(texts) * len(self.languages))
+        return kinds.reshape(len(texts), -1) @ self.bases + more.reshape(len(texts), -1)
+
+
+def by_key(languages: list[str], counts: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The keys in order; where each one's entries begin (one more at the end), and of
+    each entry the number of its language and its count."""
+    counts = counts.sort_by([("key", "ascending"), ("lang", "ascending")])
+    keys = pc.cast(counts.column("key"), pa.large_string()).combine_chunks()
+    if not len(keys):
+        return keys, (np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int64))
+    first = np.ones(len(keys), bool)
+    first[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    begins = np.append(np.flatnonzero(first), len(keys))
+    numbers = pc.index_in(pc.cast(counts.column("lang"), pa.string()), pa.array(languages, pa.string()))
+    return keys.filter(pa.array(first)), (begins, numbers.to_numpy().astype(np.int16), counts.column("n").to_numpy())
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from the rows with text and language.
 
     Fitted on a sample of about SAMPLE texts per language, picked by a hash of
-    the id and text; words and n-grams kept are bounded too, so the model's size
-    does not grow with the table.
+    the id and text; every word and n-gram of the sample is kept. Both are counted
+    in tasks; the model's size is that of the sample and does not grow with the table.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -92,7 +142,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], {}, {})
+        nothing = pa.table({"lang": pa.array([], pa.string()), "key": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        return LanguageModel([], nothing, nothing)
     share = F.lit(1.0)
     for language, n in sizes.items():
         share = F.when(F.col("lang") == language, min(1.0, SAMPLE / n)).otherwise(share)
@@ -100,26 +151,38 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = rows.filter(chance < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
+            found: dict[str, Counter] = defaultdict(Counter)
             pairs = zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
             for language, text in pairs:
                 found[language].update(WORD.findall(text.lower()))
-        out = [(g, w, n) for g, c in found.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n"), x, strict=True)) for x in out], schema)
-
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    words: dict[str, Counter] = {g: Counter() for g in languages}
-    grams: dict[str, Counter] = {g: Counter() for g in languages}
-    # As many rows as the sample has distinct words.
-    for language, word, n in counted.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
-        words[language][word] += n
-        padded = f"<{word}>"
-        for size in range(1, LONGEST + 1):
-            for at in range(len(padded) - size + 1):
-                grams[language][padded[at : at + size]] += n
-    return LanguageModel(languages, words, grams)
+            yield counts_batch(found)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, Counter] = defaultdict(Counter)
+            columns = [batch.column(c).to_pylist() for c in ("lang", "key", "n")]
+            for language, word, n in zip(*columns, strict=True):
+                padded, counter = f"<{word}>", found[language]
+                for size in range(1, LONGEST + 1):
+                    for at in range(len(padded) - size + 1):
+                        counter[padded[at : at + size]] += n
+            yield counts_batch(found)
+
+    schema = "lang string, key string, n long"
+    summed = F.sum("n").alias("n")
+    words = sample.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "key").agg(summed)
+    words = materialize(words, "language-words")
+    grams = words.mapInArrow(cut, schema).groupBy("lang", "key").agg(summed)
+    # As many rows as the sample has distinct words and n-grams, as columns of Arrow.
+    return LanguageModel(languages, words.toArrow(), grams.toArrow())
+
+
+def counts_batch(found: dict[str, Counter]) -> pa.RecordBatch:
+    columns = [*zip(*[(g, k, n) for g, c in found.items() for k, n in c.items()], strict=True)] or [(), (), ()]
+    kinds = (pa.string(), pa.string(), pa.int64())
+    made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=["lang", "key", "n"])
 
 
 class Scores:
@@ -134,14 +197,16 @@ class Scores:
         if len(self.known) > KNOWN_PIECES:
             self.known = {}
         known = self.known
-        for piece in found:
-            if piece not in known:
-                row = known[piece] = len(known)
-                if row == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                words = WORD.findall(piece.lower())
-                self.table[row, :-1] = sum(map(model.score, words)) if words else 0.0
-                self.table[row, -1] = len(words)
+        new = [p for p in found if p not in known]
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            words = [WORD.findall(p.lower()) for p in some]
+            first = len(known)
+            known.update(zip(some, range(first, first + len(some)), strict=True))
+            while len(known) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : len(known), :-1] = model.scores(words)
+            self.table[first : len(known), -1] = [len(w) for w in words]
         got = self.table[[known[p] for p in found]]
         return got[:, :-1], got[:, -1].astype(np.int64)
 
