@@ -16,6 +16,8 @@ from kinfold.llm import hamming, language, packing, radix, suffix
 from kinfold.llm.vocabularies import tokenizer
 from kinfold.session import materialize
 
+SIMILAR = 80  # hundredths of the five-word shingles that near-duplicates share
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,10 +37,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the row of the smallest doc_id. Rows are told apart by
-    doc_id and text, should an id come twice."""
+    """Of near-duplicates, similar by SIMILAR or more, the row of the smallest doc_id.
+    Rows are told apart by doc_id and text, should an id come twice."""
     known = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    kept = hamming.near_classes(known, "_row").filter("kept").select(F.col("id").alias("_row"))
+    kept = hamming.near_classes(known, "_row", similar=SIMILAR).filter("kept").select(F.col("id").alias("_row"))
     return known.join(kept, "_row", "left_semi").select(*docs.columns)
 
 

@@ -1,11 +1,13 @@
 """Near-duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature is 72 MinHash values of 8 bits. Two signatures that differ in at most
-23 values differ in at most one value in some of 12 chunks of 6 values, by the
-pigeonhole principle; so each chunk is filed under the 6 keys that leave out one
-of its values, and every pair within the distance meets under some key. Texts of
-Jaccard similarity 0.85 differ in 10.8 values on average; 24 or more happen to
-about 1 pair in 10,000 right at the limit, and to far fewer above it.
+A signature at similarity 0.85 is 72 MinHash values of 8 bits. Two signatures that
+differ in at most 23 values differ in at most one value in some of 12 chunks of 6
+values, by the pigeonhole principle; so each chunk is filed under the 6 keys that
+leave out one of its values, and every pair within the distance meets under some key.
+Texts of Jaccard similarity 0.85 differ in 10.8 values on average; 24 or more happen
+to less than 1 pair in 10,000 right at the limit, and to far fewer above it. For other
+similarities `bands` finds the chunks that miss as few: 14 of 5 values at 0.80, where
+pairs within 27 of 70 values are found.
 
 Equal shingle sets are one node. What is already in one component needs no
 further link, so the work goes from few pairs to all: first every node is paired
@@ -21,6 +23,8 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +40,50 @@ CHUNKS, PER_CHUNK = 12, 6
 VALUES = CHUNKS * PER_CHUNK
 DISTANCE = 2 * CHUNKS - 1  # the most for which some chunk has at most one error
 SIMILAR = 85  # hundredths
+MISSED = 1e-4  # most pairs right at the similarity that may differ in more values than the distance
 ROUNDS = (1, 4, 16)  # so many centres of a node have been tried after the first rounds; after the next, all
 BLOCK = 1024  # members of a key that are compared with as many others at once
 
 
+@dataclass(frozen=True)
+class Bands:
+    """How signatures are cut for a similarity, in hundredths."""
+
+    similar: int = SIMILAR
+    chunks: int = CHUNKS
+    per_chunk: int = PER_CHUNK
+
+    @property
+    def values(self) -> int:
+        return self.chunks * self.per_chunk
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+    @property
+    def place_bit(self) -> int:
+        return 8 * (self.per_chunk - 1)
+
+    def missed(self) -> float:
+        """Probability that a pair right at the similarity lies beyond the distance."""
+        p, n = (1 - self.similar / 100) * 255 / 256, self.values
+        return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(self.distance + 1, n + 1))
+
+
+def bands(similar: int) -> Bands:
+    """The longest chunks whose signature is no longer than VALUES and misses at most
+    MISSED of the pairs at this similarity; else the shortest chunks that do."""
+    if not 50 <= similar <= 100:
+        raise ValueError("similarity of 50 to 100 hundredths")
+    for size in (6, 5, 4, 3):
+        tried = (Bands(similar, n, size) for n in range(2, 129))
+        found = next((b for b in tried if b.missed() <= MISSED), None)
+        if found and (found.values <= VALUES or size == 3):
+            return found
+    raise ValueError(f"no signature for a similarity of {similar} hundredths")
+
+
 def odd_numbers(n: int, bits: int, seed: str) -> np.ndarray:
     """Fixed odd multipliers, made by a rule."""
     raw = hashlib.shake_256(seed.encode()).digest(n * 8)
@@ -115,16 +159,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """Low 8 bits of the least of each of the VALUES orders of the hashes."""
+def signature(shingles: np.ndarray, turns: np.ndarray = TURNS) -> bytes:
+    """Low 8 bits of the least of each order of the hashes, one per turn."""
     low = (shingles >> np.uint64(24)).astype(np.uint32)
-    least = np.full(VALUES, 0xFFFFFFFF, np.uint32)
+    least = np.full(len(turns), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 4096):
-        np.minimum(least, (low[at : at + 4096, None] * TURNS).min(axis=0), out=least)
+        np.minimum(least, (low[at : at + 4096, None] * turns).min(axis=0), out=least)
     return (least & np.uint32(0xFF)).astype(np.uint8).tobytes()
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sets_of(df: DataFrame, id_col: str, text_col: str, cut: Bands) -> DataFrame:
     """(id, n, digest, sig): size, digest and signature of each shingle set."""
     schema = T.StructType(
         [
@@ -135,6 +179,8 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ]
     )
 
+    turns = odd_numbers(cut.values, 32, "minhash").astype(np.uint32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
         for whole in batches:
@@ -145,7 +191,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         batch.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest_of(s) for s in sets], pa.binary()),
-                        pa.array([signature(s) for s in sets], pa.binary()),
+                        pa.array([signature(s, turns) for s in sets], pa.binary()),
                     ],
                     names=schema.names,
                 )
@@ -157,25 +203,25 @@ def digest_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def keys_of(nodes: DataFrame) -> DataFrame:
-    """(key, node): a key per chunk and value left out, which stand in its bits from 40 on."""
+def keys_of(nodes: DataFrame, cut: Bands) -> DataFrame:
+    """(key, node): a key per chunk and value left out, which stand in its bits from `place_bit` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(rows, CHUNKS, PER_CHUNK)
-            keys = np.empty((rows, CHUNKS, PER_CHUNK), np.int64)
-            for out in range(PER_CHUNK):
-                place = np.arange(CHUNKS, dtype=np.int64) * PER_CHUNK + out
-                key = np.broadcast_to(place, (rows, CHUNKS)).copy()
-                for value in range(PER_CHUNK):
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(rows, cut.chunks, cut.per_chunk)
+            keys = np.empty((rows, cut.chunks, cut.per_chunk), np.int64)
+            for out in range(cut.per_chunk):
+                place = np.arange(cut.chunks, dtype=np.int64) * cut.per_chunk + out
+                key = np.broadcast_to(place, (rows, cut.chunks)).copy()
+                for value in range(cut.per_chunk):
                     if value != out:
                         key = key << 8 | sig[:, :, value]
                 keys[:, :, out] = key
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys.ravel()),
-                    pa.array(np.repeat(np.asarray(batch.column("node")), VALUES)),
+                    pa.array(np.repeat(np.asarray(batch.column("node")), cut.values)),
                 ],
                 names=["key", "node"],
             )
@@ -183,24 +229,24 @@ def keys_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, nodes: DataFrame, cut: Bands) -> DataFrame:
     """(a, b, distance) of the pairs of sizes that can be similar, whose signatures
-    differ in at most DISTANCE values."""
+    differ in at most the distance."""
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, VALUES)
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, cut.values)
                 for c in ("sig_a", "sig_b")
             )
             distance = (a != b).sum(axis=1)
-            near = pa.array(distance <= DISTANCE)
+            near = pa.array(distance <= cut.distance)
             made = [batch.column("a"), batch.column("b"), pa.array(distance.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([x.filter(near) for x in made], names=["a", "b", "distance"])
 
-    both = pairs.join(left, "a").join(right, "b").filter(similar_sizes("n_a", "n_b")).drop("n_a", "n_b")
+    both = pairs.join(left, "a").join(right, "b").filter(similar_sizes("n_a", "n_b", cut.similar)).drop("n_a", "n_b")
     return both.mapInArrow(run, "a long, b long, distance long")
 
 
@@ -208,9 +254,10 @@ class NearDuplicates:
     """One run over a table: its nodes, what is known of their components, and
     the full sets of those that have met."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, similar: int = SIMILAR):
+        self.cut = bands(similar)
         self.docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-        self.sets = materialize(sets_of(df, id_col, text_col), "near-sets")
+        self.sets = materialize(sets_of(df, id_col, text_col, self.cut), "near-sets")
         full = self.sets.filter("n > 0").groupBy("digest")
         nodes = full.agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"))
         self.nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
@@ -218,7 +265,7 @@ class NearDuplicates:
         self.labels: DataFrame | None = None  # (node, comp) of nodes in some confirmed pair
 
     def run(self) -> None:
-        keys = keys_of(self.nodes)
+        keys = keys_of(self.nodes, self.cut)
         # Partial minima and maxima of numbers.
         centres = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         centres = materialize(centres.filter("low != high"), "near-centres")
@@ -228,11 +275,11 @@ class NearDuplicates:
         # A node has two centres per key at most, so the windows are small.
         closest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "centre"))
         ranked = materialize(shared.withColumn("rank", closest).drop("shared"), "near-ranked")
-        for low, high in zip((0, *ROUNDS), (*ROUNDS, 2 * VALUES), strict=True):
+        for low, high in zip((0, *ROUNDS), (*ROUNDS, 2 * self.cut.values), strict=True):
             some = ranked.filter((F.col("rank") > low) & (F.col("rank") <= high))
             if self.labels is not None:
                 some = self.labelled(self.labelled(some, "node", "comp"), "centre", "of_centre").filter("comp != of_centre")
-            self.confirm(near_pairs(ordered(some), self.nodes))
+            self.confirm(near_pairs(ordered(some), self.nodes, self.cut))
         self.confirm(self.all_pairs(self.unsettled(met.select("key", "node"))))
 
     def all_pairs(self, keys: DataFrame) -> DataFrame:
@@ -249,6 +296,7 @@ class NearDuplicates:
         others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         dealt = rows.select("key", "node", "comp", "n", "sig", block, others)
         dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+        cut = self.cut
         laid = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +306,11 @@ class NearDuplicates:
                 found: list[tuple[int, int, int]] = []
                 for row in zip(*columns, strict=True):
                     if cell and cell[-1][:3] != row[:3]:
-                        found += cell_pairs(cell)
+                        found += cell_pairs(cell, cut)
                         cell = []
                     cell.append(row)
                 yield pair_batch(found)
-            yield pair_batch(cell_pairs(cell))
+            yield pair_batch(cell_pairs(cell, cut))
 
         return laid.mapInArrow(run, "a long, b long, distance long")
 
@@ -319,6 +367,7 @@ class NearDuplicates:
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose sets are similar enough."""
+        similar = self.cut.similar
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -326,7 +375,7 @@ class NearDuplicates:
                 for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                     a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = len(np.intersect1d(a, b, assume_unique=True))
-                    found.append(100 * both >= SIMILAR * (len(a) + len(b) - both))
+                    found.append(100 * both >= similar * (len(a) + len(b) - both))
                 made = [batch.column(c).filter(pa.array(found, pa.bool_())) for c in ("a", "b")]
                 yield pa.RecordBatch.from_arrays(made, names=["a", "b"])
 
@@ -363,36 +412,36 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def cell_pairs(cell: list[tuple]) -> list[tuple[int, int, int]]:
+def cell_pairs(cell: list[tuple], cut: Bands = Bands()) -> list[tuple[int, int, int]]:
     """(a, b, distance) of the near pairs of a cell that lie between components, have
     similar sizes and share no earlier key. Within one block each two rows meet,
     else those of different blocks."""
     if len(cell) < 2:
         return []
-    place = cell[0][0] >> 40
+    place = cell[0][0] >> cut.place_bit
     node, comp, n, block = (np.array([r[i] for r in cell], np.int64) for i in (3, 4, 5, 7))
-    sig = np.frombuffer(b"".join([r[6] for r in cell]), np.uint8).reshape(-1, VALUES)
+    sig = np.frombuffer(b"".join([r[6] for r in cell]), np.uint8).reshape(-1, cut.values)
     across = cell[0][1] != cell[0][2]
     out = []
     for i in range(len(cell) - 1):
         later = np.arange(i + 1, len(cell))
         later = later[(comp[later] != comp[i]) & ((block[later] != block[i]) if across else True)]
-        later = later[100 * np.minimum(n[later], n[i]) >= SIMILAR * np.maximum(n[later], n[i])]
+        later = later[100 * np.minimum(n[later], n[i]) >= cut.similar * np.maximum(n[later], n[i])]
         differ = sig[later] != sig[i]
         distance = differ.sum(axis=1)
-        near = np.flatnonzero(distance <= DISTANCE)
+        near = np.flatnonzero(distance <= cut.distance)
         for at in near.tolist():
-            if first_key(differ[at]) == place:
+            if first_key(differ[at], cut) == place:
                 a, b = sorted((int(node[i]), int(node[later[at]])))
                 out.append((a, b, int(distance[at])))
     return out
 
 
-def first_key(differ: np.ndarray) -> int:
+def first_key(differ: np.ndarray, cut: Bands = Bands()) -> int:
     """Chunk and left-out value of the first key that two signatures share."""
-    chunks = differ.reshape(CHUNKS, PER_CHUNK)
+    chunks = differ.reshape(cut.chunks, cut.per_chunk)
     chunk = int(np.argmax(chunks.sum(axis=1) <= 1))
-    return chunk * PER_CHUNK + int(np.argmax(chunks[chunk]))
+    return chunk * cut.per_chunk + int(np.argmax(chunks[chunk]))
 
 
 def pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -400,9 +449,9 @@ def pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "distance"])
 
 
-def similar_sizes(a: str, b: str) -> str:
+def similar_sizes(a: str, b: str, similar: int) -> str:
     """Sets of these sizes can be similar enough at all."""
-    return f"100 * least({a}, {b}) >= {SIMILAR} * greatest({a}, {b})"
+    return f"100 * least({a}, {b}) >= {similar} * greatest({a}, {b})"
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -430,15 +479,17 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = materialize(moved, "near-labels")
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR
+) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row per input row.
 
-    Documents whose shingle sets have a Jaccard similarity of 0.85 or more are
-    linked; `component_id` is the least id reachable, and the row with that id is
+    Documents whose shingle sets have a Jaccard similarity of `similar` hundredths
+    (0.85) or more are linked; `component_id` is the least id reachable, and the row with that id is
     kept. Null and empty texts have no shingles and stand alone, as do null ids
     in a component of their own; equal texts are one class; rows that repeat an
     id stay together if their texts do. Other columns are ignored.
     """
-    run = NearDuplicates(df, id_col, text_col)
+    run = NearDuplicates(df, id_col, text_col, similar)
     run.run()
     return run.classes()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from kinfold.llm import language
+import corpus_pipeline
+import numpy as np
+
+from kinfold.llm import hamming, language
 
 
 def test_model_keeps_every_word_and_gram_of_the_sample(spark):
@@ -17,3 +20,26 @@ def test_model_keeps_every_word_and_gram_of_the_sample(spark):
     assert set(model.grams) == grams
     en = model.scores([[words[0]], []])[0]
     assert en.argmax() == 0 and abs(en[0] - math.log(1.5 / (len(words) + 0.5 * (len(words) + 2) + 1))) < 1e-9
+
+
+def test_stage_links_texts_of_a_similarity_of_080(spark):
+    texts = [(1, [f"w{i}" for i in range(500)])]
+    texts.append((2, [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(texts[0][1])]))  # 446 of 546 shingles
+    texts.append((3, [f"y{i}" if i % 38 == 19 else w for i, w in enumerate(texts[0][1])]))  # 431 of 561
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    assert hamming.near_classes(docs).filter("kept").count() == 3
+
+
+def test_bands_miss_few_pairs_and_share_a_key():
+    assert hamming.bands(85) == hamming.Bands(85, hamming.CHUNKS, hamming.PER_CHUNK)
+    pick = np.random.default_rng(2)
+    for similar in (70, 75, 80, 85, 90, 100):
+        cut = hamming.bands(similar)
+        assert cut.missed() <= hamming.MISSED
+        for _ in range(50):
+            differ = np.zeros(cut.values, bool)
+            differ[pick.choice(cut.values, cut.distance, replace=False)] = True
+            chunk, out = divmod(hamming.first_key(differ, cut), cut.per_chunk)
+            assert differ.reshape(cut.chunks, -1)[chunk].sum() == differ.reshape(cut.chunks, -1)[chunk, out]
