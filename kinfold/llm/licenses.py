@@ -1,14 +1,18 @@
 """License scans by patience alignment of texts with known notices.
 
-Words that occur once in the notice and once in the text are anchors; the longest
-run of anchors that keeps their order is taken, and the gaps between them are
-aligned in the same way, where more words are unique. Coverage is the share of the
-notice's words that are aligned. A region of the text is aligned only if it has
-enough words of the notice at all, which no alignment could exceed.
+A notice stands wherever a stretch of the text, no wider than the notice plus
+insertions, has enough of its words in order: the longest common subsequence with the
+notice finds each such place, from left to right, and one place ends where the next
+begins, so copies do not hide each other. Inside a place, words that occur once in the
+notice and once in the text are anchors; the longest run of anchors that keeps their
+order is taken, and the gaps between them are aligned in the same way, where more
+words are unique, or plainly where none is. Coverage is the share of the notice's
+words that are aligned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -22,7 +26,7 @@ from pyspark.sql import types as T
 from .texts import pieces, slices, strings
 
 COVERED = 0.8  # least share of a notice's words
-GAP = 12  # words without any of the notice's that end a region
+INSERTED = 60  # foreign words that may stand in a place of a notice, besides as many as it has
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 
 # Wordings of public license notices.
@@ -74,6 +78,7 @@ def aligned(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
             continue
         chain = longest_increasing(unique_pairs(text, a, b, notice, c, d))
         if not chain:
+            out += [(a + x, c + y) for x, y in common(text[a:b], notice[c:d])]
             continue
         edges = [(a - 1, c - 1), *chain, (b, d)]
         out += chain
@@ -106,34 +111,113 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def regions(text: list[str], notice: set[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of the text around the notice's words, no GAP words apart."""
-    hits = [i for i, w in enumerate(text) if w in notice]
-    begin = 0
-    for n, at in enumerate(hits):
-        if n + 1 == len(hits) or hits[n + 1] - at > GAP:
-            yield hits[begin], at + 1
-            begin = n + 1
+def common(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence."""
+    rows, at = [], [0] * (len(notice) + 1)
+    wanted = set(notice)
+    words = [(i, w) for i, w in enumerate(text) if w in wanted]
+    for _, w in words:
+        above, at = at, [0]
+        for j, v in enumerate(notice):
+            at.append(above[j] + 1 if v == w else max(above[j + 1], at[j]))
+        rows.append(above)
+    out, j, best = [], len(notice), at
+    for (i, w), above in zip(reversed(words), reversed(rows), strict=True):
+        # The word is in it only if the rows before cannot do as well without it.
+        if best[j] > above[j]:
+            while notice[j - 1] != w or best[j - 1] == best[j]:
+                j -= 1
+            j -= 1
+            out.append((i, j))
+        best = above
+    return out[::-1]
 
 
-def best_match(text: str, notices: Mapping[str, list[str]], least: float = COVERED) -> tuple[str, float, int, int] | None:
-    """(name, coverage, first word, word after the last) of the notice with the highest
-    coverage; of equal ones the longest, then the first by name."""
+class Sequence:
+    """Lengths of longest common subsequences with a notice, in one number's bits."""
+
+    def __init__(self, notice: list[str]):
+        self.size = len(notice)
+        self.full = (1 << self.size) - 1
+        self.bits: dict[str, int] = {}
+        for i, w in enumerate(notice):
+            self.bits[w] = self.bits.get(w, 0) | 1 << i
+        self.back = {w: int(f"{b:0{self.size}b}"[::-1], 2) for w, b in self.bits.items()}
+
+    def reach(self, hits: list[tuple[int, str]], order: range, need: int, back: bool = False) -> tuple[int, int]:
+        """The longest length up to `need` over these hits, and the first hit it is reached at."""
+        bits, state, longest, at = self.back if back else self.bits, self.full, 0, -1
+        for i in order:
+            met = state & bits[hits[i][1]]
+            if met:
+                state = (state + met | state - met) & self.full
+                if self.size - state.bit_count() > longest:
+                    longest, at = longest + 1, i
+                    if longest >= need:
+                        break
+        return longest, at
+
+
+def places(text: list[str], notice: list[str], least: float) -> list[tuple[int, int, int]]:
+    """Ranges of the text where the notice stands, in order and apart, and how many of
+    its words can be aligned there."""
+    sequence, wanted, need = Sequence(notice), Counter(notice), max(1, math.ceil(least * len(notice) - 1e-9))
+    wide = 2 * len(notice) + INSERTED
+    hits = [(i, w) for i, w in enumerate(text) if w in wanted]
+
+    def tightest(low: int) -> tuple[int, int] | None:
+        """The first and last hit of the stretch from `low` on that ends first."""
+        have: Counter = Counter()
+        inside, right = 0, low
+        for left in range(low, len(hits)):
+            while right < len(hits) and hits[right][0] < hits[left][0] + wide:
+                have[hits[right][1]] += 1
+                inside += have[hits[right][1]] <= wanted[hits[right][1]]
+                right += 1
+            if inside >= need:
+                longest, end = sequence.reach(hits, range(left, right), need)
+                if longest >= need:
+                    return sequence.reach(hits, range(end, left - 1, -1), need, True)[1], end
+            inside -= have[hits[left][1]] <= wanted[hits[left][1]]
+            have[hits[left][1]] -= 1
+        return None
+
+    out: list[tuple[int, int, int]] = []
+    low = 0
+    found = tightest(low)
+    while found:
+        begin, end = found
+        after = tightest(end + 1)
+        stop = after[0] if after else len(hits)
+        while low < begin and hits[low][0] <= hits[end][0] - wide:
+            low += 1
+        while stop > end + 1 and hits[stop - 1][0] >= hits[begin][0] + wide:
+            stop -= 1
+        longest, last = sequence.reach(hits, range(low, stop), len(notice))
+        first = sequence.reach(hits, range(last, low - 1, -1), longest, True)[1]
+        out.append((hits[first][0], hits[last][0] + 1, longest))
+        low = last + 1
+        found = after if after and after[0] >= low else tightest(low)
+    return out
+
+
+def matches(text: str, notices: Mapping[str, list[str]], least: float = COVERED) -> list[tuple[str, float, int, int]]:
+    """(name, coverage, first word, word after the last) of each place of each notice."""
     own = words(text)
     found = []
     for name, notice in notices.items():
-        need, wanted = least * len(notice), Counter(notice)
-        for a, b in regions(own, set(notice)):
-            part = own[a:b]
-            if b - a < need or sum((Counter(part) & wanted).values()) < need:
-                continue
-            pairs = aligned(part, notice)
-            if len(pairs) >= need:
-                found.append((-len(pairs) / len(notice), -len(notice), name, a + pairs[0][0], a + pairs[-1][0] + 1))
-    if not found:
-        return None
-    coverage, _, name, a, b = min(found)
-    return name, -coverage, a, b
+        for a, b, longest in places(own, notice, least):
+            pairs = aligned(own[a:b], notice)
+            if len(pairs) < longest:
+                pairs = common(own[a:b], notice)
+            found.append((name, len(pairs) / len(notice), a + pairs[0][0], a + pairs[-1][0] + 1))
+    return found
+
+
+def best_match(text: str, notices: Mapping[str, list[str]], least: float = COVERED) -> tuple[str, float, int, int] | None:
+    """(name, coverage, first word, word after the last) of the notice with the highest
+    coverage; of equal ones the longest, then the first by name, then the first place."""
+    return min(matches(text, notices, least), key=lambda m: (-m[1], -len(notices[m[0]]), m[0], m[2]), default=None)
 
 
 def scan(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 
 import corpus_pipeline
 import numpy as np
 
-from kinfold.llm import hamming, language
+from kinfold.llm import hamming, language, licenses
 
 
 def test_model_keeps_every_word_and_gram_of_the_sample(spark):
@@ -43,3 +44,51 @@ def test_bands_miss_few_pairs_and_share_a_key():
             differ[pick.choice(cut.values, cut.distance, replace=False)] = True
             chunk, out = divmod(hamming.first_key(differ, cut), cut.per_chunk)
             assert differ.reshape(cut.chunks, -1)[chunk].sum() == differ.reshape(cut.chunks, -1)[chunk, out]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def test_copies_of_a_notice_do_not_hide_each_other():
+    pick = random.Random(5)
+    filler = "the of under to and work this file in any or word other text".split()
+    known = {n: licenses.words(t) for n, t in licenses.NOTICES.items()}
+    for name in ("MIT", "GPL-3.0", "MIT-text", "Apache-2.0-notice"):
+        notice = known[name]
+        for copies in (1, 2, 3):
+            text, at = [pick.choice(filler) for _ in range(300)], []
+            for _ in range(copies):
+                drop = set(pick.sample(range(len(notice)), len(notice) // 10))
+                copy = [w for i, w in enumerate(notice) if i not in drop]
+                copy[len(copy) // 2 : len(copy) // 2] = ["foreign"] * 20  # a break inside
+                at.append((len(text), len(text) + len(copy)))
+                text += copy + [pick.choice(filler) for _ in range(300)]
+            found = [m for m in licenses.matches(" ".join(text), {name: notice}) if m[0] == name]
+            for a, b in at:
+                mine = [m for m in found if m[2] < b and a < m[3]]
+                assert len(mine) == 1 and mine[0][1] >= longest_common(text[a:b], notice) / len(notice)
+                assert mine[0][1] == longest_common(text[mine[0][2] : mine[0][3]], notice) / len(notice)
+
+
+def test_two_equal_lines_in_the_middle(spark):
+    line = "Released under the MIT License."
+    text = f"the start of a file {line} and under the rest of it {line} the end of the work"
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (found.license, found.coverage, found.first_word, found.n_words) == ("MIT", 1.0, 5, 5)
+
+
+def test_plain_alignment_is_a_longest_one():
+    pick = random.Random(6)
+    for _ in range(300):
+        a, b = ([pick.choice("abcd") for _ in range(pick.randrange(12))] for _ in range(2))
+        pairs = licenses.common(a, b)
+        assert len(pairs) == longest_common(a, b) and all(a[x] == b[y] for x, y in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        if b:
+            assert licenses.Sequence(b).reach([*enumerate(a)] if set(a) <= set(b) else [], range(len(a) if set(a) <= set(b) else 0), len(b))[0] == (len(pairs) if set(a) <= set(b) else 0)
