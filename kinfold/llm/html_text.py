@@ -3,8 +3,10 @@
 Every element has a number of characters, of tags, and of characters and tags
 inside links. Its composite density is characters per tag, weighted down by the
 share of links against the page's average. The element whose children's densities
-sum up highest holds the article. From there the choice grows to the parent as
-long as all that this adds is as dense as the body, the threshold on the path up.
+sum up highest holds the article. The least density on the path from the body to it
+is the threshold: what hangs on this path and is as dense belongs to the article too.
+So does what stands next to that element, or with it inside an article element, and
+headings along the path, however sparse, unless most of it is links.
 Elements that are no part of an article by their kind (menus, scripts, forms and
 the like) count for nothing.
 """
@@ -63,6 +65,7 @@ BOILERPLATE = set(
     "comment comments disqus replies respond reply discussion complementary contentinfo search".split()
 )
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
 class Node:
@@ -226,12 +229,36 @@ def main_text(page: str) -> str:
     for total, node in sums:
         if node.tag not in INLINE and total > best:
             best, chosen = total, node
-    while chosen is not body and chosen.parent is not body and chosen.parent is not None:
-        others = [c for c in chosen.parent.children if not c.dead and c is not chosen and c.chars]
-        if chosen.parent.tag not in ARTICLE and any(c.density < body.density for c in others):
-            break
-        chosen = chosen.parent
-    return "\n".join([text for first, text in blocks if chosen.begin <= first < chosen.end])
+    kept, left = [chosen], []
+    path = [chosen]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    inside = any(n.tag in ARTICLE for n in path[1:])
+    for node, parent in zip(path, path[1:], strict=False):
+        others = [c for c in parent.children if not c.dead and c is not node and c.tag not in INLINE]
+        if node is chosen or inside:
+            kept.append(parent)
+            left += [c for c in others if is_linked(c)]
+            inside = inside and parent.tag not in ARTICLE
+        else:
+            own = [c for c in others if not is_linked(c) and (c.tag in HEADINGS or c.density >= threshold)]
+            kept += own
+            if parent is body:  # also what stands between parts of the article
+                first, last = (f(parent.children.index(c) for c in [node, *own]) for f in (min, max))
+                kept += [c for c in parent.children[first:last] if c in others and not is_linked(c)]
+    parts = [(n.begin, n.end) for n in kept]
+    gaps = [(n.begin, n.end) for n in left]
+
+    def belongs(at: int) -> bool:
+        return any(a <= at < b for a, b in parts) and not any(a <= at < b for a, b in gaps)
+
+    return "\n".join([text for first, text in blocks if belongs(first)])
+
+
+def is_linked(node: Node) -> bool:
+    """More than half of its text is links."""
+    return 2 * node.link_chars > node.chars
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -7,8 +7,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
-from kinfold.llm import hamming, language, licenses
+from kinfold.llm import hamming, html_text, language, licenses
 
 
 def test_model_keeps_every_word_and_gram_of_the_sample(spark):
@@ -92,3 +93,25 @@ def test_plain_alignment_is_a_longest_one():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
         if b:
             assert licenses.Sequence(b).reach([*enumerate(a)] if set(a) <= set(b) else [], range(len(a) if set(a) <= set(b) else 0), len(b))[0] == (len(pairs) if set(a) <= set(b) else 0)
+
+
+LONG = "".join(f"<p>{n} {'words of a paragraph that is long enough ' * 5}</p>" for n in range(6))
+MENU = "".join(f"<li><a href=/{n}>Link number {n}</a></li>" for n in range(20))
+
+
+@pytest.mark.parametrize(
+    ("body", "kept"),
+    [
+        (f"<div><h1>Headline</h1><div>{LONG}</div></div>", ["Headline"]),
+        (f"<article><div><h1>Headline</h1><div>{LONG}</div></div></article>", ["Headline"]),
+        (f"<div><h1>Headline</h1><div><div>{LONG}</div></div></div>", ["Headline"]),
+        (f"<h1>Headline</h1><div>{LONG}</div>", ["Headline"]),
+        (f"<div><div>{LONG}</div><div><ul><li>one<li>two<li>three</ul></div></div>", ["one", "two", "three"]),
+        (f"<div><div>{LONG}</div><section><p>short</p><p>bits</p></section></div>", ["short", "bits"]),
+        (f"<div>{LONG}</div><div><p>{'Second part of the article ' * 8}</p><p>{'and its end ' * 20}</p></div>", ["Second part", "and its end"]),
+    ],
+)
+def test_sparse_and_second_parts_of_an_article_stay(body, kept):
+    for page in (f"<body>{body}</body>", f"<body><div><div><ul>{MENU}</ul></div><div>{body}</div></div></body>"):
+        text = html_text.main_text(page)
+        assert all(k in text for k in kept) and text.count("long enough") == 30 and "Link" not in text
