@@ -7,14 +7,15 @@ begins, so copies do not hide each other. Inside a place, words that occur once
 notice and once in the text are anchors; the longest run of anchors that keeps their
 order is taken, and the gaps between them are aligned in the same way, where more
 words are unique, or plainly where none is. Coverage is the share of the notice's
-words that are aligned.
+words that are aligned. Every place of every notice is a match; of a short notice the
+words that name the license and its version must all be aligned.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -27,6 +28,7 @@ from .texts import pieces, slices, strings
 
 COVERED = 0.8  # least share of a notice's words
 INSERTED = 60  # foreign words that may stand in a place of a notice, besides as many as it has
+SHORT = 20  # words; a notice up to this size must have all words that name its license
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 
 # Wordings of public license notices.
@@ -58,6 +60,17 @@ NOTICES = {
 }
 
 
+# Words of short notices that name no license, and words that make a
+# license another one where they stand within its name.
+WORDING = set(
+    "a an all and any as by-line code content distributed file following in is it its licence license licensed made "
+    "of or permitted program project provided published released reserved rights shared software source terms the "
+    "this to under use used version with work you your available".split()
+)
+VARIANTS = {"sa", "nd", "nc", "lesser", "library", "affero"}
+VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")  # 3, 3.0 and v3 are one
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -201,23 +214,83 @@ def places(text: list[str], notice: list[str], least: float) -> list[tuple[int,
     return out
 
 
+def telling(notice: list[str]) -> list[int]:
+    """Places of the words that a match must have: in short notices those of the license's name."""
+    return [i for i, w in enumerate(notice) if w not in WORDING] if len(notice) <= SHORT else []
+
+
 def matches(text: str, notices: Mapping[str, list[str]], least: float = COVERED) -> list[tuple[str, float, int, int]]:
-    """(name, coverage, first word, word after the last) of each place of each notice."""
+    """(name, coverage, first word, word after the last) of each place of each notice, by place."""
     own = words(text)
     found = []
     for name, notice in notices.items():
+        need = telling(notice)
+        if need:
+            found += [(name, *m) for m in short_matches(own, notice, need, least)]
+            continue
         for a, b, longest in places(own, notice, least):
             pairs = aligned(own[a:b], notice)
             if len(pairs) < longest:
                 pairs = common(own[a:b], notice)
             found.append((name, len(pairs) / len(notice), a + pairs[0][0], a + pairs[-1][0] + 1))
-    return found
+    return sorted(found, key=lambda m: (m[2], m[3], m[0]))
+
+
+def same(word: str) -> str:
+    found = VERSION.fullmatch(word)
+    return found[1] if found else word
+
+
+def short_matches(own: list[str], notice: list[str], need: list[int], least: float) -> Iterator[tuple[float, int, int]]:
+    """(coverage, first word, word after the last) of each place where all words at `need`
+    stand in order, with no variant's word between, and enough others around them."""
+    wanted, wide = [same(notice[i]) for i in need], 2 * len(notice) + INSERTED
+    spots: dict[str, list[int]] = {w: [] for w in wanted}
+    for i, w in enumerate(own):
+        if (w := same(w)) in spots:
+            spots[w].append(i)
+    names: list[list[int]] = []
+    for i in spots[wanted[0]]:
+        at = [i]
+        for w in wanted[1:]:
+            later = bisect_right(spots[w], at[-1])
+            if later < len(spots[w]):
+                at.append(spots[w][later])
+        if len(at) < len(wanted):
+            break
+        if names and names[-1][-1] == at[-1]:
+            names.pop()  # begins later, ends alike
+        names.append(at)
+    done = 0
+    for n, at in enumerate(names):
+        foreign = {own[i] for i in range(at[0], at[-1]) if i not in at}
+        if at[0] < done or at[-1] - at[0] >= wide or foreign & VARIANTS:
+            continue
+        pairs = [*zip(at, need, strict=True)]
+        for (x, y), (z, w) in zip(pairs[: len(at)], pairs[1 : len(at)], strict=False):
+            pairs += [(x + 1 + i, y + 1 + j) for i, j in common(own[x + 1 : z], notice[y + 1 : w])]
+        # The words before are looked for backwards, so that the nearest are taken.
+        low, before = max(done, at[0] - wide // 2), need[0]
+        back = common(own[low : at[0]][::-1], notice[:before][::-1])
+        pairs += [(at[0] - 1 - i, before - 1 - j) for i, j in back]
+        high = min(names[n + 1][0] if n + 1 < len(names) else len(own), at[-1] + 1 + wide // 2)
+        pairs += [(at[-1] + 1 + i, need[-1] + 1 + j) for i, j in common(own[at[-1] + 1 : high], notice[need[-1] + 1 :])]
+        if len(pairs) >= least * len(notice) - 1e-9:
+            done = max(pairs)[0] + 1
+            yield len(pairs) / len(notice), min(pairs)[0], done
 
 
 def best_match(text: str, notices: Mapping[str, list[str]], least: float = COVERED) -> tuple[str, float, int, int] | None:
-    """(name, coverage, first word, word after the last) of the notice with the highest
-    coverage; of equal ones the longest, then the first by name, then the first place."""
-    return min(matches(text, notices, least), key=lambda m: (-m[1], -len(notices[m[0]]), m[0], m[2]), default=None)
+    """The best of the matches."""
+    return best_of(matches(text, notices, least), notices)
+
+
+def best_of(
+    found: list[tuple[str, float, int, int]], notices: Mapping[str, list[str]]
+) -> tuple[str, float, int, int] | None:
+    """The match with the highest coverage; of equal ones the longest notice, then the first by
+    name, then the first place."""
+    return min(found, key=lambda m: (-m[1], -len(notices[m[0]]), m[0], m[2]), default=None)
 
 
 def scan(
@@ -227,11 +300,16 @@ def scan(
     notices: Mapping[str, str] = NOTICES,
     least: float = COVERED,
 ) -> DataFrame:
-    """(id, license, coverage, first_word, n_words), a row per input row: the notice that
-    covers best, and where. Without a notice of `least` coverage license is null and
-    the rest 0; null and empty texts have none. Other columns are ignored."""
-    fields = "license string, coverage double, first_word long, n_words long"
+    """(id, license, coverage, first_word, n_words, matches), a row per input row: the notice
+    that covers best, and where; `matches` has the same of every place of every notice,
+    by place. Without a notice of `least` coverage license is null, the rest 0 and
+    `matches` empty; null and empty texts have none. Other columns are ignored."""
+    one = "license string, coverage double, first_word long, n_words long"
+    fields = one.replace(" ", ": ").replace(",:", ",")
+    fields = f"{one}, matches array<struct<{fields}>>"
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL(fields)])
+    parts = ("license", "coverage", "first_word", "n_words")
+    kind = pa.list_(pa.struct([*zip(parts, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)]))
     known = {name: words(text) for name, text in notices.items() if words(text)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,16 +332,17 @@ def scan(
                     if piece not in seen:
                         seen[piece] = tuple({number[w] for w in words(piece) if w in number})
                 hit = np.array([bool(seen[p]) for p in found], bool)[codes] if found else np.zeros(0, bool)
-                out = []
-                places = np.flatnonzero(hit)
-                edges = np.searchsorted(places, begins)
+                out, every = [], []
+                spots = np.flatnonzero(hit)
+                edges = np.searchsorted(spots, begins)
                 for row, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
                     # What notices could be covered by the different words the text has.
-                    have = {n for c in np.unique(codes[places[low:high]]).tolist() for n in seen[found[c]]}
+                    have = {n for c in np.unique(codes[spots[low:high]]).tolist() for n in seen[found[c]]}
                     reach = member[:, sorted(have)].sum(axis=1) if have else np.zeros(len(known))
                     names = [name for name, ok in zip(known, reach >= needed, strict=True) if ok]
-                    match = best_match(texts[row].as_py(), {n: known[n] for n in names}, least) if names else None
-                    out.append(match or (None, 0.0, 0, 0))
+                    match = matches(texts[row].as_py(), {n: known[n] for n in names}, least) if names else []
+                    out.append(best_of(match, known) or (None, 0.0, 0, 0))
+                    every.append([dict(zip(parts, (n, c, a, b - a), strict=True)) for n, c, a, b in match])
                 columns = [*zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -272,6 +351,7 @@ def scan(
                         pa.array(columns[1], pa.float64()),
                         pa.array(columns[2], pa.int64()),
                         pa.array([b - a for a, b in zip(columns[2], columns[3], strict=True)], pa.int64()),
+                        pa.array(every, kind),
                     ],
                     names=schema.names,
                 )

@@ -65,7 +65,8 @@ def test_copies_of_a_notice_do_not_hide_each_other():
         for copies in (1, 2, 3):
             text, at = [pick.choice(filler) for _ in range(300)], []
             for _ in range(copies):
-                drop = set(pick.sample(range(len(notice)), len(notice) // 10))
+                loose = sorted({*range(len(notice))} - {*licenses.telling(notice)})  # a short notice needs its name
+                drop = set(pick.sample(loose, len(notice) // 10))
                 copy = [w for i, w in enumerate(notice) if i not in drop]
                 copy[len(copy) // 2 : len(copy) // 2] = ["foreign"] * 20  # a break inside
                 at.append((len(text), len(text) + len(copy)))
@@ -115,3 +116,24 @@ def test_sparse_and_second_parts_of_an_article_stay(body, kept):
     for page in (f"<body>{body}</body>", f"<body><div><div><ul>{MENU}</ul></div><div>{body}</div></div></body>"):
         text = html_text.main_text(page)
         assert all(k in text for k in kept) and text.count("long enough") == 30 and "Link" not in text
+
+
+def test_every_notice_is_returned_and_names_are_told_apart(spark):
+    mit, cc = licenses.NOTICES["MIT"], licenses.NOTICES["CC-BY-4.0"]
+    gpl = licenses.NOTICES["GPL-3.0"]
+    texts = [
+        (1, f"code: {mit} {licenses.NOTICES['Apache-2.0-notice']} data: {cc} more code: {mit}"),
+        (2, "Released under the BSD License."),
+        (3, "Licensed under CC BY-SA 4.0."),
+        (4, gpl.replace("version 3", "version 2")),
+        (5, gpl.replace("version 3", "version 3.0")),
+        (6, licenses.NOTICES["CC-BY-NC-4.0"]),
+        (7, gpl.replace("General", "Lesser General")),
+    ]
+    found = {r.id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    names = {i: [m.license for m in r.matches] for i, r in found.items()}
+    assert names[1] == ["MIT", "Apache-2.0", "Apache-2.0-notice", "CC-BY-4.0", "MIT"]
+    assert found[1].license == "Apache-2.0-notice" and found[1].matches[0].first_word == 1
+    assert all(m.coverage == 1.0 for m in found[1].matches)
+    assert names[2] == names[3] == names[4] == names[7] == [] and found[4].license is None
+    assert names[5] == ["GPL-3.0"] and names[6] == ["CC-BY-NC-4.0"]
