@@ -29,7 +29,8 @@ from ..session import materialize
 from .byte_tokens import byte_tokens
 from .texts import slices, strings
 
-MAX_QUEUES = 256  # more sources than this share queues, by hash
+MAX_QUEUES = 256  # more are planned in tables instead of a broadcast, with the same result
+BLOCK = 4096  # windows whose sizes are summed up in one group
 WEIGHT = 1_000_000  # shares are taken as whole millionths
 OTHER = "other"
 
@@ -134,7 +135,7 @@ def pack(
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     named = F.coalesce(df[source_col].cast("string"), F.lit(""))
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), _queue(df, named, shares).alias("queue"))
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), _queue(named, shares).alias("queue"))
     staged = materialize(_tokenize(rows, tokenizer, end_id, kind), "packing-tokens")
 
     # What each partition adds to each queue: as many rows as partitions times queues.
@@ -145,23 +146,16 @@ def pack(
     bases = materialize(
         added.select("queue", "part", "tokens", F.coalesce(before, F.lit(0)).alias("base")), "packing-bases"
     )
-    totals = {r[0]: r[1] for r in bases.groupBy("queue").agg(F.sum("tokens")).collect()}  # at most MAX_QUEUES + 1
+    sums = materialize(bases.groupBy("queue").agg(F.sum("tokens").alias("total")), "packing-totals")
+    if not shares and sums.count() > MAX_QUEUES:
+        return _pack_by_tables(staged, bases, sums, kind, length, window)
+    totals = {r[0]: r[1] for r in sums.collect()}  # at most MAX_QUEUES, or the queues of the given shares
     names = sorted(totals)
     schedule = Schedule(names, [totals[n] for n in names], window, shares)
     numbers = {n: i for i, n in enumerate(names)}
     shared = spark.sparkContext.broadcast((schedule, numbers))
 
-    fields = [
-        T.StructField("id", kind),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("ids", T.BinaryType()),
-        T.StructField("doc_tokens", T.LongType()),
-        T.StructField("sequence_id", T.LongType()),
-        T.StructField("offset", T.LongType()),
-        T.StructField("queue", T.StringType()),
-        T.StructField("window", T.LongType()),
-    ]
+    fields = _fields(kind)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, number = shared.value
@@ -203,12 +197,108 @@ def piece_columns(packed: DataFrame) -> DataFrame:
     )
 
 
-def _queue(df: DataFrame, named: Column, shares: Mapping[str, float] | None) -> Column:
-    if shares:
-        return F.when(named.isin([*shares]), named).otherwise(F.lit(OTHER))
-    if df.select(named.alias("source")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
-        return named
-    return F.concat(F.lit("#"), F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string"))
+def _fields(kind: T.DataType) -> list[T.StructField]:
+    return [
+        T.StructField("id", kind),
+        T.StructField("start", T.LongType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("doc_tokens", T.LongType()),
+        T.StructField("sequence_id", T.LongType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("queue", T.StringType()),
+        T.StructField("window", T.LongType()),
+    ]
+
+
+def _queue(named: Column, shares: Mapping[str, float] | None) -> Column:
+    return F.when(named.isin([*shares]), named).otherwise(F.lit(OTHER)) if shares else named
+
+
+def _pack_by_tables(
+    staged: DataFrame, bases: DataFrame, sums: DataFrame, kind: T.DataType, length: int, window: int
+) -> DataFrame:
+    """What Schedule gives without shares, for any number of queues: a queue of n tokens
+    has given w * n // windows of them before window w, so a task needs the queue's
+    total only; where its part of a window stands comes from a table by queue and window."""
+    windows = -(-sums.agg(F.sum("total")).first()[0] // window)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for queue, total in zip(batch.column("queue").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                for low in range(0, min(total, windows), 8192):
+                    numbers = range(low, min(low + 8192, total, windows))
+                    # Fewer tokens than windows: only the windows that take one.
+                    at = [*numbers] if total >= windows else [-(-(k + 1) * windows // total) - 1 for k in numbers]
+                    given = [(w * total // windows, (w + 1) * total // windows) for w in at]
+                    columns = at, [a for a, _ in given], [b - a for a, b in given]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([queue] * len(at), pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
+                        names=["queue", "window", "before", "tokens"],
+                    )
+
+    given = materialize(sums.mapInArrow(parts, "queue string, window long, before long, tokens long"), "packing-parts")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sized = given.groupBy("window").agg(F.sum("tokens").alias("size"))
+    sized = materialize(sized.withColumn("block", F.expr(f"window div {BLOCK}")), "packing-windows")
+    in_block = F.coalesce(F.sum("size").over(earlier.partitionBy("block").orderBy("window")), F.lit(0))
+    of_block = F.coalesce(F.sum("all").over(earlier.orderBy("block")), F.lit(0))  # a row per BLOCK windows
+    blocks = sized.groupBy("block").agg(F.sum("size").alias("all")).select("block", of_block.alias("first"))
+    begins = sized.select("window", "block", in_block.alias("inside")).join(blocks, "block")
+    # A window has no more queues than tokens.
+    among = F.coalesce(F.sum("tokens").over(earlier.partitionBy("window").orderBy("queue")), F.lit(0))
+    laid = given.withColumn("among", among).join(begins, "window")
+    place = F.col("first") + F.col("inside") + F.col("among") - F.col("before")
+    laid = materialize(laid.select("queue", "window", place.alias("shift")), "packing-places")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                out: list[tuple] = []
+                columns = [batch.column(n).to_pylist() for n in ("ids", "queue", "at", "n_tokens", "total")]
+                for row, (ids, queue, begin, n, total) in enumerate(zip(*columns, strict=True)):
+                    at = begin
+                    while at < begin + n:
+                        w = -(-(at + 1) * windows // total) - 1  # the window that takes this token
+                        stop = min(begin + n, (w + 1) * total // windows)
+                        out.append((row, at - begin, at, ids[2 * (at - begin) : 2 * (stop - begin)], n, queue, w))
+                        at = stop
+                taken, *made = [*zip(*out, strict=True)]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(taken)), *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]],
+                    names=["id", "start", "at", "ids", "doc_tokens", "queue", "window"],
+                )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in _fields(kind)]
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                out: list[tuple] = []
+                columns = [batch.column(n).to_pylist() for n in ("start", "ids", "place")]
+                for row, (start, ids, place) in enumerate(zip(*columns, strict=True)):
+                    wide, at = np.frombuffer(ids, "<u2").astype("<u4"), 0
+                    while at < len(wide):
+                        take = min(len(wide) - at, length - place % length)
+                        piece = wide[at : at + take].tobytes()
+                        out.append((row, start + at, take, piece, place // length, place % length))
+                        at, place = at + take, place + take
+                taken, *made = [*zip(*out, strict=True)]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                start, take, piece, sequence, offset = (pa.array(c, k) for c, k in zip(made, kinds, strict=True))
+                of = {n: batch.column(n).take(pa.array(taken)) for n in ("id", "doc_tokens", "queue", "window")}
+                yield pa.RecordBatch.from_arrays(
+                    [of["id"], start, take, piece, of["doc_tokens"], sequence, offset, of["queue"], of["window"]],
+                    names=names,
+                )
+
+    head = [T.StructField("id", kind)]
+    tail = T.StructType.fromDDL("start long, at long, ids binary, doc_tokens long, queue string, window long").fields
+    placed = staged.join(bases.select("queue", "part", "base").join(sums, "queue"), ["queue", "part"])
+    placed = placed.select("id", "queue", "n_tokens", "ids", "total", (F.col("base") + F.col("at")).alias("at"))
+    by_window = placed.mapInArrow(split, T.StructType([*head, *tail])).join(laid, ["queue", "window"])
+    located = by_window.withColumn("place", F.col("shift") + F.col("at")).drop("shift", "at")
+    return located.mapInArrow(cut, T.StructType(_fields(kind)))
 
 
 def _tokenize(rows: DataFrame, tokenizer: str, end_id: int, kind: T.DataType) -> DataFrame:

@@ -9,7 +9,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from kinfold.llm import hamming, html_text, language, licenses
+from kinfold.llm import hamming, html_text, language, licenses, packing
+from kinfold.llm.vocabularies import tokenizer
 
 
 def test_model_keeps_every_word_and_gram_of_the_sample(spark):
@@ -137,3 +138,18 @@ def test_every_notice_is_returned_and_names_are_told_apart(spark):
     assert all(m.coverage == 1.0 for m in found[1].matches)
     assert names[2] == names[3] == names[4] == names[7] == [] and found[4].license is None
     assert names[5] == ["GPL-3.0"] and names[6] == ["CC-BY-NC-4.0"]
+
+
+def test_every_source_has_its_own_queue_at_any_number(spark, monkeypatch):
+    rows = [(i, f"word {i} " * (i % 7 * 20 + 1), f"s{i % 9 * (i % 2)}") for i in range(120)]
+    rows.append((500, None, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
+
+    def packed():
+        found = packing.pack(df, tokenizer("byte_bpe_50k.json"), length=64, window=256)
+        return sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in found.collect())
+
+    few = packed()
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    assert packed() == few
+    assert {r[7] for r in few} == {r[2] or "" for r in rows}
