@@ -23,8 +23,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: those without text or without
-    letters go. The model learns from the documents that have a language."""
+    letters go. The model learns from the documents that have a language; with none
+    there to learn from, all documents with letters stay."""
     model = language.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["text"].alias("body"))
     found = language.identify(rows, model, "doc", "body")
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select("id.*")

@@ -153,3 +153,10 @@ def test_every_source_has_its_own_queue_at_any_number(spark, monkeypatch):
     monkeypatch.setattr(packing, "MAX_QUEUES", 2)
     assert packed() == few
     assert {r[7] for r in few} == {r[2] or "" for r in rows}
+
+
+def test_stage_keeps_texts_with_letters_where_no_language_is_known(spark):
+    rows = [(1, "one two", None), (2, "12 !!", None), (3, None, None), (4, "\u00e9", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
