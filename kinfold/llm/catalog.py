@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, edit_counts, fingerprint, hamming, html_text, language, licenses, packing, radix, suffix
+from . import bpe_trie, edit_counts, fingerprint, hamming, html_text, language, licenses, packing, prefix_trie, radix, suffix
 from .vocabularies import tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op10_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     return coded.withColumnRenamed("id", "doc_id")
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.rebuilt(table(spark, folder, "conversations"))
+    return prefix_trie.digest_columns(prefix_trie.prefix_trie(turns))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_fingerprints,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         op8_near_dedup,
         op9_language_id,
         op10_bpe_trie,
+        op12_prefix_trie,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -103,5 +109,52 @@ FROM texts WINDOW same AS (PARTITION BY body)
 """
 
 
+# The CRC-32 of an id goes bit by bit: each byte is followed by eight shifts.
+OP12 = r"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            sha256(concat(strlen(coalesce(role, '')), ':', role, text))) AS pos,
+        {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, list(said ORDER BY pos) AS own,
+        xor(list_reduce(
+            list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END
+        ), 4294967295) % 9 AS h
+    FROM turns GROUP BY conv_id
+),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS path
+    FROM convs c LEFT JOIN convs b ON c.base = b.conv_id
+),
+members AS (
+    SELECT conv_id, d AS depth, path[1:d] AS prefix, len(path) = d AS ended
+    FROM rebuilt, unnest(range(0, len(path) + 1)) t(d)
+),
+nodes AS (
+    SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends,
+        CASE WHEN depth > 0 THEN (count(*) - 1) * strlen(prefix[depth].text) ELSE 0 END AS own_saved
+    FROM members GROUP BY depth, prefix
+),
+children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children, p.conv_id AS parent
+    FROM nodes n LEFT JOIN children c ON n.prefix = c.prefix
+    LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.prefix[1:n.depth - 1] = p.prefix
+),
+above AS (SELECT prefix[1:d] AS prefix, n_children, own_saved FROM counted, unnest(range(0, depth + 1)) t(d)),
+sums AS (
+    SELECT prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved FROM above GROUP BY prefix
+)
+SELECT conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children,
+    n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM counted JOIN sums USING (prefix)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2}
+    return {"op2_exact_dedup": OP2, "op12_prefix_trie": OP12}
