@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, edit_counts, fingerprint, hamming, html_text, language, licenses, packing, prefix_trie, radix, suffix
+from . import bpe_trie, disclosure, edit_counts, fingerprint, hamming, hard_negatives, html_text, language, licenses, packing
+from . import prefix_trie, radix, suffix
 from .vocabularies import tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,11 +78,24 @@ def op10_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     return coded.withColumnRenamed("id", "doc_id")
 
 
+def op11_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.personal_data(table(spark, folder, "documents"))
+    return disclosure.digest_columns(found).withColumnRenamed("id", "doc_id")
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = prefix_trie.rebuilt(table(spark, folder, "conversations"))
     return prefix_trie.digest_columns(prefix_trie.prefix_trie(turns))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """A seventh of the labels is moved on first; null ids are never anchors."""
+    rows = table(spark, folder, "embeddings")
+    seventh = F.pmod("vec_id", F.lit(7)) == 0
+    rows = rows.withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, anchor=F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_fingerprints,
@@ -94,7 +108,9 @@ def queries() -> dict[str, Query]:
         op8_near_dedup,
         op9_language_id,
         op10_bpe_trie,
+        op11_disclosure,
         op12_prefix_trie,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -156,5 +172,31 @@ FROM counted JOIN sums USING (prefix)
 """
 
 
+# Doubles hold the products of these vectors exactly.
+OP13 = r"""
+WITH vectors AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, a.row = b.row AS itself,
+        list_dot_product(a.vector, b.vector)::BIGINT AS score
+    FROM vectors a, vectors b WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS nth
+    FROM scores WHERE same AND NOT itself QUALIFY nth <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+    row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON p.anchor = s.anchor AND NOT s.same
+WHERE 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op12_prefix_trie": OP12}
+    return {"op2_exact_dedup": OP2, "op12_prefix_trie": OP12, "op13_hard_negatives": OP13}
