@@ -33,7 +33,8 @@ PATTERNS = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = [*PATTERNS, "term"]
 TERM = len(PATTERNS)
-WORD = r"[\p{L}\p{M}\p{N}]+"
+WORD_CHAR = r"[\p{L}\p{M}\p{N}]"
+WORD = WORD_CHAR + "+"
 
 NEAR_WORDS, NEAR_CHARS = 5, 256  # how far from an entity a word still stands with it
 SHORTEST = 3  # characters of a term
@@ -42,14 +43,24 @@ GENERALISE, REMOVE = 0.7, 0.9  # of the information about an entity
 BLOCK = 64  # of `starts`
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: what a lambda's body or several
+    branches name would else be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def starts(gaps: Column, lengths: Column) -> Column:
     """Where each match begins, from the lengths of the gaps before it and of the
     matches. Sums run inside blocks and over blocks, so that growing arrays stay short."""
-    steps = F.zip_with(F.slice(gaps, 1, F.size(lengths)), lengths, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    last = F.floor((F.size(lengths) - 1) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
-    whole = F.aggregate(blocks, _sums(F.lit(0), "array<array<int>>"), _block)
-    return F.when(F.size(lengths) > 0, F.flatten(whole["out"])).otherwise(F.array().cast("array<int>"))
+    pairs = F.zip_with(gaps, lengths, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+
+    def over_blocks(steps: Column) -> Column:
+        last = F.floor((F.size(steps) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.aggregate(blocks, _sums(F.lit(0), "array<array<int>>"), _block)["out"])
+
+    # The gap after the last match has no match; it adds a place that is not looked at.
+    return let(pairs, over_blocks)
 
 
 def _sums(at: Column, kind: str) -> Column:
@@ -62,11 +73,7 @@ def _block(total: Column, block: Column) -> Column:
         return F.struct((begin + s["n"]).alias("at"), F.concat(sums["out"], F.array(begin)).alias("out"))
 
     inner = F.aggregate(block, _sums(total["at"], "array<int>"), step)
-    joined = F.transform(
-        F.array(inner),
-        lambda x: F.struct(x["at"].alias("at"), F.concat(total["out"], F.array(x["out"])).alias("out")),
-    )
-    return joined[0]
+    return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(total["out"], F.array(x["out"])).alias("out")))
 
 
 def _lengths(texts: Column) -> Column:
@@ -122,6 +129,9 @@ def _around(before: Column, after: Column) -> Column:
     return F.filter(F.array_distinct(some), _is_term)
 
 
+BASE = "array<struct<kind:int,start:int,stop:int,value:string,near:array<string>>>"
+
+
 def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, text, base), a written table: the spans of the base kinds as an array of
     (kind, start, stop, value, near), by kind and start; `row` is unique."""
@@ -141,20 +151,22 @@ def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _spans_of(number: int, kind: str) -> Column:
-    gaps, begin = F.col(f"gaps_{kind}"), F.col(f"starts_{kind}")
+    found, gaps = F.col(f"found_{kind}"), F.col(f"gaps_{kind}")
+    # Zipped, since what a lambda's body names is computed once per element.
+    parts = F.arrays_zip(found, F.col(f"starts_{kind}"), F.slice(gaps, 1, F.size(found)), F.slice(gaps, 2, F.size(found)))
+    parts = parts.cast("array<struct<value:string,start:int,before:string,after:string>>")
 
-    def span(value: Column, i: Column) -> Column:
-        start = F.get(begin, i)
+    def span(s: Column) -> Column:
         return F.struct(
             F.lit(number).alias("kind"),
-            start.alias("start"),
-            (start + F.length(value)).alias("stop"),
-            value.alias("value"),
-            _around(F.get(gaps, i), F.get(gaps, i + 1)).alias("near"),
+            s["start"].alias("start"),
+            (s["start"] + F.length(s["value"])).alias("stop"),
+            s["value"].alias("value"),
+            _around(s["before"], s["after"]).alias("near"),
         )
 
-    found = F.transform(F.col(f"found_{kind}"), span)
-    return F.filter(found, lambda s: valid(kind, s["value"]))
+    counted = F.transform(F.filter(parts, lambda s: s["value"].isNotNull() & valid(kind, s["value"])), span)
+    return F.when(F.size(found) > 0, counted).otherwise(F.array().cast(BASE))
 
 
 def disclosing_terms(
@@ -241,13 +253,20 @@ def _span(kind: Column, start: Column, stop: Column, label: Column) -> Column:
 
 def _term_spans(staged: DataFrame, flagged: DataFrame, sketch) -> DataFrame:
     """(row, terms): the marked words of the documents that have any."""
-    found = staged.select("row", "text", words(F.col("text")).alias("found"))
-    found = found.filter(F.exists("found", lambda w: sketch.may_hold(F.lower(w))))
-    found = found.withColumn("begin", starts(_lengths(F.split("text", WORD, -1)), _lengths(F.col("found"))))
-    places = F.transform("found", lambda w, i: F.struct(w.alias("word"), F.get("begin", i).alias("start")))
-    likely = F.filter(places, lambda p: sketch.may_hold(F.lower(p["word"])))
-    hits = found.select("row", F.explode(likely).alias("p"))
+    some = F.filter(words(F.col("text")), lambda w: sketch.may_hold(F.lower(w)))
+    found = staged.select("row", "text", F.array_distinct(some).alias("some"))
+    # Only the words that may be terms, spelt as they stand here, are looked for once more.
+    whole = F.concat(F.lit(f"(?<!{WORD_CHAR})(?:"), F.array_join("some", "|"), F.lit(f")(?!{WORD_CHAR})"))
+
+    def placed(match: Column) -> Column:
+        begin = starts(_lengths(F.split("text", whole, -1)), _lengths(match))
+        return F.zip_with(match, begin, lambda w, at: F.struct(w.alias("word"), at.alias("start")))
+
+    places = F.when(F.size("some") > 0, let(F.regexp_extract_all("text", whole, F.lit(0)), placed))
+    # Outer, as an inner explode would have the array computed a second time to filter by.
+    hits = found.select("row", F.explode_outer(places).alias("p")).filter("p.word IS NOT NULL")
     hits = hits.select("row", F.lower("p.word").alias("term"), "p.word", "p.start")
+    hits = materialize(hits, "pii-hits")
     hits = skew_join(hits, flagged.select("term", "removed"), ["term"], ["row"])
     shape = F.when(F.col("word").rlike(r"\p{N}"), "[NUMBER]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]")
     label = F.when(F.col("removed"), "").otherwise(shape.otherwise("[WORD]"))
@@ -269,8 +288,7 @@ def _sanitised(text: Column, spans: Column) -> Column:
         return F.when(s["start"] >= done["at"], fresh).otherwise(longer)
 
     done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    tail = F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return tail[0]
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
 def written(spans: Column, base_only: bool = False) -> Column:
