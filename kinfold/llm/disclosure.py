@@ -176,8 +176,10 @@ def disclosing_terms(
     entity of which it tells most. A written table of one row per term.
 
     Document frequencies are counted over all words of all documents, for the terms that
-    stand near an entity in enough texts: a sketch of them of a fixed size lets few other
-    words out of the scan. An entity in all documents is no secret and protects nothing.
+    stand near an entity in enough texts and may still reach the threshold: a term is in
+    at least as many documents as it stands in near any entity, which bounds what it
+    tells. A sketch of them of a fixed size lets few other words out of the scan. An
+    entity in all documents is no secret and protects nothing.
     """
     total = staged.count()
     marks = staged.filter(F.size("base") > 0).select("row", F.xxhash64("text").alias("body"), F.explode("base").alias("s"))
@@ -189,9 +191,11 @@ def disclosing_terms(
     pairs = pairs.groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("n_both"), F.countDistinct("body").alias("n_texts")
     )
-    pairs = materialize(
-        pairs.filter(F.col("n_texts") >= support).join(entities.filter(F.col("n_entity") < total), "entity"), "pii-pairs"
-    )
+    near = marks.select("row", F.explode("near").alias("term")).distinct()
+    near = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = pairs.filter(F.col("n_texts") >= support).join(entities.filter(F.col("n_entity") < total), "entity")
+    pairs = pairs.join(near, "term").filter(_disclosure(total, "n_near") >= generalise)
+    pairs = materialize(pairs, "pii-pairs")
     terms = pairs.select("term").distinct()
     sketch = key_sketch(terms, "term")
     if sketch.n_set:
@@ -201,14 +205,20 @@ def disclosing_terms(
     else:
         counts = terms.withColumn("n_term", F.lit(1).cast("long"))
     both = pairs.join(counts, "term")
-    told = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    share = (told / F.log2(total / F.col("n_entity"))).alias("disclosure")
+    share = _disclosure(total, "n_term").alias("disclosure")
     most = both.select("term", "entity", share).filter(F.col("disclosure") >= generalise)
     most = most.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("m"))
     out = most.select("term", "m.entity", "m.disclosure", (F.col("m.disclosure") >= remove).alias("removed"))
     return materialize(out, "pii-terms")
 
 
+def _disclosure(total: int, n_term: str) -> Column:
+    """Mutual information of a pair, for a term in so many documents, as a share of what
+    the entity holds."""
+    told = F.log2(total * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+    return told / F.log2(total / F.col("n_entity"))
+
+
 def personal_data(
     df: DataFrame,
     id_col: str = "doc_id",
