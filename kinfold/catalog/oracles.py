@@ -124,6 +124,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "labelled_groups": (("labelled",), "SELECT group_id, max(y) AS y FROM labelled GROUP BY 1"),
     "labelled_folds": (("labelled_groups",), _folds(q.CV_SEEDS, "labelled_groups")),
+    "sweep_folds": (("labelled_groups",), _folds(q.SWEEP_SEEDS, "labelled_groups")),
     "streamed": (
         ("scored",),
         f"""
@@ -680,12 +681,20 @@ FROM (UNPIVOT numbers ON COLUMNS(* EXCLUDE msg_id) INTO NAME term VALUE value) W
         f"""SELECT y, count(*) AS n_rows, (SELECT count(*) FROM labelled WHERE NOT variant) AS n_fitted,
   {q.FOREST_SPEC.trees}::BIGINT AS n_trees, true AS in_depth, true AS learned FROM labelled GROUP BY y""",
     ),
-    "cv_experiment": _with(
-        ("labelled", "labelled_folds", "cond"),
-        """SELECT seed, fold, cond, count(*) FILTER (r.y = 0) AS n_negative,
-  count(*) FILTER (r.y = 1 AND (cond = 'B') = variant) AS n_positive, true AS in_range
-FROM labelled r JOIN labelled_folds f USING (group_id), cond GROUP BY ALL""",
+    "hashed_collisions": _with(
+        ("labelled",),
+        f"""SELECT count(DISTINCT term) AS n_terms, true AS as_by_chance
+FROM (SELECT unnest({_ngrams('text')}) AS term FROM labelled)""",
     ),
+    **{
+        name: _with(
+            ("labelled", folds, "cond"),
+            f"""SELECT seed, fold, cond, count(*) FILTER (r.y = 0) AS n_negative,
+  count(*) FILTER (r.y = 1 AND (cond = 'B') = variant) AS n_positive, true AS in_range
+FROM labelled r JOIN {folds} f USING (group_id), cond GROUP BY ALL""",
+        )
+        for name, folds in (("cv_experiment", "labelled_folds"), ("cv_seeds", "sweep_folds"))
+    },
     "seq_tokens": _with(
         ("seq",),
         "SELECT doc_id, len(toks)::INT AS n_tokens, md5(array_to_string(toks, ' ')) AS digest FROM seq",

@@ -12,7 +12,7 @@ from ..config import FILL_RULES, NEGATIVE_SCENARIO, REQUIRED_COLUMNS, SCENARIOS
 from ..functions import ids, labels, text, tokens
 from ..functions.features import FEATURES, numeric_features
 from ..functions.gate import gate_reason
-from ..operators import checks, dedup, families, joins, metrics, models, split, vocab, votes
+from ..operators import checks, dedup, families, hashed, joins, metrics, models, split, vocab, votes
 from ..plans import build, experiment
 from ..session import materialize, new_path
 from ..sources import files, manifests, tables
@@ -32,6 +32,7 @@ CV_SEEDS = [9]
 QUOTA, NEGATIVE_QUOTA = 400, 1600
 MODEL_NAME, PROMPT_VERSION = "scorer", "v1"
 CV_SPEC = models.ModelSpec(kind="logreg")
+SWEEP_SPEC = models.ModelSpec(kind="logreg", bits=16)
 FOREST_SPEC = models.ModelSpec(kind="forest")
 GRADIENT = 1e-3  # per row, of a solved fit
 
@@ -749,25 +750,33 @@ def assemble_features(spark, folder):
 
 @query
 def fit_logreg(spark, folder):
-    """Rows predicted per class, and whether the fit came to its end before the last
-    step, with hardly any gradient left."""
-    rows = _model_rows(spark, folder, CV_SPEC)
-    train = rows.filter(labels.trains())
-    model = models.fit_model(train, CV_SPEC, SEED)
-    solved = (
-        model.classifier.summary.totalIterations < CV_SPEC.max_iter
-        and models.largest_gradient(train, model, CV_SPEC) < GRADIENT
-    )
+    """Rows predicted per class, and whether the fit of all labelled rows, in the hashed
+    space, came to its end before the last step, with hardly any gradient left."""
+    rows = _model_rows(spark, folder, CV_SPEC).withColumnRenamed("word_terms", "terms")
+    model = hashed.fit_hashed(rows, F.array(F.coalesce(labels.trains(), F.lit(False))), CV_SPEC.hashed)
+    solved = model.iterations[0] < CV_SPEC.max_iter and model.gradient[0] < GRADIENT
     scored = model.predict(rows, ["msg_id", "y"])
     return scored.groupBy("y").agg(
         F.count("pred").alias("n_rows"),
-        F.lit(model.n_rows).cast("long").alias("n_fitted"),
-        F.lit(solved).alias("solved"),
+        F.lit(int(model.n_rows[0])).cast("long").alias("n_fitted"),
+        F.lit(bool(solved)).alias("solved"),
         # Both classes are told apart on the rows fitted.
         (F.avg((F.col("pred") == F.col("y")).cast("double")) > 0.5).alias("learned"),
     )
 
 
+@query
+def hashed_collisions(spark, folder):
+    """Distinct terms of the labelled messages; whether few enough of them share a slot
+    of the hashed space, next to what chance gives."""
+    spec = CV_SPEC.hashed
+    rows = _model_rows(spark, folder, CV_SPEC).withColumnRenamed("word_terms", "terms")
+    found = hashed.collisions(rows, spec)
+    load = F.col("n_terms") / spec.width
+    expected = spec.width * (1 - F.exp(-load))
+    return found.select("n_terms", (F.abs(F.col("n_slots") - expected) < 0.02 * expected + 10).alias("as_by_chance"))
+
+
 @query
 def fit_forest(spark, folder):
     """Rows predicted per class by the forest, its number of trees and that none is too deep."""
@@ -784,12 +793,9 @@ def fit_forest(spark, folder):
     )
 
 
-@query
-def cv_experiment(spark, folder):
-    """Rows tested per seed, fold, condition and class; metrics are in range, and A
-    and B share their negatives."""
+def _measured(spark, folder, spec, seeds):
     rows = tables.labelled_messages(spark, folder)
-    measured = experiment.run_cv(rows, CV_SPEC, CV_SEEDS, K, family="family_id")
+    measured = experiment.run_cv(rows, spec, seeds, K, family="family_id")
     return measured.select(
         "seed",
         "fold",
@@ -800,6 +806,19 @@ def cv_experiment(spark, folder):
     )
 
 
+@query
+def cv_experiment(spark, folder):
+    """Rows tested per seed, fold, condition and class; metrics are in range, and A
+    and B share their negatives."""
+    return _measured(spark, folder, CV_SPEC, CV_SEEDS)
+
+
+@query
+def cv_seeds(spark, folder):
+    """The same for ten seeds of five folds, whose fifty models are fitted together."""
+    return _measured(spark, folder, SWEEP_SPEC, SWEEP_SEEDS)
+
+
 @query
 def stream_gate_(spark, folder):
     """Files without `ord` in, several micro-batches, and each row's fate."""
