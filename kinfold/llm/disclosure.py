@@ -309,12 +309,13 @@ def written(spans: Column, base_only: bool = False) -> Column:
     return F.array_join(parts, ",")
 
 
+def _count(spans: Column, number: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def digest_columns(found: DataFrame) -> DataFrame:
     """Counts per base kind, the digest of the base spans, and all spans as text."""
     spans = F.col("spans")
-    counts = [
-        F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for k, kind in enumerate(PATTERNS)
-    ]
+    counts = [_count(spans, number).alias(f"n_{kind}") for number, kind in enumerate(PATTERNS)]
     digest = F.sha2(written(spans, base_only=True), 256).alias("base_sha256")
     return found.select("id", *counts, digest, written(spans).alias("spans"))
