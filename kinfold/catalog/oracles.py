@@ -499,14 +499,17 @@ FROM uses LEFT JOIN cache USING (cache_key)""",
 FROM (SELECT cache_key NOT IN (SELECT cache_key FROM cache)
   AND row_number() OVER (PARTITION BY cache_key ORDER BY msg_id) = 1 AS miss FROM uses)""",
     ),
-    "cache_upsert": _with(
-        ("uses", "cache"),
-        f"""SELECT cache_key, answer::BIGINT AS answer, NULL::BIGINT AS n_phish, NULL::VARCHAR AS raw_labels FROM cache
-UNION ALL SELECT cache_key, (2 * count(*) FILTER (s >= 0.5) >= 3)::BIGINT, count(*) FILTER (s >= 0.5),
-  string_agg(CASE WHEN s >= 0.5 THEN 'phish' ELSE 'legit' END, ',' ORDER BY vote)
-FROM (SELECT cache_key, vote, {_hash_score('cache_key', 'vote')} AS s
-  FROM (SELECT DISTINCT cache_key FROM uses WHERE cache_key NOT IN (SELECT cache_key FROM cache)),
-    (SELECT unnest([0, 1, 2]) AS vote)) GROUP BY cache_key""",
+    **dict.fromkeys(
+        ("cache_upsert", "cache_store"),
+        _with(
+            ("uses", "cache"),
+            f"""SELECT cache_key, answer::BIGINT AS answer, NULL::BIGINT AS n_phish, NULL::VARCHAR AS raw_labels FROM cache
+    UNION ALL SELECT cache_key, (2 * count(*) FILTER (s >= 0.5) >= 3)::BIGINT, count(*) FILTER (s >= 0.5),
+      string_agg(CASE WHEN s >= 0.5 THEN 'phish' ELSE 'legit' END, ',' ORDER BY vote)
+    FROM (SELECT cache_key, vote, {_hash_score('cache_key', 'vote')} AS s
+      FROM (SELECT DISTINCT cache_key FROM uses WHERE cache_key NOT IN (SELECT cache_key FROM cache)),
+        (SELECT unnest([0, 1, 2]) AS vote)) GROUP BY cache_key""",
+        ),
     ),
     # --- aggregations ---
     "group_table": _with(("groups",), "SELECT group_id, y FROM groups"),

@@ -12,7 +12,7 @@ from ..config import FILL_RULES, NEGATIVE_SCENARIO, REQUIRED_COLUMNS, SCENARIOS
 from ..functions import ids, labels, text, tokens
 from ..functions.features import FEATURES, numeric_features
 from ..functions.gate import gate_reason
-from ..operators import checks, dedup, families, hashed, joins, metrics, models, split, vocab, votes
+from ..operators import answer_store, checks, dedup, families, hashed, joins, metrics, models, split, vocab, votes
 from ..plans import build, experiment
 from ..session import materialize, new_path
 from ..sources import files, manifests, tables
@@ -28,6 +28,7 @@ SAMPLE_CAP = 40
 VOCAB_SIZE = 20000
 MAX_LEN = 256
 BATCHES = 3
+BUCKETS = 8
 CV_SEEDS = [9]
 QUOTA, NEGATIVE_QUOTA = 400, 1600
 MODEL_NAME, PROMPT_VERSION = "scorer", "v1"
@@ -471,6 +472,29 @@ def cache_upsert(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def cache_store(spark, folder):
+    """The same through a store in buckets: the misses are answered and added in two parts,
+    a merge between them; the second part comes by a session that only knows the path."""
+    uses, cache = _uses_and_cache(spark, folder)
+    cache = cache.select("cache_key", F.col("answer").cast("long").alias("answer"))
+    cache = cache.withColumns({"n_phish": F.lit(None).cast("long"), "raw_labels": F.lit(None).cast("string")})
+    path = new_path(spark, "store")
+    store = answer_store.AnswerStore.create(cache, path, buckets=BUCKETS)
+    for half in (0, 1):
+        misses = store.misses(uses.filter(F.pmod(F.crc32(F.col("cache_key").cast("binary")), F.lit(2)) == half))
+        voted = votes.majority_vote(tables.votes(misses.withColumnRenamed("cache_key", "msg_id")), "msg_id", 3)
+        answers = voted.select(
+            F.col("msg_id").alias("cache_key"),
+            (F.col("label") == "phish").cast("long").alias("answer"),
+            F.col("vote_counts")["phish"].alias("n_phish"),
+            F.array_join("raw_labels", ",").alias("raw_labels"),
+        )
+        store.upsert(answers).merge()
+        store = answer_store.AnswerStore.attach(spark, path)
+    return store.read()
+
+
 # --- aggregations ---
 
 
@@ -573,7 +597,9 @@ def token_freq(spark, folder):
 
 @query
 def doc_freq(spark, folder):
-    return vocab.doc_freq(_documents(spark, folder), tokens.word_ngrams(F.col("text")))
+    # Folded in a projection of its own, which the exploded terms read.
+    docs = text.compute_once(_documents(spark, folder), text=tokens.folded(F.col("text")))
+    return vocab.doc_freq(docs, tokens.ngrams_of(F.col("text")))
 
 
 @query

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DUPLICATE, OK
+from ..session import materialize
+from .sketch import key_sketch
 
 
 def unique_rows(df: DataFrame, on: list[str]) -> DataFrame:
@@ -115,8 +117,11 @@ def reject_known(df: DataFrame, known: DataFrame, key: str = "text_hash", ord: s
     """Rows whose key is not in `known`, every copy kept.
 
     Decided once per distinct key and carried back by a join that splits hot
-    keys; one count of the keys serves both.
+    keys; one count of the keys serves both. Of `known` only keys that a sketch of
+    the rows' keys lets pass leave the scan: what is shuffled of it falls with what
+    it has in common with the rows. The join that follows is exact.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    fresh = counts.select(key).join(known.select(key).distinct(), key, "left_anti")
+    counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "key-counts")
+    likely = known.filter(key_sketch(counts, key).may_hold(key)).select(key).distinct()
+    fresh = counts.select(key).join(likely, key, "left_anti")
     return skew_join(df, fresh, [key], [ord], counts=counts)
