@@ -40,6 +40,7 @@ NEAR_WORDS, NEAR_CHARS = 5, 256  # how far from an entity a word still stands wi
 SHORTEST = 3  # characters of a term
 SUPPORT = 3  # different texts in which a term has to stand near an entity
 GENERALISE, REMOVE = 0.7, 0.9  # of the information about an entity
+PART = 16  # one document in so many gives the first bound of a frequency
 BLOCK = 64  # of `starts`
 
 
@@ -176,10 +177,12 @@ def disclosing_terms(
     entity of which it tells most. A written table of one row per term.
 
     Document frequencies are counted over all words of all documents, for the terms that
-    stand near an entity in enough texts and may still reach the threshold: a term is in
-    at least as many documents as it stands in near any entity, which bounds what it
-    tells. A sketch of them of a fixed size lets few other words out of the scan. An
-    entity in all documents is no secret and protects nothing.
+    stand near an entity in enough texts and may still reach the threshold. A term is in
+    at least as many documents as it stands in near any entity, and as many as it is in
+    of a part of the documents: common words are over what the threshold allows by
+    these bounds, and the last count is of rare ones. A sketch of them of a fixed size
+    lets few other words out of the scan. An entity in all documents is no secret and
+    protects nothing.
     """
     total = staged.count()
     marks = staged.filter(F.size("base") > 0).select("row", F.xxhash64("text").alias("body"), F.explode("base").alias("s"))
@@ -195,16 +198,12 @@ def disclosing_terms(
     near = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = pairs.filter(F.col("n_texts") >= support).join(entities.filter(F.col("n_entity") < total), "entity")
     pairs = pairs.join(near, "term").filter(_disclosure(total, "n_near") >= generalise)
-    pairs = materialize(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
-    sketch = key_sketch(terms, "term")
-    if sketch.n_set:
-        distinct = F.array_distinct(words(F.lower("text")))
-        known = staged.select(F.explode(F.filter(distinct, lambda w: sketch.may_hold(w))).alias("term"))
-        counts = known.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
-    else:
-        counts = terms.withColumn("n_term", F.lit(1).cast("long"))
-    both = pairs.join(counts, "term")
+    pairs = materialize(pairs.withColumnRenamed("n_near", "n_term"), "pii-pairs")
+    part = staged.filter(F.pmod(F.xxhash64("row"), F.lit(PART)) == 0)
+    pairs = pairs.join(_frequencies(part, pairs), "term", "left")
+    pairs = pairs.withColumn("n_term", F.greatest("n_term", F.coalesce("n_documents", F.lit(0)))).drop("n_documents")
+    pairs = materialize(pairs.filter(_disclosure(total, "n_term") >= generalise), "pii-rare")
+    both = pairs.drop("n_term").join(_frequencies(staged, pairs).withColumnRenamed("n_documents", "n_term"), "term")
     share = _disclosure(total, "n_term").alias("disclosure")
     most = both.select("term", "entity", share).filter(F.col("disclosure") >= generalise)
     most = most.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("m"))
@@ -212,6 +211,17 @@ def disclosing_terms(
     return materialize(out, "pii-terms")
 
 
+def _frequencies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(term, n_documents) of the pairs' terms that are words of these documents."""
+    terms = pairs.select("term").distinct()
+    sketch = key_sketch(terms, "term")
+    if not sketch.n_set:
+        return terms.withColumn("n_documents", F.lit(0).cast("long"))
+    distinct = F.array_distinct(words(F.lower("text")))
+    known = docs.select(F.explode(F.filter(distinct, lambda w: sketch.may_hold(w))).alias("term"))
+    return known.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents")).join(terms, "term")
+
+
 def _disclosure(total: int, n_term: str) -> Column:
     """Mutual information of a pair, for a term in so many documents, as a share of what
     the entity holds."""
