@@ -712,6 +712,26 @@ FROM labelled r JOIN {folds} f USING (group_id), cond GROUP BY ALL""",
     ),
     # --- streaming ---
     "stream_gate": _with(("streamed",), "SELECT msg_id, fate FROM streamed"),
+    # A text is remembered until a batch ends whose watermark, a delay behind the batches before
+    # it, is a delay past its first day: it counts as new after four days, and after three for the
+    # first batch of the second run, as a run ends with a batch without rows.
+    "stream_first_within": _with(
+        ("cleaned",),
+        f"""SELECT text_hash, TIMESTAMP '{q.FIRST_DAY}' + to_days(day) AS ts FROM (
+  WITH RECURSIVE days AS (SELECT DISTINCT text_hash, (doc_id % {q.DAYS})::INT AS day FROM cleaned),
+  run(day, text_hash, remembered, is_new) AS (
+    SELECT -1, text_hash, NULL::INT, false FROM (SELECT DISTINCT text_hash FROM days)
+    UNION ALL
+    SELECT r.day + 1, r.text_hash, CASE WHEN fresh THEN r.day + 1 ELSE remembered END, fresh
+    FROM (
+      SELECT r.*, d.day IS NOT NULL AND (remembered IS NULL
+        OR d.day - remembered >= CASE WHEN d.day = {q.DAYS // 2 + 1} THEN 3 ELSE 4 END) AS fresh
+      FROM run r LEFT JOIN days d ON d.text_hash = r.text_hash AND d.day = r.day + 1
+      WHERE r.day < {q.DAYS - 1}
+    ) r
+  )
+  SELECT day, text_hash FROM run WHERE is_new)""",
+    ),
 }
 
 

@@ -5,6 +5,8 @@ Every callable takes (spark, folder) and returns a DataFrame.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import answer_store, checks, dedup, families, hashed, joins, me
 from ..plans import build, experiment
 from ..session import materialize, new_path
 from ..sources import files, manifests, tables
+from ..streaming.dedup_stream import dedup_stream
 from ..streaming.gate_stream import stream_gate
 
 SEED = 9
@@ -29,6 +32,7 @@ VOCAB_SIZE = 20000
 MAX_LEN = 256
 BATCHES = 3
 BUCKETS = 8
+DAYS, DELAY, FIRST_DAY = 8, "1 day", datetime.datetime(2026, 1, 1)
 CV_SEEDS = [9]
 QUOTA, NEGATIVE_QUOTA = 400, 1600
 MODEL_NAME, PROMPT_VERSION = "scorer", "v1"
@@ -862,3 +866,22 @@ def stream_gate_(spark, folder):
 
 
 REGISTRY["stream_gate"] = REGISTRY.pop("stream_gate_")
+
+
+@query
+def stream_first_within(spark, folder):
+    """Messages of eight days, a file and a micro-batch each; the copies of a text that
+    come while it is remembered go. Two runs, the second goes on from the first."""
+    base = new_path(spark, "first-within")
+    day = F.col("doc_id") % DAYS
+    rows = _hashed(spark, folder).select("doc_id", "text_hash", F.timestamp_add("DAY", day, F.lit(FIRST_DAY)).alias("ts"))
+    rows = materialize(rows, "days")
+    for number in range(DAYS):
+        files.write_jsonl(rows.filter(day == number).coalesce(1), f"{base}/in", append=True)
+        if number in (DAYS // 2, DAYS - 1):
+            run = dedup_stream(
+                *[spark, f"{base}/in", f"{base}/out", f"{base}/state", rows.schema, "ts", DELAY, ["text_hash"]],
+                files_per_batch=1,
+            )
+            run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out").select("text_hash", "ts")

@@ -7,7 +7,7 @@ FOLDER = "/root/testdata/sf0.001"
 # These act while they are being defined (files, models, written tables).
 EAGER = {
     "read_jsonl", "jsonl_roundtrip", "csv_roundtrip", "metrics_json", "replay_split", "tfidf", "assemble_features",
-    "fit_logreg", "hashed_collisions", "fit_forest", "cv_experiment", "cv_seeds", "cache_store", "stream_gate", "append_jsonl", "read_sources", "split_document",
+    "fit_logreg", "hashed_collisions", "fit_forest", "cv_experiment", "cv_seeds", "cache_store", "stream_first_within", "stream_gate", "append_jsonl", "read_sources", "split_document",
 }
 
 
