@@ -771,11 +771,9 @@ def _model_rows(spark, folder, spec):
 
 @query
 def assemble_features(spark, folder):
-    """The entries of the feature vectors of all labelled messages, by block and term."""
+    """The features of all labelled messages that are not zero, by block and term."""
     rows = _model_rows(spark, folder, FOREST_SPEC)
-    features = models.fit_features(rows.filter(labels.trains()), FOREST_SPEC)
-    found = models.long_features(features.transform(rows, ["msg_id"]), features)
-    return _round(found, "value", digits=6)
+    return _round(models.assembled(rows, labels.trains(), FOREST_SPEC), "value", digits=6)
 
 
 @query
