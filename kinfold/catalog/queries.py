@@ -601,8 +601,8 @@ def token_freq(spark, folder):
 
 @query
 def doc_freq(spark, folder):
-    # Folded in a projection of its own, which the exploded terms read.
-    docs = text.compute_once(_documents(spark, folder), text=tokens.folded(F.col("text")))
+    # Folded once before the layout; the exploded terms read what was laid out.
+    docs = _documents(spark, folder).select("doc_id", tokens.folded(F.col("text")).alias("text")).repartition("doc_id")
     return vocab.doc_freq(docs, tokens.ngrams_of(F.col("text")))
 
 
