@@ -75,7 +75,7 @@ def test_queries_are_registered_and_match_their_sql(spark):
     from kinfold.llm import catalog
 
     names = set(catalog.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert names <= set(entry.queries())
     folder = "/root/testdata/sf0.001"
     for name, sql in catalog.oracle_sql().items():
