@@ -717,7 +717,7 @@ FROM labelled r JOIN {folds} f USING (group_id), cond GROUP BY ALL""",
     # first batch of the second run, as a run ends with a batch without rows.
     "stream_first_within": _with(
         ("cleaned",),
-        f"""SELECT text_hash, TIMESTAMP '{q.FIRST_DAY}' + to_days(day) AS ts FROM (
+        f"""SELECT text_hash, day FROM (
   WITH RECURSIVE days AS (SELECT DISTINCT text_hash, (doc_id % {q.DAYS})::INT AS day FROM cleaned),
   run(day, text_hash, remembered, is_new) AS (
     SELECT -1, text_hash, NULL::INT, false FROM (SELECT DISTINCT text_hash FROM days)

@@ -882,4 +882,5 @@ def stream_first_within(spark, folder):
                 files_per_batch=1,
             )
             run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{base}/out").select("text_hash", "ts")
+    found = spark.read.schema(rows.schema).parquet(f"{base}/out")
+    return found.select("text_hash", F.date_diff("ts", F.lit(FIRST_DAY)).alias("day"))
