@@ -47,7 +47,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    return licenses.scan(table(spark, folder, "documents"), notices=licenses.ALL_NOTICES).withColumnRenamed("id", "doc_id")
 
 
 def op7_edit_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,7 +28,6 @@ from .texts import pieces, slices, strings
 
 COVERED = 0.8  # least share of a notice's words
 INSERTED = 60  # foreign words that may stand in a place of a notice, besides as many as it has
-SHORT = 20  # words; a notice up to this size must have all words that name its license
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 
 # Wordings of public license notices.
@@ -58,16 +57,77 @@ NOTICES = {
         "option) any later version."
     ),
 }
+# The notices above and further ones.
+ALL_NOTICES = NOTICES | {
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "LGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version."
+    ),
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution."
+    ),
+    "BSD-3-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "BSD": "Released under the BSD License.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "MIT-line": "This project is licensed under the MIT License.",
+    "MIT-licensed": "This project is MIT licensed.",
+    "Apache-2.0-line": "Licensed under Apache License 2.0.",
+}
 
 
-# Words of short notices that name no license, and words that make a
-# license another one where they stand within its name.
+# Words that name a license, or tell it from those of like wording.
+NAMES = set(
+    "affero apache artistic boost bsd cc commons creative eclipse endorse general gnu gpl isc lesser library mit mozilla "
+    "nc nd public sa spdx unlicense zlib".split()
+)
+# Words of notices that name no license, where a notice has none of those above.
 WORDING = set(
     "a an all and any as by-line code content distributed file following in is it its licence license licensed made "
     "of or permitted program project provided published released reserved rights shared software source terms the "
     "this to under use used version with work you your available".split()
 )
-VARIANTS = {"sa", "nd", "nc", "lesser", "library", "affero"}
+VARIANTS = {"sa", "nd", "nc", "lesser", "library", "affero"}  # make another license of the name they stand in
 VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")  # 3, 3.0 and v3 are one
 
 
@@ -215,8 +275,21 @@ def places(text: list[str], notice: list[str], least: float) -> list[tuple[int,
 
 
 def telling(notice: list[str]) -> list[int]:
-    """Places of the words that a match must have: in short notices those of the license's name."""
-    return [i for i, w in enumerate(notice) if w not in WORDING] if len(notice) <= SHORT else []
+    """Places of the words that a match must have: the first of each word that names the
+    license, and of the version behind one; without a name the words that are not common
+    wording, should these be a third of the notice at most."""
+    out: list[int] = []
+    library = "gnu" in notice
+    for i, w in enumerate(notice):
+        behind = any(j in out or notice[j] in ("version", "v") for j in (i - 1, i - 2) if j >= 0)
+        named = w in NAMES and (w != "library" or (library and notice[i - 1] == "gnu"))
+        named = named or w.partition("-")[0] in NAMES or (w == "by" and i > 0 and notice[i - 1] == "cc")
+        if (named or (behind and VERSION.fullmatch(w))) and w not in {notice[j] for j in out}:
+            out.append(i)
+    if not out:
+        rare = [i for i, w in enumerate(notice) if w not in WORDING]
+        out = rare if 3 * len(rare) <= len(notice) else []
+    return out
 
 
 def matches(text: str, notices: Mapping[str, list[str]], least: float = COVERED) -> list[tuple[str, float, int, int]]:
@@ -226,13 +299,12 @@ def matches(text: str, notices: Mapping[str, list[str]], least: float = COVERED)
     for name, notice in notices.items():
         need = telling(notice)
         if need:
-            found += [(name, *m) for m in short_matches(own, notice, need, least)]
+            found += [(name, *m) for m in named_matches(own, notice, need, least)]
             continue
-        for a, b, longest in places(own, notice, least):
+        for a, b, _ in places(own, notice, least):
             pairs = aligned(own[a:b], notice)
-            if len(pairs) < longest:
-                pairs = common(own[a:b], notice)
-            found.append((name, len(pairs) / len(notice), a + pairs[0][0], a + pairs[-1][0] + 1))
+            if len(pairs) >= least * len(notice) - 1e-9:
+                found.append((name, len(pairs) / len(notice), a + pairs[0][0], a + pairs[-1][0] + 1))
     return sorted(found, key=lambda m: (m[2], m[3], m[0]))
 
 
@@ -241,7 +313,7 @@ def same(word: str) -> str:
     return found[1] if found else word
 
 
-def short_matches(own: list[str], notice: list[str], need: list[int], least: float) -> Iterator[tuple[float, int, int]]:
+def named_matches(own: list[str], notice: list[str], need: list[int], least: float) -> Iterator[tuple[float, int, int]]:
     """(coverage, first word, word after the last) of each place where all words at `need`
     stand in order, with no variant's word between, and enough others around them."""
     wanted, wide = [same(notice[i]) for i in need], 2 * len(notice) + INSERTED
@@ -268,13 +340,16 @@ def short_matches(own: list[str], notice: list[str], need: list[int], least: flo
             continue
         pairs = [*zip(at, need, strict=True)]
         for (x, y), (z, w) in zip(pairs[: len(at)], pairs[1 : len(at)], strict=False):
-            pairs += [(x + 1 + i, y + 1 + j) for i, j in common(own[x + 1 : z], notice[y + 1 : w])]
+            pairs += [(x + 1 + i, y + 1 + j) for i, j in aligned(own[x + 1 : z], notice[y + 1 : w])]
         # The words before are looked for backwards, so that the nearest are taken.
-        low, before = max(done, at[0] - wide // 2), need[0]
-        back = common(own[low : at[0]][::-1], notice[:before][::-1])
+        before, after = need[0], len(notice) - need[-1] - 1
+        low = max(done, at[0] - 2 * before - INSERTED // 2)
+        back = aligned(own[low : at[0]][::-1], notice[:before][::-1])
         pairs += [(at[0] - 1 - i, before - 1 - j) for i, j in back]
-        high = min(names[n + 1][0] if n + 1 < len(names) else len(own), at[-1] + 1 + wide // 2)
-        pairs += [(at[-1] + 1 + i, need[-1] + 1 + j) for i, j in common(own[at[-1] + 1 : high], notice[need[-1] + 1 :])]
+        follow = names[n + 1][0] if n + 1 < len(names) and names[n + 1][0] > at[-1] else len(own)
+        high = min(follow, at[-1] + 1 + 2 * after + INSERTED // 2)
+        ahead = aligned(own[at[-1] + 1 : high], notice[need[-1] + 1 :])
+        pairs += [(at[-1] + 1 + i, need[-1] + 1 + j) for i, j in ahead]
         if len(pairs) >= least * len(notice) - 1e-9:
             done = max(pairs)[0] + 1
             yield len(pairs) / len(notice), min(pairs)[0], done
@@ -303,7 +378,8 @@ def scan(
     """(id, license, coverage, first_word, n_words, matches), a row per input row: the notice
     that covers best, and where; `matches` has the same of every place of every notice,
     by place. Without a notice of `least` coverage license is null, the rest 0 and
-    `matches` empty; null and empty texts have none. Other columns are ignored."""
+    `matches` empty; null and empty texts have none, an empty table gives no rows. Texts of
+    any length are read whole. Other columns are ignored."""
     one = "license string, coverage double, first_word long, n_words long"
     fields = one.replace(" ", ": ").replace(",:", ",")
     fields = f"{one}, matches array<struct<{fields}>>"
