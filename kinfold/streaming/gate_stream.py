@@ -10,27 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import BUILD_RULES, MESSAGE_SCHEMA, GateRules
 from ..plans.build import gate_and_dedup
 from ..session import intermediates, materialize, release
-from ..sources.files import path_exists
-
-HASH_SCHEMA = "text_hash string, shard string, batch_id long"
-SHARD_DIGITS = 2  # of the hash, that name a folder of the history
-
-
-def known_hashes(history: str, before: int, rows: DataFrame) -> DataFrame:
-    """Hashes accepted by earlier batches that `rows` have too.
-
-    The history lies in folders by the first digits of the hash, and only folders
-    that the batch has hashes for are read; there are 256 at most.
-    """
-    spark = rows.sparkSession
-    if not path_exists(spark, history):
-        return spark.createDataFrame([], HASH_SCHEMA).select("text_hash")
-    wanted = rows.select("text_hash", F.substring("text_hash", 1, SHARD_DIGITS).alias("shard")).distinct()
-    wanted = materialize(wanted, "wanted")
-    shards = [r[0] for r in wanted.select("shard").distinct().collect()]
-    old = spark.read.schema(HASH_SCHEMA).parquet(history)
-    old = old.filter(F.col("shard").isin(shards) & (F.col("batch_id") < before))
-    return old.select("text_hash").join(wanted.select("text_hash"), "text_hash", "left_semi")
+from .hash_history import FANOUT, HashHistory
 
 
 def stream_gate(
@@ -42,41 +22,41 @@ def stream_gate(
     schema: T.StructType = MESSAGE_SCHEMA,
     rules: GateRules = BUILD_RULES,
     files_per_batch: int | None = None,
+    fanout: int = FANOUT,
 ) -> StreamingQuery:
     """Gate and deduplicate the JSONL files that arrive in `source`.
 
     Rows of a batch stand in the order of their `ord`, where the files have one;
     otherwise by file, block and line. A file where only some rows have one is an
     error. Dedup state is a table of accepted hashes beside the accepted rows, not
-    the state store. Each batch writes its own batch_id folders in overwrite mode
-    and compares with earlier batches only, so a batch replayed after a crash
-    gives the same rows again.
+    the state store; its files are merged as batches go by, `fanout` at a time. Each
+    batch writes its own batch_id folders in overwrite mode and compares with earlier
+    batches only, so a batch replayed after a crash gives the same rows again.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    history = f"{accepted.rstrip('/')}-hashes"
+    history = HashHistory(spark, f"{accepted.rstrip('/')}-hashes", fanout)
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
 
     def gate(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         scratch = len(intermediates(session))
         try:
+            history.tidy(batch_id)
             batch = materialize(batch.withColumn("_row", F.monotonically_increasing_id()), "batch")
             have = batch.select("ord").limit(1).filter("ord IS NOT NULL").count() if "ord" in batch.columns else 0
             if not have:
                 batch = batch.withColumn("ord", F.struct("_file", "_block", "_row"))
             batch = batch.drop("_file", "_block", "_row")
-            gated = gate_and_dedup(batch, lambda passed: known_hashes(history, batch_id, passed), rules)
+            gated = gate_and_dedup(batch, lambda passed: history.known(passed, batch_id), rules)
             out = gated.accepted.drop("reason")
             out = out if have else out.drop("ord")
             out.write.mode("overwrite").parquet(f"{accepted}/batch_id={batch_id}")
             gated.rejected.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
             made = session.read.schema("text_hash string").parquet(f"{accepted}/batch_id={batch_id}")
-            made = made.withColumn("shard", F.substring("text_hash", 1, SHARD_DIGITS))
-            made = made.repartition("shard").sortWithinPartitions("shard", "text_hash")
-            made.write.mode("overwrite").partitionBy("shard").parquet(f"{history}/batch_id={batch_id}")
+            history.add(made, batch_id)
         finally:
             release(session, intermediates(session)[scratch:])
 
