@@ -27,7 +27,7 @@ from ..session import materialize
 from .texts import kept, pieces, slices, spans, strings
 
 SAMPLE = 1_500  # training texts per language, about
-MAX_LANGUAGES = 256
+BLOCK = 256  # languages scored at a time; results do not depend on it
 LONGEST = 5
 UNKNOWN = "und"
 KNOWN_PIECES = 250_000  # pieces a worker remembers; results do not depend on it
@@ -92,8 +92,9 @@ class LanguageModel:
             at += max(1, size - 1)
         return out
 
-    def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """Per list of words the sum of the words' scores in each language."""
+    def scores(self, texts: list[list[str]], low: int = 0, high: int | None = None) -> np.ndarray:
+        """Per list of words the sum of the words' scores in each language from `low` to `high`."""
+        high = len(self.languages) if high is None else high
         found: list[int] = []
         weights: list[float] = []
         ends = []
@@ -109,9 +110,11 @@ class LanguageModel:
         begin = self.begins[row]
         n = self.begins[row + 1] - begin
         entry = spans(begin, n)
-        cell = np.repeat(owner, n) * len(self.languages) + self.codes[entry]
-        more = np.bincount(cell, np.repeat(weight, n) * self.more[entry], len(texts) * len(self.languages))
-        return kinds.reshape(len(texts), -1) @ self.bases + more.reshape(len(texts), -1)
+        code, width = self.codes[entry] - low, high - low
+        here = (code >= 0) & (code < width)
+        cell = (np.repeat(owner, n) * width + code)[here]
+        more = np.bincount(cell, (np.repeat(weight, n) * self.more[entry])[here], len(texts) * width)
+        return kinds.reshape(len(texts), -1) @ self.bases[:, low:high] + more.reshape(len(texts), -1)
 
 
 def by_key(languages: list[str], counts: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -120,12 +123,12 @@ def by_key(languages: list[str], counts: pa.Table) -> tuple[pa.Array, tuple[np.n
     counts = counts.sort_by([("key", "ascending"), ("lang", "ascending")])
     keys = pc.cast(counts.column("key"), pa.large_string()).combine_chunks()
     if not len(keys):
-        return keys, (np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int64))
+        return keys, (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
     first = np.ones(len(keys), bool)
     first[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
     begins = np.append(np.flatnonzero(first), len(keys))
     numbers = pc.index_in(pc.cast(counts.column("lang"), pa.string()), pa.array(languages, pa.string()))
-    return keys.filter(pa.array(first)), (begins, numbers.to_numpy().astype(np.int16), counts.column("n").to_numpy())
+    return keys.filter(pa.array(first)), (begins, numbers.to_numpy().astype(np.int32), counts.column("n").to_numpy())
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -133,20 +136,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Fitted on a sample of about SAMPLE texts per language, picked by a hash of
     the id and text; every word and n-gram of the sample is kept. Both are counted
-    in tasks; the model's size is that of the sample and does not grow with the table.
+    in tasks; the model's size is that of the sample and does not grow with the table,
+    only with the number of languages, of which there may be any.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # the model's classes
     languages = sorted(sizes)
     if not languages:
         nothing = pa.table({"lang": pa.array([], pa.string()), "key": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         return LanguageModel([], nothing, nothing)
-    share = F.lit(1.0)
-    for language, n in sizes.items():
-        share = F.when(F.col("lang") == language, min(1.0, SAMPLE / n)).otherwise(share)
+    shares = F.create_map(*[F.lit(v) for g, n in sizes.items() for v in (g, min(1.0, SAMPLE / n))])
+    share = shares[F.col("lang")]
     chance = F.pmod(F.xxhash64("id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.filter(chance < share)
 
@@ -186,16 +187,17 @@ def counts_batch(found: dict[str, Counter]) -> pa.RecordBatch:
 
 
 class Scores:
-    """What a worker has scored so far: per piece its row, with the sum of its words'
-    scores and, last, how many words it has."""
+    """What a worker has scored so far for a block of languages: per piece its row, with
+    the sum of its words' scores and, last, how many words it has."""
 
-    def __init__(self, languages: int) -> None:
+    def __init__(self, low: int, high: int, most: int) -> None:
+        self.low, self.high, self.most = low, high, most
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, languages + 1))
+        self.table = np.zeros((1024, high - low + 1))
 
     def rows(self, model: LanguageModel, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
+        if len(self.known) > self.most:
+            self.known, self.table = {}, self.table[:1024]
         known = self.known
         new = [p for p in found if p not in known]
         for at in range(0, len(new), 1024):
@@ -205,12 +207,37 @@ class Scores:
             known.update(zip(some, range(first, first + len(some)), strict=True))
             while len(known) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first : len(known), :-1] = model.scores(words)
+            self.table[first : len(known), :-1] = model.scores(words, self.low, self.high)
             self.table[first : len(known), -1] = [len(w) for w in words]
         got = self.table[[known[p] for p in found]]
         return got[:, :-1], got[:, -1].astype(np.int64)
 
 
+def by_block(model: LanguageModel) -> list[Scores]:
+    """One per BLOCK languages; together they remember KNOWN_PIECES pieces."""
+    begins = range(0, len(model.languages), BLOCK)
+    return [Scores(b, min(b + BLOCK, len(model.languages)), KNOWN_PIECES // len(begins)) for b in begins]
+
+
+def most_likely(
+    model: LanguageModel, blocks: list[Scores], found: list[str], codes: np.ndarray, begins: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text its best language's number, the posterior and how many words it has. Of
+    each block only the best score and the sum of odds against it are carried on."""
+    top = np.full(len(begins) - 1, -np.inf)
+    best, odds, n = np.zeros(len(top), np.int64), np.zeros(len(top)), np.zeros(len(top), np.int64)
+    for block in blocks:
+        table, counts = block.rows(model, found)
+        total = np.add.reduceat(table[codes], begins[:-1], axis=0)  # no text is without a piece
+        n = np.add.reduceat(counts[codes], begins[:-1])
+        high = total.max(axis=1)
+        best = np.where(high > top, block.low + total.argmax(axis=1), best)
+        most = np.maximum(top, high)
+        sums = np.exp(np.maximum(total - most[:, None], -700)).sum(axis=1)
+        odds, top = odds * np.exp(np.maximum(top - most, -700)) + sums, most
+    return best, 1 / odds, n
+
+
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the most likely language of each whole text and its
     posterior. `und` and 0 where the text is null or has no letters, or the model
@@ -229,7 +256,7 @@ def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         gc.freeze()
-        scores = kept(("language", key), lambda: Scores(len(model.languages)))
+        blocks = kept(("language", key), lambda: by_block(model))
         names = np.array([*model.languages, UNKNOWN], object)
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -237,12 +264,8 @@ def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame
                     pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
                 else:
                     found, codes, begins = pieces(strings(batch.column("text")))
-                    table, counts = scores.rows(model, found)
-                    total = np.add.reduceat(table[codes], begins[:-1], axis=0)  # no text is without a piece
-                    n = np.add.reduceat(counts[codes], begins[:-1])
-                    best = total.argmax(axis=1)
-                    odds = np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -700))
-                    score = np.where(n > 0, 1 / odds.sum(axis=1), 0.0)
+                    best, score, n = most_likely(model, blocks, found, codes, begins)
+                    score = np.where(n > 0, score, 0.0)
                     pred = names[np.where(n > 0, best, len(names) - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(pred, pa.string()), pa.array(score)], names=schema.names
