@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.operators import hashed
 from kinfold.operators.hashed import HashedSpec, collisions, fit_hashed, lbfgs
 
 SPEC = HashedSpec(bits=8, tol=1e-10, min_df=2, max_df=0.95)
@@ -124,3 +125,33 @@ def test_lbfgs_finds_the_least_point_of_a_stretched_bowl():
             x = solver.send((0.5 * (scale * (x - least) ** 2).sum(), scale * (x - least)))
     except StopIteration as end:
         assert np.abs(end.value.x - least).max() < 1e-8 and end.value.steps < 500
+
+
+@pytest.mark.parametrize("cached", [1, 100, 1 << 18])
+def test_sums_of_all_columns_at_once(monkeypatch, cached):
+    """Columns were summed one after the other, with as many gathers as fits."""
+    monkeypatch.setattr(hashed, "CACHED", cached)
+    rng = np.random.default_rng(5)
+    keys, at, counts = np.sort(rng.integers(0, 40, 500)) * 2, rng.integers(0, 30, 500), rng.normal(size=500)
+    values = rng.normal(size=(30, 7))
+    want = np.zeros((81, 7))
+    np.add.at(want, keys, counts[:, None] * values[at])
+    assert np.abs(hashed._sums(keys, values, at, counts, 81) - want).max() < 1e-12
+    assert not hashed._sums(keys[:0], values, at[:0], counts[:0], 81).any()
+
+
+def test_lbfgs_ends_though_values_are_rounded():
+    """Values that hide the last descents cost no extra points: the slope tells."""
+    scale, least = np.logspace(0, 3, 12), np.linspace(-3, 3, 12)
+    points = {}
+    for digits in (None, 9):
+        solver = lbfgs(np.zeros(12), 1e-9, 500)
+        x, points[digits] = next(solver), 1
+        try:
+            while True:
+                value = 1e3 + 0.5 * (scale * (x - least) ** 2).sum()
+                x = solver.send((value if digits is None else round(value, digits), scale * (x - least)))
+                points[digits] += 1
+        except StopIteration as end:
+            assert np.abs(end.value.slope).max() <= 1e-9
+    assert points[9] <= 1.1 * points[None]  # 189 of 165 before
