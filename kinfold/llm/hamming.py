@@ -13,9 +13,15 @@ Equal shingle sets are one node. What is already in one component needs no
 further link, so the work goes from few pairs to all: first every node is paired
 with the centre it shares most keys with, then with more and more of the others
 that are not in its component yet, at last all members of keys that still hold
-several components are paired between these, in cells of a bounded size. Pairs
-are compared by signature, then confirmed on their full shingle sets. After this
-all pairs that meet have been compared or stand in one component.
+several components are paired between these. Pairs are compared by signature, then
+confirmed on their full shingle sets. After this all pairs that can be similar have
+been compared or stand in one component.
+
+Different texts may share a key by the thousands. So members of the last step meet
+by what similar sets must have in common: with shingles in one order, rare ones first,
+the first shingle that two similar sets share is among the first few of both (`prefix`),
+and from there on enough are left in both. And no more bits can differ between the parities
+of two sets' hashes than shingles between the sets. This loses no similar pair, whatever the order.
 """
 
 from __future__ import annotations
@@ -28,12 +34,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .texts import slices, strings
+from .texts import slices, spans, strings
 
 WORDS = 5  # per shingle
 CHUNKS, PER_CHUNK = 12, 6
@@ -42,7 +49,10 @@ DISTANCE = 2 * CHUNKS - 1  # the most for which some chunk has at most one error
 SIMILAR = 85  # hundredths
 MISSED = 1e-4  # most pairs right at the similarity that may differ in more values than the distance
 ROUNDS = (1, 4, 16)  # so many centres of a node have been tried after the first rounds; after the next, all
-BLOCK = 1024  # members of a key that are compared with as many others at once
+BLOCK = 1024  # members of a shingle that are compared with as many others at once
+COUNT_BITS = 20  # of a shingle's hash, by which it is counted; they order shingles, results do not depend on it
+COUNT_CHUNK = 1 << 16  # counts that are summed together
+PARITY_BITS = 11  # of a shingle's hash, by which it turns one of a set's parities
 
 
 @dataclass(frozen=True)
@@ -283,18 +293,30 @@ class NearDuplicates:
         self.confirm(self.all_pairs(self.unsettled(met.select("key", "node"))))
 
     def all_pairs(self, keys: DataFrame) -> DataFrame:
-        """(a, b, distance) of near pairs of different components under each key.
+        """(a, b, distance) of near pairs of different components among the members of the keys.
 
-        Members of a key are dealt to blocks of about BLOCK, and each two blocks meet
-        in a cell; a task holds one cell at a time, and a pair that shares several
-        keys comes out under the first of them only.
+        Members are filed under the shingles of their prefixes, those of a shingle dealt
+        to blocks of about BLOCK, and each two blocks meet in a cell; a task holds one
+        cell at a time.
         """
-        sigs = self.nodes.select("node", "n", "sig")
-        sized = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-        rows = keys.join(materialize(sized, "near-sizes"), "key").join(sigs, "node")
+        members = materialize(keys.select("node", "comp").distinct(), "near-members")
+        self.gather(members.select("node"))
+        if self.full is None:
+            return members.select(F.col("node").alias("a"), F.col("comp").alias("b"), F.lit(0).cast("long").alias("distance"))
+        sets = members.join(self.full, "node")
+        filed = materialize(prefixes(sets, shingle_counts(sets), self.cut), "near-prefixes")
+        marks = materialize(parities(sets).join(self.nodes.select("node", "sig"), "node"), "near-parities")
+        # Someone must have the shingle among its first as the smaller set of a pair.
+        size = F.count(F.lit(1))
+        sized = filed.groupBy("key").agg(
+            F.ceil(size / F.lit(BLOCK)).cast("int").alias("blocks"),
+            (F.max("leads") & (F.min("comp") != F.max("comp"))).alias("several"),
+        )
+        sized = materialize(sized.filter("several").drop("several"), "near-sizes")
+        rows = filed.join(sized, "key").join(marks, "node")
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
         others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = rows.select("key", "node", "comp", "n", "sig", block, others)
+        dealt = rows.select("key", *[c for c in CELL if c != "block"], block, others)
         dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
         cut = self.cut
         laid = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
@@ -302,7 +324,7 @@ class NearDuplicates:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell: list[tuple] = []
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "comp", "n", "sig", "block")]
+                columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", *CELL)]
                 found: list[tuple[int, int, int]] = []
                 for row in zip(*columns, strict=True):
                     if cell and cell[-1][:3] != row[:3]:
@@ -312,7 +334,8 @@ class NearDuplicates:
                 yield pair_batch(found)
             yield pair_batch(cell_pairs(cell, cut))
 
-        return laid.mapInArrow(run, "a long, b long, distance long")
+        # Similar sets may meet under several shingles.
+        return laid.mapInArrow(run, "a long, b long, distance long").distinct()
 
     def unsettled(self, keys: DataFrame) -> DataFrame:
         """Members of the keys that have several components, with their component."""
@@ -333,16 +356,15 @@ class NearDuplicates:
             if self.labels is None:
                 self.labels = self.nodes.select("node", F.col("node").alias("comp")).limit(0)
             return
-        self.gather(near)
+        self.gather(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         nearest = near.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("first")).select("first.a", "b")
         self.join_up(self.similar(materialize(nearest, "near-first")))
         rest = self.labelled(self.labelled(near, "a", "comp_a"), "b", "comp_b")
         self.join_up(self.similar(rest.filter("comp_a != comp_b")))
 
-    def gather(self, near: DataFrame) -> None:
-        """Make the full sets of nodes in `near` that are not there yet, from the
-        texts; a node is known by its least id and its digest."""
-        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def gather(self, wanted: DataFrame) -> None:
+        """Make the full sets of the nodes that are not there yet, from the texts; a
+        node is known by its least id and its digest."""
         if self.full is not None:
             wanted = wanted.join(self.full.select("node"), "node", "left_anti")
         wanted = materialize(self.nodes.select("node", "id", "digest").join(wanted, "node"), "near-wanted")
@@ -412,28 +434,118 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def prefix(n: int, similar: int) -> tuple[int, int]:
+    """How many of its first shingles a set of `n` may have to share with a similar set
+    that is no larger, and with one that is no smaller."""
+    return n - -(-similar * n // 100) + 1, n - -(-2 * similar * n // (100 + similar)) + 1
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle with these first COUNT_BITS."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - COUNT_BITS), 1)
+        chunks = total.reshape(-1, COUNT_CHUNK)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(len(chunks)), pa.int32()),
+                pa.array([TaskContext.get().partitionId() // 64] * len(chunks), pa.int32()),
+                pa.array([c.tobytes() for c in chunks], pa.binary()),
+            ],
+            names=["chunk", "part", "counts"],
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["counts"])
+        return pa.table([table["chunk"][:1], table["part"][:1], pa.array([total.tobytes()])], names=table.column_names)
+
+    schema = "chunk int, part int, counts binary"
+    parts = sets.select("shingles").mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
+    total = np.zeros((1 << COUNT_BITS) // COUNT_CHUNK * COUNT_CHUNK, np.int64).reshape(-1, COUNT_CHUNK)
+    for row in parts.groupBy("chunk").applyInArrow(add, schema).collect():
+        total[row.chunk] = np.frombuffer(row.counts, np.int64)
+    return np.minimum(total.ravel(), (1 << 31) - 1).astype(np.int32)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, cut: Bands) -> DataFrame:
+    """(key, node, comp, n, at, leads): the shingles of each set's prefix, where they
+    stand, and whether the set may be the smaller one that meets others there."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in batches:
+            keys, sizes, leads = [], [], []
+            for x in batch.column("shingles"):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                # By count, equal ones by hash.
+                order = np.argsort(of[s >> np.uint64(64 - COUNT_BITS)], kind="stable")
+                most, first = prefix(len(s), cut.similar)
+                keys.append(s[order[:most]].view(np.int64))
+                sizes.append(len(s))
+                leads.append(np.arange(len(keys[-1])) < first)
+            many = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])),
+                    pa.array(np.repeat(np.asarray(batch.column("node")), many)),
+                    pa.array(np.repeat(np.asarray(batch.column("comp")), many)),
+                    pa.array(np.repeat(np.array(sizes, np.int64), many)),
+                    pa.array(spans(np.zeros(len(many), np.int64), np.array(many, np.int64))),
+                    pa.array(np.concatenate([*leads, np.zeros(0, bool)])),
+                ],
+                names=["key", "node", "comp", "n", "at", "leads"],
+            )
+
+    schema = "key long, node long, comp long, n long, at long, leads boolean"
+    return sets.select("node", "comp", "shingles").mapInArrow(run, schema)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(node, parity): of each bit whether an odd number of the set's shingles fall on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column("shingles"):
+                at = (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
+                made.append(np.packbits(np.bincount(at, minlength=1 << PARITY_BITS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "parity"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, parity binary")
+
+
+CELL = ("node", "comp", "n", "at", "leads", "block", "sig", "parity")
+
+
 def cell_pairs(cell: list[tuple], cut: Bands = Bands()) -> list[tuple[int, int, int]]:
-    """(a, b, distance) of the near pairs of a cell that lie between components, have
-    similar sizes and share no earlier key. Within one block each two rows meet,
-    else those of different blocks."""
+    """(a, b, distance) of the near pairs of a cell that lie between components and have
+    enough shingles left from the one they meet under, and few enough apart. Within one block each two rows
+    meet, else those of different blocks."""
     if len(cell) < 2:
         return []
-    place = cell[0][0] >> cut.place_bit
-    node, comp, n, block = (np.array([r[i] for r in cell], np.int64) for i in (3, 4, 5, 7))
-    sig = np.frombuffer(b"".join([r[6] for r in cell]), np.uint8).reshape(-1, cut.values)
+    node, comp, n, at, leads, block = (np.array([r[i] for r in cell], np.int64) for i in range(3, 9))
+    sig = np.frombuffer(b"".join([r[9] for r in cell]), np.uint8).reshape(-1, cut.values)
+    parity = np.frombuffer(b"".join([r[10] for r in cell]), np.uint64).reshape(len(cell), -1)
     across = cell[0][1] != cell[0][2]
     out = []
     for i in range(len(cell) - 1):
         later = np.arange(i + 1, len(cell))
         later = later[(comp[later] != comp[i]) & ((block[later] != block[i]) if across else True)]
-        later = later[100 * np.minimum(n[later], n[i]) >= cut.similar * np.maximum(n[later], n[i])]
-        differ = sig[later] != sig[i]
-        distance = differ.sum(axis=1)
+        smaller = np.where(n[later] < n[i], leads[later], leads[i])
+        smaller = np.where(n[later] == n[i], leads[later] | leads[i], smaller)
+        left = np.minimum(n[later] - at[later], n[i] - at[i])
+        later = later[(smaller > 0) & ((100 + cut.similar) * left >= cut.similar * (n[later] + n[i]))]
+        distance = (sig[later] != sig[i]).sum(axis=1)
         near = np.flatnonzero(distance <= cut.distance)
-        for at in near.tolist():
-            if first_key(differ[at], cut) == place:
-                a, b = sorted((int(node[i]), int(node[later[at]])))
-                out.append((a, b, int(distance[at])))
+        apart = np.bitwise_count(parity[later[near]] ^ parity[i]).sum(axis=1, dtype=np.int64)
+        few = (100 + cut.similar) * apart <= (100 - cut.similar) * (n[later[near]] + n[i])
+        for k in near[few].tolist():
+            a, b = sorted((int(node[i]), int(node[later[k]])))
+            out.append((a, b, int(distance[k])))
     return out
 
 
