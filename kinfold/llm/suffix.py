@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import skew_join
 from ..session import materialize
 from .texts import slices, strings
 
@@ -44,6 +43,7 @@ KEY_BYTES = 256 << 10  # text of one key that is compared at once; more is split
 SORT_BYTES = 1 << 20  # text whose suffixes are sorted at once
 PLACE = np.uint64(24)  # bits for a position in a slice
 PRIME = 0x9E3779B97F4A7C15
+MET, ONCE, WINDOWS = 0, 1, 2  # segments under a shared key, those of them that are alone, windows found in them
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -130,9 +130,10 @@ def segment_rows(docs: DataFrame) -> DataFrame:
 
 
 def shared_segments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, h, start, n) of segments that occur again as a whole, and the differing
-    segments under keys that hold several: the rows of one occurrence each, with
-    `copies` telling how many there are."""
+    """(id, h, start, n, kind) of segments whose key occurs again, MET, and once more, ONCE,
+    of those among them that do not occur again as a whole; and the differing segments
+    under keys that hold several: the rows of one occurrence each, with `copies` telling
+    how many there are. So rows that occur again are not joined with what they share."""
     several = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("many"), F.min("seg").alias("low"), F.max("seg").alias("high")
     )
@@ -144,10 +145,9 @@ def shared_segments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = [F.col(c) for c in mixed.columns if c not in ("key", "seg", "same")]
     variants = mixed.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*others)).alias("one"))
     variants = materialize(variants, "suffix-variants")
-    counts = variants.select("key", "seg", F.col("copies").alias("_rows"))
-    again = variants.filter("copies > 1").select("key", "seg")
-    again = skew_join(mixed, again, ["key", "seg"], ["h", "start"], counts=counts)
-    whole = met.filter("same").unionByName(again).select("id", "h", "start", "n")
+    single = variants.filter("copies = 1").select(*[F.col(f"one.{c}") for c in ("id", "h", "start", "n")])
+    whole = met.select("id", "h", "start", "n", F.lit(MET).alias("kind"))
+    whole = whole.unionByName(single.withColumn("kind", F.lit(ONCE)))
     # A key whose variants all occur again has nothing left to find.
     once = variants.filter("copies = 1").select("key").distinct()
     return whole, variants.join(materialize(once, "suffix-once"), "key", "left_semi").select("key", "seg", "copies", "one.*")
@@ -382,11 +382,11 @@ def repeated_spans(
     rows = materialize(segment_rows(docs.select("id", "h", "text")), "suffix-segments")
     whole, variants = shared_segments(rows)
     bytes_of = materialize(cut_segments(docs, variants), "suffix-bytes")
-    found = whole.unionByName(repeated_windows(bytes_of))
+    found = whole.unionByName(repeated_windows(bytes_of).withColumn("kind", F.lit(WINDOWS)))
+    piece = F.struct("start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
+    pieces = [F.collect_list(F.when(F.col("kind") == k, piece)) for k in (MET, ONCE, WINDOWS)]
     spans = found.groupBy(F.col("id").alias("of_id"), F.col("h").alias("of_h")).agg(
-        F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end")))).alias(
-            "found"
-        )
+        F.array_sort(F.concat(F.array_except(pieces[0], pieces[1]), pieces[2])).alias("found")
     )
     spans = materialize(spans, "suffix-spans")
     kind = T.StructType(
