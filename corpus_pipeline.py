@@ -28,9 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["text"].alias("body"))
-    found = language.identify(rows, model, "doc", "body")
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select("id.*")
+    # A text travels once: beside the other columns, not among them as well.
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("doc"), docs["text"].alias("body"))
+    found = language.identify(rows, model, "doc", "body", keep_text=True)
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select("id.*", "text").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ SAMPLE = 1_500  # training texts per language, about
 BLOCK = 256  # languages scored at a time; results do not depend on it
 LONGEST = 5
 UNKNOWN = "und"
+SLICE_BYTES = 1 << 20  # text handled at once; results do not depend on it
 KNOWN_PIECES = 250_000  # pieces a worker remembers; results do not depend on it
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -238,19 +239,21 @@ def most_likely(
     return best, 1 / odds, n
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): the most likely language of each whole text and its
+def identify(
+    df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
+) -> DataFrame:
+    """(id, lang_pred, score), with `keep_text` (id, text, lang_pred, score): the most likely language of each whole text and its
     posterior. `und` and 0 where the text is null or has no letters, or the model
     knows no language. Ties go to the first language by name; each row, repeated
     ones too, gives a row; other columns are ignored."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return _identify(df.select(df[id_col].alias("id"), df[text_col].alias("text")), shared, df.schema[id_col].dataType)
+    keep = ["id", "text"] if keep_text else ["id"]
+    return _identify(df.select(df[id_col].alias("id"), df[text_col].alias("text")), shared, keep)
 
 
-def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField("id", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    )
+def _identify(rows: DataFrame, shared: Broadcast, keep: list[str]) -> DataFrame:
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*[rows.schema[c] for c in keep], *more])
     key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,7 @@ def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame
         blocks = kept(("language", key), lambda: by_block(model))
         names = np.array([*model.languages, UNKNOWN], object)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 if not model.languages:
                     pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
                 else:
@@ -268,7 +271,7 @@ def _identify(rows: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame
                     score = np.where(n > 0, score, 0.0)
                     pred = names[np.where(n > 0, best, len(names) - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(pred, pa.string()), pa.array(score)], names=schema.names
+                    [*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score)], names=schema.names
                 )
 
     return rows.mapInArrow(run, schema)

@@ -80,3 +80,16 @@ def test_queries_are_registered_and_match_their_sql(spark):
     folder = "/root/testdata/sf0.001"
     for name, sql in catalog.oracle_sql().items():
         assert compare(entry.queries()[name](spark, folder), connect(folder), sql) == ""
+
+
+def test_language_stage_sends_a_text_once(spark, messy, monkeypatch):
+    """Rows and their texts went to the workers as two copies and came back with one."""
+    docs = messy.select(*COLUMNS)
+    sent = []
+    whole = language.identify
+    monkeypatch.setattr(language, "identify", lambda df, *a, **b: (sent.append(df.schema), whole(df, *a, **b))[1])
+    told = Counter(map(tuple, corpus_pipeline.language_id(spark, docs, "").collect()))
+    monkeypatch.setattr(language, "SLICE_BYTES", 100)
+    assert Counter(map(tuple, corpus_pipeline.language_id(spark, docs, "").collect())) == told
+    texts = [f for s in sent for f in (*s.names, *s["doc"].dataType.names) if f in ("text", "body")]
+    assert len(texts) == len(sent) == 2
