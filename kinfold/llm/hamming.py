@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .texts import slices, spans, strings
+from .texts import slices, strings
 
 WORDS = 5  # per shingle
 CHUNKS, PER_CHUNK = 12, 6
@@ -471,22 +471,25 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, cut: Bands) -> DataFrame:
-    """(key, node, comp, n, at, leads): the shingles of each set's prefix, where they
-    stand, and whether the set may be the smaller one that meets others there."""
+    """(key, node, comp, n, at, leads): the shingles of each set's prefix that others may
+    have too, where they stand, and whether the set may be the smaller one that meets
+    others there."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in batches:
-            keys, sizes, leads = [], [], []
+            keys, sizes, leads, places = [], [], [], []
             for x in batch.column("shingles"):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 # By count, equal ones by hash.
-                order = np.argsort(of[s >> np.uint64(64 - COUNT_BITS)], kind="stable")
+                count = of[s >> np.uint64(64 - COUNT_BITS)]
                 most, first = prefix(len(s), cut.similar)
-                keys.append(s[order[:most]].view(np.int64))
+                order = np.argsort(count, kind="stable")[:most]
+                places.append(np.flatnonzero(count[order] != 1))  # the rest is this set's alone
+                keys.append(s[order[places[-1]]].view(np.int64))
                 sizes.append(len(s))
-                leads.append(np.arange(len(keys[-1])) < first)
+                leads.append(places[-1] < first)
             many = [len(k) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -494,7 +497,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, cut: Bands) -> DataFrame:
                     pa.array(np.repeat(np.asarray(batch.column("node")), many)),
                     pa.array(np.repeat(np.asarray(batch.column("comp")), many)),
                     pa.array(np.repeat(np.array(sizes, np.int64), many)),
-                    pa.array(spans(np.zeros(len(many), np.int64), np.array(many, np.int64))),
+                    pa.array(np.concatenate([*places, np.zeros(0, np.int64)])),
                     pa.array(np.concatenate([*leads, np.zeros(0, bool)])),
                 ],
                 names=["key", "node", "comp", "n", "at", "leads"],
