@@ -42,6 +42,8 @@ SLICE_BYTES = 1 << 20
 KEY_BYTES = 256 << 10  # text of one key that is compared at once; more is split
 SORT_BYTES = 1 << 20  # text whose suffixes are sorted at once
 PLACE = np.uint64(24)  # bits for a position in a slice
+COUNT_BITS = 31  # for the windows of a segment, beside its start; texts are shorter than 2 GiB
+COUNT_MASK = (1 << COUNT_BITS) - 1
 PRIME = 0x9E3779B97F4A7C15
 MET, ONCE, WINDOWS = 0, 1, 2  # segments under a shared key, those of them that are alone, windows found in them
 
@@ -364,6 +366,17 @@ def common_prefixes(order: np.ndarray, letters: np.ndarray, length: int) -> np.n
     return prefix
 
 
+def spans_by_text(found: DataFrame) -> DataFrame:
+    """(of_id, of_h, found): per text its segments MET but not ONCE and its WINDOWS, in order,
+    each as one number of its start and count. Spark takes arrays of numbers from each other
+    by hashing, arrays of structs by comparing each with each."""
+    piece = F.shiftleft("start", COUNT_BITS).bitwiseOR(F.col("n"))
+    pieces = [F.collect_list(F.when(F.col("kind") == k, piece)) for k in (MET, ONCE, WINDOWS)]
+    return found.groupBy(F.col("id").alias("of_id"), F.col("h").alias("of_h")).agg(
+        F.sort_array(F.concat(F.array_except(pieces[0], pieces[1]), pieces[2])).alias("found")
+    )
+
+
 def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False
 ) -> DataFrame:
@@ -383,12 +396,7 @@ def repeated_spans(
     whole, variants = shared_segments(rows)
     bytes_of = materialize(cut_segments(docs, variants), "suffix-bytes")
     found = whole.unionByName(repeated_windows(bytes_of).withColumn("kind", F.lit(WINDOWS)))
-    piece = F.struct("start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
-    pieces = [F.collect_list(F.when(F.col("kind") == k, piece)) for k in (MET, ONCE, WINDOWS)]
-    spans = found.groupBy(F.col("id").alias("of_id"), F.col("h").alias("of_h")).agg(
-        F.array_sort(F.concat(F.array_except(pieces[0], pieces[1]), pieces[2])).alias("found")
-    )
-    spans = materialize(spans, "suffix-spans")
+    spans = materialize(spans_by_text(found), "suffix-spans")
     kind = T.StructType(
         [
             docs.schema["id"],
@@ -406,10 +414,12 @@ def repeated_spans(
                 for text, found in zip(texts, part.column("found").to_pylist(), strict=True):
                     spans: list[dict] = []
                     for piece in found or ():
-                        if spans and piece["start"] <= spans[-1]["end"]:
-                            spans[-1]["end"] = max(spans[-1]["end"], piece["end"])
+                        start = piece >> COUNT_BITS
+                        end = start + (piece & COUNT_MASK) + LENGTH - 1
+                        if spans and start <= spans[-1]["end"]:
+                            spans[-1]["end"] = max(spans[-1]["end"], end)
                         else:
-                            spans.append({"begin": piece["start"], "end": piece["end"]})
+                            spans.append({"begin": start, "end": end})
                     edges = [0, *[x for s in spans for x in (s["begin"], s["end"])], len(text)]
                     merged.append(spans)
                     kept.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
