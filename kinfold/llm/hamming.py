@@ -52,6 +52,7 @@ ROUNDS = (1, 4, 16)  # so many centres of a node have been tried after the first
 BLOCK = 1024  # members of a shingle that are compared with as many others at once
 COUNT_BITS = 20  # of a shingle's hash, by which it is counted; they order shingles, results do not depend on it
 COUNT_CHUNK = 1 << 16  # counts that are summed together
+FEW_LINKS = 1 << 16  # between components, 16 bytes each, that the driver may follow at once
 PARITY_BITS = 11  # of a shingle's hash, by which it turns one of a set's parities
 
 
@@ -572,26 +573,55 @@ def similar_sizes(a: str, b: str, similar: int) -> str:
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after merging along the links: in each round every component hooks on
     to its least neighbour below it, hooks are followed to their ends, and labels
-    are renamed; until no link lies between components."""
+    are renamed; until no link lies between components. FEW_LINKS or fewer between
+    components are followed at once, by the driver: each round is a dozen small jobs."""
     while True:
         a = labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
         b = labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
         between = links.join(a, "a").join(b, "b").filter("comp_a != comp_b")
-        hooks = between.groupBy(F.greatest("comp_a", "comp_b").alias("comp")).agg(
-            F.min(F.least("comp_a", "comp_b")).alias("root")
-        )
-        hooks = materialize(hooks, "near-hooks")
-        if hooks.isEmpty():
+        ends = F.greatest("comp_a", "comp_b").alias("comp"), F.least("comp_a", "comp_b").alias("root")
+        between = materialize(between.select(*ends).distinct(), "near-between")
+        few = between.limit(FEW_LINKS + 1).toArrow()
+        if not few.num_rows:
             return labels
-        while True:
-            above = hooks.select(F.col("comp").alias("root"), F.col("root").alias("above"))
-            longer = hooks.join(above, "root", "left").select("comp", F.coalesce("above", "root").alias("root"), "above")
-            longer = materialize(longer, "near-hooks")
-            hooks = longer.select("comp", "root")
-            if longer.filter("above IS NOT NULL").isEmpty():
-                break
+        settled = few.num_rows <= FEW_LINKS
+        hooks = labels.sparkSession.createDataFrame(least_linked(few)) if settled else followed(between)
         moved = labels.join(hooks, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
         labels = materialize(moved, "near-labels")
+        if settled:
+            return labels
+
+
+def least_linked(links: pa.Table) -> pa.Table:
+    """(comp, root): of the components that the links (comp, root) connect, each but the
+    least one with the least."""
+    above: dict[int, int] = {}
+
+    def end(x: int) -> int:
+        while x in above:
+            if above[x] in above:
+                above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for one, other in zip(links["comp"].to_pylist(), links["root"].to_pylist(), strict=True):
+        low, high = sorted((end(one), end(other)))
+        if low != high:
+            above[high] = low
+    columns = [[*above], [end(x) for x in above]]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["comp", "root"])
+
+
+def followed(between: DataFrame) -> DataFrame:
+    """(comp, root): every component's least neighbour below it, followed to its end."""
+    hooks = materialize(between.groupBy("comp").agg(F.min("root").alias("root")), "near-hooks")
+    while True:
+        above = hooks.select(F.col("comp").alias("root"), F.col("root").alias("above"))
+        longer = hooks.join(above, "root", "left").select("comp", F.coalesce("above", "root").alias("root"), "above")
+        longer = materialize(longer, "near-hooks")
+        hooks = longer.select("comp", "root")
+        if longer.filter("above IS NOT NULL").isEmpty():
+            return hooks
 
 
 def near_classes(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 
 from kinfold.llm import hamming
 
@@ -61,3 +64,25 @@ def test_cells_find_every_similar_pair(spark):
                 both = len(np.intersect1d(shingles[a], shingles[b]))
                 if 100 * both >= 85 * (len(shingles[a]) + len(shingles[b]) - both):
                     assert (a, b) in found
+
+
+@pytest.mark.parametrize("few", [hamming.FEW_LINKS, 40, 0])
+def test_components_of_chains_stars_and_rings_with_few_and_many_links(spark, monkeypatch, few):
+    pick = random.Random(3)
+    links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 540)]
+    links += [(700 + k, 700 + (k + 7) % 20) for k in range(20)] + [(pick.randrange(900, 990), pick.randrange(900, 990)) for _ in range(60)]
+    pick.shuffle(links)
+    nodes = sorted({x for pair in links for x in pair} | {1, 2})
+    labels = spark.createDataFrame([(x, x) for x in nodes], "node long, comp long")
+    monkeypatch.setattr(hamming, "FEW_LINKS", few)
+    written = []
+    keep = hamming.materialize
+    monkeypatch.setattr(hamming, "materialize", lambda df, name: (written.append(name), keep(df, name))[1])
+    got = {r.node: r.comp for r in hamming.components(labels, spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    if few == hamming.FEW_LINKS and few > 1000:  # rounds of small jobs fill the driver's memory
+        assert written == ["near-between", "near-labels"]
