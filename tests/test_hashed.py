@@ -155,3 +155,24 @@ def test_lbfgs_ends_though_values_are_rounded():
         except StopIteration as end:
             assert np.abs(end.value.slope).max() <= 1e-9
     assert points[9] <= 1.1 * points[None]  # 189 of 165 before
+
+
+def test_long_memory_saves_points_and_stays_bounded():
+    """Each point is a pass over the rows and a matrix sent to the driver; with ten pairs of
+    steps they grew fast on stretched problems."""
+    points = {}
+    scale, least = np.logspace(0, 4, 60), np.linspace(-3, 3, 60)
+    for memory in (10, hashed.MEMORY):
+        solver = lbfgs(np.zeros(60), 1e-6, 5000, memory)
+        x, points[memory] = next(solver), 1
+        try:
+            while True:
+                x = solver.send((0.5 * (scale * (x - least) ** 2).sum(), scale * (x - least)))
+                points[memory] += 1
+        except StopIteration as end:
+            assert np.abs(end.value.x - least).max() < 2e-6
+    assert points[hashed.MEMORY] < 0.9 * points[10], points
+    for bits, fits in ((18, 1), (18, 5), (16, 50), (18, 500)):
+        pairs = hashed.remembered(1 << bits, fits)
+        assert pairs == hashed.LEAST_MEMORY or pairs * 8 * fits << bits <= hashed.HISTORY_BYTES
+    assert hashed.remembered(1 << 18, 5) == hashed.MEMORY
