@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from kinfold.operators import forest
+from kinfold.functions.features import FEATURES
+from kinfold.operators import forest, models
 
 
 def gini_gain(x, y, w, at):
@@ -54,3 +56,17 @@ def test_rows_without_the_feature_go_to_the_left():
     level = forest.Level(np.array([5, 6], np.uint64), np.array([0.5, 0.5]), np.array([0, -1]), np.zeros(2))
     nodes = block.moved(level, np.array([[0, 1], [0, 1], [0, -1]], np.int32), *block.coded())
     assert nodes.tolist() == [[0, -1], [1, -1], [0, -1]]
+
+
+def test_a_fit_takes_all_rows(spark):
+    """Beyond 200,000 rows a fit took a sample by hash."""
+    n = 200_300
+    zeros = {name: F.lit(0.0) for name in FEATURES}
+    rows = spark.range(n).select(
+        F.concat(F.lit("m"), "id").alias("msg_id"),
+        (F.col("id") % 2).cast("int").alias("y"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("ab"))).otherwise(F.array(F.lit("cd"))).alias("word_terms"),
+    )
+    model = models.fit_model(rows.withColumns(zeros), models.ModelSpec("forest", trees=2, depth=2), 3)
+    assert model.n_rows == n
+    assert abs(model.forest.levels[0].share - 0.5).max() < 0.01
