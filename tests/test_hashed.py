@@ -176,3 +176,49 @@ def test_long_memory_saves_points_and_stays_bounded():
         pairs = hashed.remembered(1 << bits, fits)
         assert pairs == hashed.LEAST_MEMORY or pairs * 8 * fits << bits <= hashed.HISTORY_BYTES
     assert hashed.remembered(1 << 18, 5) == hashed.MEMORY
+
+
+def test_scaled_steps_need_fewer_points():
+    """Each point is a pass; steps began with one scale for frequent and rare slots."""
+    pick = np.random.default_rng(8)
+    seen = 0.3 / np.arange(1, 401)  # shares of the rows that hold each slot
+    x = (pick.random((3000, 400)) < seen) * pick.random((3000, 400))
+    side = np.where(x @ pick.normal(size=400) + 0.3 * pick.normal(size=3000) > 0, 1.0, -1.0)
+    ridge, points, least = 1 / 3000, {}, {}
+    curvature = np.append((x * x).sum(0) / 3000, 1.0)
+    for scale in (1.0, hashed._scale(curvature[:-1], 3000)):
+        solver = lbfgs(np.zeros(401), 1e-6, 5000, 10, scale)
+        point, n = next(solver), 1
+        try:
+            while True:
+                z = side * (x @ point[:-1] + point[-1])
+                pull = -side / (1 + np.exp(z)) / 3000
+                slope = np.append(x.T @ pull + ridge * point[:-1], pull.sum())
+                point = solver.send((np.logaddexp(0, -z).mean() + ridge / 2 * point[:-1] @ point[:-1], slope))
+                n += 1
+        except StopIteration as end:
+            points[np.ndim(scale)], least[np.ndim(scale)] = n, end.value
+            assert np.abs(end.value.slope).max() <= 1e-6
+    assert abs(least[0].value - least[1].value) < 1e-8
+    assert points[1] < 0.8 * points[0], points
+
+
+def test_many_fits_are_solved_in_groups(rows, monkeypatch):
+    """All fits' vectors were on the driver at once, whatever their number."""
+    flags = [F.col("fold_1") != k for k in (1, 2, 3)] + [F.col("fold_2") != k for k in (1, 2)]
+    whole = fit_hashed(rows, F.array(*flags), SPEC)
+    monkeypatch.setattr(hashed, "TOGETHER", 2 * SPEC.width)
+    assert [len(some) for some in hashed.together(SPEC.width, 5)] == [1, 2, 2]
+    parts = fit_hashed(rows, F.array(*flags), SPEC)
+    assert np.abs(whole.beta - parts.beta).max() < 1e-6 and (whole.n_rows == parts.n_rows).all()
+    assert hashed.together(1 << 30, 2) == [range(0, 1), range(1, 2)]
+    monkeypatch.undo()
+    for bits, fits in ((18, 5), (16, 50), (16, 5000)):
+        assert max(len(some) for some in hashed.together(1 << bits, fits)) << bits <= hashed.TOGETHER
+
+
+def test_parts_are_summed_as_they_come():
+    """All tasks' parts of a chunk were held by one group; now the sums and a batch."""
+    batches = [hashed._part(k % 2, np.full(3, float(k))) for k in range(6)]
+    found = {b["chunk"][0].as_py(): np.frombuffer(b["part"][0].as_py()).tolist() for b in hashed._added(iter(batches))}
+    assert found == {0: [6.0] * 3, 1: [9.0] * 3}
