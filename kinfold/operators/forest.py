@@ -2,9 +2,9 @@
 
 Rows stand in blocks as sparse vectors of features that are not negative. On each level
 a block sends, for every node that is still to be split, the entries of its rows among
-the node's candidate features; these are brought together by node, and the best split of
-each node, by Gini impurity over exact thresholds, goes to the driver and back to the
-blocks. A candidate set is an arc of the features in an order that is random per level,
+the node's candidate features; these are brought together by node, those of a large node by
+node and feature, and the best split of each node, by Gini impurity over exact thresholds,
+goes to the driver and back to the blocks. A candidate set is an arc of the features in an order that is random per level,
 so a row finds its candidates by two searches per tree, however many features there are.
 Trees are those of a random forest: rows are drawn with replacement (Poisson weights by a
 hash of the row's key), candidates number the square root of the features.
@@ -18,18 +18,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import new_path, release
+from ..session import LARGE_ROWS, new_path, release
 from .term_blocks import term_digests, weighted_entries
 
-ROWS = 2048  # of a block at most
+ROWS = 1024  # of a block at most
+SHARE = 1 << 18  # entries that are looked at together, about, for the best splits
 ARC = 40  # bits of a feature's place in the order of a level
 DRAWS = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(12)])
 FEATURE_BLOCK = "n long, ids binary, begins binary, features binary, entries binary"
 STATE = f"{FEATURE_BLOCK}, nodes binary"
-FOUND = "node int, feature long, at double, left0 double, left1 double"
+FOUND = "node int, feature long, at double, left0 double, left1 double, gain double"
 
 
 @dataclass(frozen=True)
@@ -163,6 +165,8 @@ def grow(blocks: DataFrame, trees: int, depth: int, seed: int, weights: tuple[fl
     totals = sum(np.frombuffer(r.part, "<f8").reshape(trees, 2) for r in roots.toLocalIterator())
     # A few hundredths of the features more or fewer make no other forest.
     n_features = state.mapInArrow(_names, "feature long").agg(F.approx_count_distinct("feature", 0.02)).first()[0]
+    sizes = state.agg(F.sum(F.octet_length("features") / 8), F.sum("n")).first()
+    per_row = (sizes[0] or 0) / max(sizes[1] or 0, 1)
     wanted = max(1, round(np.sqrt(n_features)))
     arc = min(1 << ARC, max(1, round(wanted / max(n_features, 1) * (1 << ARC))))
     levels: list[Level] = []
@@ -179,9 +183,11 @@ def grow(blocks: DataFrame, trees: int, depth: int, seed: int, weights: tuple[fl
             number = len(levels)
             place = _salted(np.arange(n, dtype=np.uint64), seed, number, 2) >> np.uint64(24)
             start = (place.astype(np.float64) / (1 << ARC) * ((1 << ARC) - arc)).astype(np.int64)
-            held = spark.sparkContext.broadcast((open_nodes, start, totals))
+            parts = shares(np.where(open_nodes, all_of, 0) * (per_row * arc / (1 << ARC)))
+            held = spark.sparkContext.broadcast((open_nodes, start, totals, *parts))
             sent = state.mapInArrow(partial(_candidates, held, arc, seed, number, trees, weights), "part int, entries binary")
             found = sent.groupBy("part").applyInArrow(_splits(held), FOUND).toArrow()
+            found = found.take(_first_of_best(found))
             node = np.asarray(found["node"])
             level.feature[node] = np.asarray(found["feature"]).view(np.uint64)
             level.at[node] = np.asarray(found["at"])
@@ -204,10 +210,24 @@ def grow(blocks: DataFrame, trees: int, depth: int, seed: int, weights: tuple[fl
         release(spark, [path])
 
 
+def shares(expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries of each node are looked at, from their expected number: the first
+    part and the number of parts, more than one for a node that is more than a share."""
+    n_parts = np.maximum(np.ceil(expected / SHARE), 1).astype(np.int32)
+    return ((np.cumsum(expected) - expected) // SHARE).astype(np.int32), n_parts
+
+
+def _first_of_best(found: pa.Table) -> np.ndarray:
+    """Rows of the best split of each node, of the splits that its parts found."""
+    node, gain = np.asarray(found["node"]), np.asarray(found["gain"])
+    order = np.lexsort((np.asarray(found["feature"]).view(np.uint64), -gain, node))
+    return order[np.flatnonzero(np.diff(node[order], prepend=-1))]
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     """`df` written and read back, so that no level runs those before it again; its path."""
     path = new_path(df.sparkSession, "forest")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **LARGE_ROWS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -260,10 +280,9 @@ ENTRY = np.dtype([("node", "<i4"), ("feature", "<u8"), ("value", "<f8"), ("w0",
 
 
 def _candidates(held, arc, seed, number, trees, weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of each row among the candidates of its nodes, dealt by node."""
-    open_nodes, start, totals = held.value
-    parts = max(1, int(np.ceil(len(totals) / 64)))
-    parts = min(parts, 256)
+    """The entries of each row among the candidates of its nodes, dealt by node, or by node
+    and feature."""
+    open_nodes, start, _, first_part, n_parts = held.value
     for batch in batches:
         for k in range(batch.num_rows):
             block = _Block(batch, k)
@@ -285,10 +304,12 @@ def _candidates(held, arc, seed, number, trees, weights, batches: Iterator[pa.Re
             out["node"], out["feature"], out["value"] = node[pair], block.features[entry], block.values[entry]
             w, one = weight[row[pair], tree[pair]], y[row[pair]] == 1
             out["w0"], out["w1"] = np.where(one, 0, w), np.where(one, w, 0)
-            part = out["node"] % parts
+            part = first_part[out["node"]] + _salted(out["feature"], 5) % n_parts[out["node"]].astype(np.uint64)
+            part = part.astype(np.int32)
             by_part = np.argsort(part, kind="stable")
-            out, edges = out[by_part], np.searchsorted(part[by_part], np.arange(parts + 1)).tolist()
-            spans = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            out, part = out[by_part], part[by_part]
+            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            spans = [(part[a], a, b) for a, b in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([p for p, _, _ in spans], pa.int32()),
@@ -337,12 +358,13 @@ def _best(totals: np.ndarray, table: pa.Table) -> pa.Table:
     top = top[gain[top] > 1e-9 * (t0[top] + t1[top])]
     at = (before[top] + value[top]) / 2
     at = np.where(at > before[top], at, value[top])
-    columns = [node[top], rows["feature"][top].view(np.int64), at, l0[top], l1[top]]
-    return pa.table([pa.array(c) for c in columns], names=["node", "feature", "at", "left0", "left1"])
+    columns = [node[top], rows["feature"][top].view(np.int64), at, l0[top], l1[top], gain[top]]
+    return pa.table([pa.array(c) for c in columns], names=["node", "feature", "at", "left0", "left1", "gain"])
 
 
-def predicted(blocks: DataFrame, forest: Forest, keep: list, kinds: str) -> DataFrame:
-    """`keep`, fields of the ids, and `pred`, 1 or 0: the class with the larger mean share."""
+def predicted(blocks: DataFrame, forest: Forest, keep: list, kinds: str, asked: str | None = None) -> DataFrame:
+    """`keep`, fields of the ids, and `pred`, 1 or 0: the class with the larger mean share.
+    Blocks with no row in which the field `asked` holds, if given, are left out."""
     held = blocks.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,6 +372,8 @@ def predicted(blocks: DataFrame, forest: Forest, keep: list, kinds: str) -> Data
         for batch in batches:
             for k in range(batch.num_rows):
                 block = _Block(batch, k)
+                if asked and not pc.any(block.ids.field(asked)).as_py():
+                    continue
                 names, keys = block.coded()
                 nodes = np.broadcast_to(np.arange(model.trees, dtype=np.int32), (block.n, model.trees))
                 share = np.zeros(block.n)

@@ -70,3 +70,26 @@ def test_a_fit_takes_all_rows(spark):
     model = models.fit_model(rows.withColumns(zeros), models.ModelSpec("forest", trees=2, depth=2), 3)
     assert model.n_rows == n
     assert abs(model.forest.levels[0].share - 0.5).max() < 0.01
+
+
+def test_large_nodes_are_looked_at_in_parts(spark, monkeypatch):
+    """All entries of up to 64 nodes, however many, were in one part."""
+    expected = np.array([5.0, 1000.0, 0.0, 30.0, 90.0, 95.0])
+    monkeypatch.setattr(forest, "SHARE", 100)
+    first, n_parts = forest.shares(expected)
+    held = np.zeros(20)
+    for e, a, n in zip(expected, first, n_parts, strict=True):
+        held[a : a + n] += e / n
+    assert n_parts.tolist() == [1, 10, 1, 1, 1, 1] and held.max() < 300
+    pick = np.random.default_rng(2)
+    words = [[f"w{k}" for k in pick.integers(0, 60, 12)] + ["yes" if i % 2 and i % 7 else "no"] for i in range(400)]
+    zeros = {name: F.lit(0.0) for name in FEATURES}
+    rows = spark.createDataFrame([(f"m{i}", i % 2, w) for i, w in enumerate(words)], "msg_id string, y int, word_terms array<string>")
+    rows = rows.repartition(3).withColumns(zeros | {"n_chars": F.size("word_terms") + F.hash("msg_id") % 5})
+    grown = {}
+    for share in (3, 1 << 18):
+        monkeypatch.setattr(forest, "SHARE", share)
+        grown[share] = models.fit_model(rows, models.ModelSpec("forest", trees=30, depth=5), 3).forest
+    assert len(grown[3].levels) == 6
+    for a, b in zip(grown[3].levels, grown[1 << 18].levels, strict=True):
+        assert (a.feature == b.feature).all() and (a.child == b.child).all() and np.abs(a.at - b.at).max() < 1e-12
