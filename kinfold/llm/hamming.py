op8_near_dedup: move texts once, and only the sets of compared pairs

Symptom: op8_near_dedup and the near_dedup stage shuffle several times what they read.
Evidence: own event logs on 0.1 GB: four gathers moved all texts (479 MB of 855), ten confirmations moved all full sets (about 240 MB).
Fix: full sets of all nodes that share a key are made before the rounds, which need them all in the end; a semi join leaves sets of other nodes out of a confirmation; no confirmation without pairs.
Effect: at 0.6 GB of input CPU 704 -> 612 s, shuffle 5.93 -> 2.31 GB, spill 0.00 -> 0.00 GB, read 6.17 -> 5.10 GB, longest task 9 -> 9 s, most memory of a task 201 -> 201 MB; at 6 GB of input CPU 3559 -> 3092 s, shuffle 64.30 -> 28.42 GB, spill 5.24 -> 5.24 GB, read 61.57 -> 51.33 GB, longest task 49 -> 50 s, most memory of a task 1107 -> 1107 MB; with hot keys, at 0.6 GB of input CPU 664 -> 618 s, shuffle 2.40 -> 1.29 GB, spill 0.00 -> 0.00 GB, read 2.15 -> 2.22 GB, longest task 6 -> 6 s, most memory of a task 168 -> 168 MB.

@@ -263,7 +263,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, cut: Bands) -> DataFrame:
 
 class NearDuplicates:
     """One run over a table: its nodes, what is known of their components, and
-    the full sets of those that have met."""
+    the full sets of those that share a key with another."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, similar: int = SIMILAR):
         self.cut = bands(similar)
@@ -281,6 +281,8 @@ class NearDuplicates:
         centres = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         centres = materialize(centres.filter("low != high"), "near-centres")
         met = materialize(keys.join(centres, "key"), "near-met")
+        # In the end all of these are needed: some confirmed, the others unsettled. So the texts move once.
+        self.gather(met.select("node").distinct())
         linked = met.select("node", F.explode(F.array("low", "high")).alias("centre")).filter("node != centre")
         shared = linked.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"))
         # A node has two centres per key at most, so the windows are small.
@@ -301,7 +303,6 @@ class NearDuplicates:
         cell at a time.
         """
         members = materialize(keys.select("node", "comp").distinct(), "near-members")
-        self.gather(members.select("node"))
         if self.full is None:
             return members.select(F.col("node").alias("a"), F.col("comp").alias("b"), F.lit(0).cast("long").alias("distance"))
         sets = members.join(self.full, "node")
@@ -357,17 +358,16 @@ class NearDuplicates:
             if self.labels is None:
                 self.labels = self.nodes.select("node", F.col("node").alias("comp")).limit(0)
             return
-        self.gather(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         nearest = near.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("first")).select("first.a", "b")
         self.join_up(self.similar(materialize(nearest, "near-first")))
         rest = self.labelled(self.labelled(near, "a", "comp_a"), "b", "comp_b")
-        self.join_up(self.similar(rest.filter("comp_a != comp_b")))
+        rest = materialize(rest.filter("comp_a != comp_b").select("a", "b"), "near-rest")
+        if not rest.isEmpty():  # else the full sets would move for nothing
+            self.join_up(self.similar(rest))
 
     def gather(self, wanted: DataFrame) -> None:
-        """Make the full sets of the nodes that are not there yet, from the texts; a
-        node is known by its least id and its digest."""
-        if self.full is not None:
-            wanted = wanted.join(self.full.select("node"), "node", "left_anti")
+        """Make the full sets of the nodes from the texts; a node is known by its least
+        id and its digest."""
         wanted = materialize(self.nodes.select("node", "id", "digest").join(wanted, "node"), "near-wanted")
         if wanted.isEmpty():
             return
@@ -385,11 +385,11 @@ class NearDuplicates:
         # Always by sorting: the texts move in the same way at any size.
         texts = self.docs.join(ids.hint("merge"), self.docs["id"].eqNullSafe(ids["id"])).select("node", "digest", "text")
         made = texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
-        made = materialize(made, "near-full")
-        self.full = made if self.full is None else self.full.unionAll(made)
+        self.full = materialize(made, "near-full")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs whose sets are similar enough."""
+        """(a, b) of the pairs whose sets are similar enough. Sets of other nodes are left
+        where they are as long as the pairs are few, for Spark to tell."""
         similar = self.cut.similar
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,8 +402,10 @@ class NearDuplicates:
                 made = [batch.column(c).filter(pa.array(found, pa.bool_())) for c in ("a", "b")]
                 yield pa.RecordBatch.from_arrays(made, names=["a", "b"])
 
-        left = self.full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-        right = self.full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = self.full.join(ends, "node", "left_semi")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
         joined = pairs.select("a", "b").join(left, "a").join(right, "b")
         return joined.mapInArrow(run, "a long, b long")
 

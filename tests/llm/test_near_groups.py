@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import plain
 import pytest
 
 from kinfold.llm import hamming
@@ -86,3 +87,43 @@ def test_components_of_chains_stars_and_rings_with_few_and_many_links(spark, mon
     assert got == want
     if few == hamming.FEW_LINKS and few > 1000:  # rounds of small jobs fill the driver's memory
         assert written == ["near-between", "near-labels"]
+
+
+def chains() -> list[tuple]:
+    """Neighbours of a chain are similar, its ends are not; ids and texts that are null,
+    come twice or have no words; two texts that share a key with none."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(100 - i, " ".join(words[i * 8 : i * 8 + 120])) for i in range(12)]
+    for i in range(40):
+        changed = [*words[200:]]
+        changed[i * 4] = f"x{i}"
+        docs.append((200 + i, " ".join(changed)))
+    docs += [(None, docs[0][1]), (None, docs[-1][1] + " more"), (200, docs[20][1]), (200, "alone"), (300, None), (300, ""), (301, " \n")]
+    return [*docs, docs[3], (400, " ".join(f"y{i}" for i in range(50)))]
+
+
+def test_texts_move_once_for_all_rounds(spark, monkeypatch):
+    written = []
+    keep = hamming.materialize
+    monkeypatch.setattr(hamming, "materialize", lambda df, name: (written.append(name), keep(df, name))[1])
+    found = hamming.near_classes(spark.createDataFrame(chains(), "doc_id long, text string"))
+    got = sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in found.collect())
+    assert got == sorted((str(i), n, str(c)) for i, n, c in plain.near_classes(chains()))
+    assert written.count("near-pairs") > 2 and written.count("near-full") == 1
+
+
+def test_only_the_sets_of_the_pairs_move(spark):
+    run = hamming.NearDuplicates(spark.createDataFrame(chains(), "doc_id long, text string"), "doc_id", "text")
+    shingles = {k: np.arange(k, k + 100, dtype=np.uint64).tobytes() for k in range(0, 400, 4)}
+    run.full = spark.createDataFrame([*shingles.items()], "node long, shingles binary")
+    pairs = spark.createDataFrame([(0, 4), (0, 20), (0, 200), (40, 44), (40, 3)], "a long, b long")
+    found = run.similar(pairs)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(0, 4), (40, 44)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("LeftSemi") == 2
+
+
+def test_no_pairs_at_all(spark):
+    docs = [(1, None), (1, ""), (None, None), (2, "one two"), (3, "three")]
+    found = hamming.near_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted((str(r.id), r.n_shingles, str(r.component_id), r.kept) for r in found.collect())
+    assert got == [("1", 0, "1", True), ("1", 0, "1", True), ("2", 1, "2", True), ("3", 1, "3", True), ("None", 0, "None", True)]
